@@ -1,0 +1,4 @@
+"""Query catalogue: importing this package registers every query."""
+
+from paperloom.plans import text_stats  # noqa: F401
+from paperloom.plans.registry import ORACLES, QUERIES  # noqa: F401
