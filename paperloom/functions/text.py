@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as the Python string methods see it, spelled out so that the fast
-# (non-Unicode-class) regex path can be used.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
-WORD = rf"[^{SPACE}]+"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+# Whitespace as the Python string methods see it: Unicode white space and four separators.
+# SPACE is the inside of a character class and needs the (?U) flag in front of the pattern.
+SPACE = r"\s\x1c-\x1f"
+WORD = rf"(?U)[^{SPACE}]+"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,12 +26,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop Unicode whitespace from both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
     """Collapse every whitespace run to one space and trim."""
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
 
 
 def word_list(text: Column) -> Column:
@@ -46,7 +47,7 @@ def line_list(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(rf"[^{SPACE}]")
+    return ~text.rlike(rf"(?U)[^{SPACE}]")
 
 
 def contains_fold(text: Column, term: Column) -> Column:
@@ -60,6 +61,11 @@ def literal_regex(term: str, fold: bool = True, whole: bool = False) -> str:
     return ("(?iuU)" if fold else "(?U)") + body
 
 
+def quoted(term: Column) -> Column:
+    """A case-folding pattern for each row's own term."""
+    return F.concat(F.lit(r"(?iu)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def sum_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
@@ -70,51 +76,34 @@ def exclusive_prefix(values: Column) -> Column:
     Works in blocks of about sqrt(n) so that a long document costs n*sqrt(n)
     additions instead of n*n.
     """
-    def blocked(arr: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(arr))), F.lit(1)).cast("int")
-
-        def with_width(b: Column) -> Column:
-            count = F.ceil(F.size(arr) / b).cast("int")
-            blocks = F.transform(
-                F.sequence(F.lit(0), count - 1), lambda k: sum_of(F.slice(arr, k * b + 1, b))
-            )
-            return let(blocks, lambda sums: F.transform(
-                arr,
-                lambda _, i: sum_of(F.slice(sums, F.lit(1), (i / b).cast("int")))
-                + sum_of(F.slice(arr, ((i / b).cast("int") * b + 1).cast("int"), (i % b).cast("int"))),
-            ))
-        return let(width, with_width)
-
-    return F.when(F.size(values) > 0, let(values, blocked)).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    def with_width(arr: Column, b: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(arr) / b).cast("int")), lambda k: sum_of(F.slice(arr, k * b + 1, b))
+        )
+        return let(blocks, lambda sums: F.transform(arr, lambda _, i: sum_of(
+            F.concat(F.slice(sums, F.lit(1), F.floor(i / b).cast("int")), F.slice(arr, i - i % b + 1, i % b)))))
+
+    return let(values, lambda arr: let(
+        F.ceil(F.sqrt(F.size(arr) + 1)).cast("int"), lambda b: with_width(arr, b)))
 
 
-def find_all(text: Column, pattern: str | Column) -> Column:
+def find_all(text: Column, pattern: str) -> Column:
     """All matches with 0-based code-point offsets: array<struct<start,value>>.
 
     The pattern must not match the empty string. Match offsets follow from the
     pieces between matches: start_i = everything before it, pieces and matches.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, regex, F.lit(0))
+    regex = F.lit(pattern)
 
     def place(hits: Column) -> Column:
         gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g).cast("long"))
+        return let(gaps, lambda gap: let(
+            exclusive_prefix(F.transform(hits, lambda m, i: F.get(gap, i) + F.length(m))),
+            lambda before: F.transform(hits, lambda m, i: F.struct(
+                (F.get(before, i) + F.get(gap, i)).cast("int").alias("start"), m.alias("value")))))
 
-        def offsets(gap: Column) -> Column:
-            steps = F.transform(hits, lambda m, i: F.get(gap, i) + F.length(m))
-            return let(exclusive_prefix(steps), lambda before: F.transform(
-                hits,
-                lambda m, i: F.struct(
-                    (F.get(before, i) + F.get(gap, i)).cast("int").alias("start"), m.alias("value")
-                ),
-            ))
-        return let(gaps, offsets)
-
-    return F.when(F.size(found) > 0, let(found, place)).otherwise(
-        F.array().cast("array<struct<start:int,value:string>>")
-    )
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda hits: F.when(
+        F.size(hits) > 0, place(hits)).otherwise(F.array().cast("array<struct<start:int,value:string>>")))
 
 
 def ranked_terms(tokens: Column) -> Column:

@@ -16,7 +16,8 @@ def full_text(pages: Column) -> Column:
 
 def keyword_tokens(text: Column, min_length: int = 4) -> Column:
     bare = F.regexp_replace(text, fixed.LINK_PATTERN, " ")
-    bare = F.regexp_replace(bare, fixed.ADDRESS_PATTERN, " ")
+    bare = T.let(bare, lambda b: F.when(
+        F.contains(b, F.lit("@")), F.regexp_replace(b, fixed.ADDRESS_PATTERN, " ")).otherwise(b))
     # Words shorter than the minimum never count, so they are skipped by length afterwards.
     found = F.regexp_extract_all(F.lower(bare), F.lit(r"(?U)\b[a-z]+(?:'[a-z]+)?\b"), F.lit(0))
     stop = [w for w in fixed.KEYWORD_STOP_WORDS if len(w) >= min_length]
@@ -52,9 +53,9 @@ def readability(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.col(text)
     counted = (
         docs.withColumn("_words", T.word_count(body))
-        .withColumn("_sentences", F.regexp_count(body, F.lit(rf"[^.!?{T.SPACE}][^.!?]*")))
-        .withColumn("_letters", F.length(F.regexp_replace(body, rf"[{T.SPACE}]+", "")))
-        .withColumn("_long", F.length(body) - F.length(F.regexp_replace(body, rf"[^{T.SPACE}]{{7,}}", "")))
+        .withColumn("_sentences", F.regexp_count(body, F.lit(rf"(?U)[^.!?{T.SPACE}][^.!?]*")))
+        .withColumn("_letters", F.length(F.regexp_replace(body, rf"(?U)[{T.SPACE}]+", "")))
+        .withColumn("_long", F.length(body) - F.length(F.regexp_replace(body, rf"(?U)[^{T.SPACE}]{{7,}}", "")))
     )
     known = (F.col("_words") > 0) & (F.col("_sentences") > 0)
     per_sentence = F.col("_words") / F.col("_sentences")

@@ -10,11 +10,11 @@ from paperloom.operators import pages as P
 from paperloom.operators import stats as S
 from paperloom.plans.registry import query
 from paperloom.plans.sqlparts import DOC_PAGES, FULL_TEXT, py_round, quoted
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 
 
 def documents(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", "text")
+    return spread(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def books(spark, folder):
@@ -195,7 +195,7 @@ def text_layer_classes(spark, folder):
 SELECT doc_id, lang, page_count, pages_with_text, characters, {CLASS_COLUMN}
 FROM classed JOIN documents USING (doc_id)""")
 def ingest_profile(spark, folder):
-    docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = spread(load(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
     profiled = P.classify_books(P.to_books(docs))
     return profiled.select(
         "doc_id", "lang", "page_count", "pages_with_text",

@@ -15,6 +15,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by a unique key when the scan has fewer splits than there are cores.
+
+    Only small inputs in few files qualify; a large table already has many splits and
+    is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_files(spark: SparkSession, path: str, max_bytes: int = fixed.UPLOAD_LIMIT_MB << 20) -> DataFrame:
     """Raw files with size and content hash.
 
