@@ -70,40 +70,56 @@ def sum_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def exclusive_prefix(values: Column) -> Column:
+def literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL form of `let`: evaluate once, use as `name`."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def exclusive_prefix_sql(values: str) -> str:
     """For each element, the sum of the elements before it.
 
     Works in blocks of about sqrt(n) so that a long document costs n*sqrt(n)
     additions instead of n*n.
     """
-    def with_width(arr: Column, b: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(arr) / b).cast("int")), lambda k: sum_of(F.slice(arr, k * b + 1, b))
-        )
-        return let(blocks, lambda sums: F.transform(arr, lambda _, i: sum_of(
-            F.concat(F.slice(sums, F.lit(1), F.floor(i / b).cast("int")), F.slice(arr, i - i % b + 1, i % b)))))
+    total = "aggregate({}, 0L, (acc_, x_) -> acc_ + x_)"
+    block_sums = "transform(sequence(0, int(floor(size(arr_) / b_))), k_ -> " + total.format("slice(arr_, k_ * b_ + 1, b_)") + ")"
+    before = total.format("concat(slice(sums_, 1, int(floor(i_ / b_))), slice(arr_, i_ - i_ % b_ + 1, i_ % b_))")
+    return let_sql(values, "arr_", let_sql(
+        "int(ceil(sqrt(size(arr_) + 1)))", "b_",
+        let_sql(block_sums, "sums_", f"transform(arr_, (v_, i_) -> {before})")))
 
-    return let(values, lambda arr: let(
-        F.ceil(F.sqrt(F.size(arr) + 1)).cast("int"), lambda b: with_width(arr, b)))
 
-
-def find_all(text: Column, pattern: str) -> Column:
+def find_all_sql(text: str, pattern: str) -> str:
     """All matches with 0-based code-point offsets: array<struct<start,value>>.
 
     The pattern must not match the empty string. Match offsets follow from the
     pieces between matches: start_i = everything before it, pieces and matches.
+    Written as SQL text because it is used inside larger lambdas.
     """
-    regex = F.lit(pattern)
+    regex = literal(pattern)
+    steps = "transform(hits_, (h_, n_) -> get(gap_, n_) + length(h_))"
+    placed = "transform(hits_, (h_, n_) -> named_struct('start', int(get(before_, n_) + get(gap_, n_)), 'value', h_))"
+    found = let_sql(f"transform(split({text}, {regex}, -1), g_ -> bigint(length(g_)))", "gap_",
+                    let_sql(exclusive_prefix_sql(steps), "before_", placed))
+    none = "cast(array() as array<struct<start:int,value:string>>)"
+    return let_sql(f"regexp_extract_all({text}, {regex}, 0)", "hits_", f"if(size(hits_) = 0, {none}, {found})")
+
+
+def find_all(column: str, pattern: str) -> Column:
+    return F.expr(find_all_sql(column, pattern))
+
+
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {literal(SPACE_CHARS)})"
 
-    def place(hits: Column) -> Column:
-        gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g).cast("long"))
-        return let(gaps, lambda gap: let(
-            exclusive_prefix(F.transform(hits, lambda m, i: F.get(gap, i) + F.length(m))),
-            lambda before: F.transform(hits, lambda m, i: F.struct(
-                (F.get(before, i) + F.get(gap, i)).cast("int").alias("start"), m.alias("value")))))
 
-    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda hits: F.when(
-        F.size(hits) > 0, place(hits)).otherwise(F.array().cast("array<struct<start:int,value:string>>")))
+def squeeze_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, {literal(rf'(?U)[{SPACE}]+')}, ' '))"
 
 
 def ranked_terms(tokens: Column) -> Column:

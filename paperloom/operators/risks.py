@@ -11,25 +11,20 @@ from paperloom.functions import text as T
 SEVERITY_RANK = {name: i for i, name in enumerate(fixed.SEVERITIES)}
 
 
-def injection_hits(text: Column, cap: int = fixed.INJECTION_CAP) -> Column:
-    """array<struct<position,pattern_no,category,excerpt>> of one text.
+def injection_hits(text: str, cap: int = fixed.INJECTION_CAP) -> Column:
+    """array<struct<position,pattern_no,category,excerpt>> of one text column.
 
     The cap counts hits in pattern order; only an uncapped result is sorted by position.
     """
+    left = f"greatest(m_.start - {fixed.INJECTION_MARGIN}, 0)"
+    right = f"least(m_.start + length(m_.value) + {fixed.INJECTION_MARGIN}, length({text}))"
+    excerpt = T.squeeze_sql(f"substr({text}, {left} + 1, {right} - {left})")
     parts = [
-        _passages(text, number, pattern, category) for number, (pattern, category) in enumerate(fixed.INJECTION_PATTERNS)
+        f"transform({T.find_all_sql(text, _flagged(pattern))}, m_ -> named_struct('position', m_.start, "
+        f"'pattern_no', {number}, 'category', '{category}', 'excerpt', {excerpt}))"
+        for number, (pattern, category) in enumerate(fixed.INJECTION_PATTERNS)
     ]
-    return T.let(F.concat(*parts), lambda hits: F.when(F.size(hits) >= cap, F.slice(hits, 1, cap)).otherwise(F.sort_array(hits)))
-
-
-def _passages(text: Column, number: int, pattern: str, category: str) -> Column:
-    def describe(m: Column) -> Column:
-        left = F.greatest(m["start"] - fixed.INJECTION_MARGIN, F.lit(0))
-        right = F.least(m["start"] + F.length(m["value"]) + fixed.INJECTION_MARGIN, F.length(text))
-        return F.struct(
-            m["start"].alias("position"), F.lit(number).alias("pattern_no"), F.lit(category).alias("category"),
-            T.squeeze(F.substr(text, left + 1, right - left)).alias("excerpt"))
-    return F.transform(T.find_all(text, _flagged(pattern)), describe)
+    return F.expr(T.let_sql(f"concat({', '.join(parts)})", "all_", f"if(size(all_) >= {cap}, slice(all_, 1, {cap}), sort_array(all_))"))
 
 
 def _flagged(pattern: str) -> str:
@@ -46,13 +41,13 @@ def any_injection(text: Column) -> Column:
 def scan_injection(docs: DataFrame, *keep: str, text: str = "text", cap: int = fixed.INJECTION_CAP) -> DataFrame:
     """One row per suspicious passage; documents without any never reach the offset step."""
     hits = docs.filter(any_injection(F.col(text))).select(
-        *keep, F.posexplode(injection_hits(F.col(text), cap)).alias("hit", "_h"))
+        *keep, F.posexplode(injection_hits(text, cap)).alias("hit", "_h"))
     return hits.select(*keep, "hit", "_h.position", "_h.category", "_h.excerpt")
 
 
 def injection_summary(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """detected, count and categories in the order seen, per document."""
-    hits = F.when(any_injection(F.col(text)), injection_hits(F.col(text))).otherwise(
+    hits = F.when(any_injection(F.col(text)), injection_hits(text)).otherwise(
         F.array().cast("array<struct<position:int,pattern_no:int,category:string,excerpt:string>>"))
     scanned = docs.select(*keep, hits.alias("_h"))
     categories = F.array_join(F.array_distinct(F.transform("_h", lambda h: h["category"])), ", ")

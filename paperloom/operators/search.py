@@ -11,7 +11,7 @@ from paperloom.functions import text as T
 
 def words(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per word with its offsets: keep..., word_no, start, end, word."""
-    hits = pages.select(*keep, F.posexplode(T.find_all(F.col("text"), T.WORD)).alias("word_no", "_w"))
+    hits = pages.select(*keep, F.posexplode(T.find_all("text", T.WORD)).alias("word_no", "_w"))
     return hits.select(*keep, "word_no", F.col("_w.start").alias("start"),
                        (F.col("_w.start") + F.length("_w.value")).alias("end"), F.col("_w.value").alias("word"))
 
@@ -25,7 +25,7 @@ def search(pages: DataFrame, phrase: str, *keep: str, match_case: bool = False,
         raise ValueError("Search text cannot be empty.")
     pattern = T.literal_regex(phrase, fold=not match_case, whole=whole_words)
     candidates = pages.filter(F.col("text").rlike(pattern))
-    hits = candidates.select(*keep, "text", F.posexplode(T.find_all(F.col("text"), pattern)).alias("hit", "_m"))
+    hits = candidates.select(*keep, "text", F.posexplode(T.find_all("text", pattern)).alias("hit", "_m"))
     start, length = F.col("_m.start"), F.length("_m.value")
     left = F.greatest(start - fixed.SEARCH_MARGIN, F.lit(0))
     right = F.least(start + length + fixed.SEARCH_MARGIN, F.length("text"))
@@ -38,8 +38,8 @@ def search(pages: DataFrame, phrase: str, *keep: str, match_case: bool = False,
 def cap_book_hits(books: DataFrame, phrase: str, *keep: str, cap: int = fixed.SEARCH_CAP, **options) -> DataFrame:
     """The first `cap` hits of each document in page order, cut inside the document's row."""
     pattern = T.literal_regex(phrase, fold=not options.get("match_case", False), whole=options.get("whole_words", False))
-    found = F.flatten(F.transform("pages", lambda p: F.transform(
-        T.find_all(p["text"], pattern), lambda m: F.struct(p["page"].alias("page"), m["start"].alias("start"), m["value"].alias("match")))))
+    found = F.expr("flatten(transform(pages, p_ -> transform(" + T.find_all_sql("p_.text", pattern)
+                   + ", m_ -> named_struct('page', p_.page, 'start', m_.start, 'match', m_.value))))")
     candidates = books.filter(F.exists("pages", lambda p: p["text"].rlike(pattern)))
     return candidates.select(*keep, F.posexplode(F.slice(found, 1, cap)).alias("hit", "_m")).select(
         *keep, "hit", "_m.page", "_m.start", "_m.match")

@@ -12,16 +12,16 @@ from paperloom.functions import fixed
 from paperloom.functions import text as T
 
 
-def luhn_ok(value: Column) -> Column:
+def luhn_sql(value: str) -> str:
     """Card checksum over the digits of a value; 13 to 19 digits."""
-    def check(digits: Column) -> Column:
-        def weigh(d: Column, i: Column) -> Column:
-            doubled = d * 2
-            return F.when(i % 2 == 1, F.when(doubled > 9, doubled - 9).otherwise(doubled)).otherwise(d)
-        values = F.transform(F.split(F.reverse(digits), ""), lambda c: c.cast("int"))
-        total = F.aggregate(F.transform(values, weigh), F.lit(0), lambda acc, x: acc + x)
-        return F.length(digits).between(13, 19) & (total % 10 == 0)
-    return T.let(F.regexp_replace(value, "[^0-9]", ""), lambda d: F.when(d == "", F.lit(False)).otherwise(check(d)))
+    weighed = "if(k_ % 2 = 0, int(c_), int(c_) * 2 - if(int(c_) > 4, 9, 0))"
+    total = f"aggregate(transform(split(reverse(d_), ''), (c_, k_) -> {weighed}), 0, (a_, w_) -> a_ + w_)"
+    return T.let_sql(f"regexp_replace({value}, '[^0-9]', '')", "d_",
+                     f"if(length(d_) between 13 and 19, {total} % 10 = 0, false)")
+
+
+def luhn_ok(column: str) -> Column:
+    return F.expr(luhn_sql(column))
 
 
 def with_detectors(kinds: Sequence[str] | None = None, terms: Sequence[str] = (), regex: str | None = None) -> list[tuple[str, str]]:
@@ -44,42 +44,31 @@ def with_detectors(kinds: Sequence[str] | None = None, terms: Sequence[str] = ()
     return patterns
 
 
-def _hits_of_kind(text: Column, kind: str, pattern: str) -> Column:
-    return F.transform(T.find_all(text, pattern), lambda m: F.struct(
-        m["start"].alias("start"), (-F.length(m["value"])).alias("neg_length"),
-        F.lit(kind).alias("kind"), m["value"].alias("value")))
-
-
-def _hits(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """All hits of a page, before overlaps are removed."""
+def _hits_sql(text: str, patterns: list[tuple[str, str]]) -> str:
+    """All hits of a text, before overlaps are removed, in an order that decides overlaps."""
+    order = {kind: n for n, (kind, _) in enumerate(dict(patterns).items())}
     parts = []
     for kind, pattern in patterns:
-        found = _hits_of_kind(text, kind, pattern)
+        test = f"length({T.strip_sql('h_.value')}) >= {fixed.MIN_HIT_LENGTH}"
         if kind == "credit_card":
-            found = F.filter(found, lambda h: luhn_ok(h["value"]))
-        parts.append(F.filter(found, lambda h: F.length(T.strip(h["value"])) >= fixed.MIN_HIT_LENGTH))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+            test += " and " + luhn_sql("h_.value")
+        parts.append(
+            f"transform(filter({T.find_all_sql(text, pattern)}, h_ -> {test}), h_ -> named_struct("
+            f"'start', h_.start, 'neg_length', -length(h_.value), 'rank', {order[kind]}, 'kind', '{kind}', 'value', h_.value))")
+    return f"sort_array(concat({', '.join(parts)}))"
 
 
-def _without_overlaps(hits: Column, order: dict[str, int]) -> Column:
+def kept_hits_sql(text: str, patterns: list[tuple[str, str]]) -> str:
     """Keep the earliest hit, the longest on ties; drop what overlaps a kept one.
 
     Kept hits are disjoint and sorted, so only the last kept end matters.
     """
-    ranks = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    keyed = F.sort_array(F.transform(hits, lambda h: F.struct(
-        h["start"].alias("start"), h["neg_length"].alias("neg_length"), ranks[h["kind"]].alias("rank"),
-        h["kind"].alias("kind"), h["value"].alias("value"))))
-    kind = "array<struct<start:int,neg_length:int,rank:int,kind:string,value:string>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("reach"))
-
-    def step(acc: Column, h: Column) -> Column:
-        free = h["start"] >= acc["reach"]
-        return F.struct(
-            F.when(free, F.concat(acc["kept"], F.array(h))).otherwise(acc["kept"]).alias("kept"),
-            F.when(free, h["start"] - h["neg_length"]).otherwise(acc["reach"]).alias("reach"))
-
-    return F.aggregate(keyed, start, step, lambda acc: acc["kept"])
+    kind = "struct<kept:array<struct<start:int,neg_length:int,rank:int,kind:string,value:string>>,reach:int>"
+    return (
+        f"aggregate({_hits_sql(text, patterns)}, cast(named_struct('kept', array(), 'reach', 0) as {kind}), "
+        f"(a_, x_) -> if(x_.start >= a_.reach, cast(named_struct('kept', concat(a_.kept, array(x_)), "
+        f"'reach', x_.start - x_.neg_length) as {kind}), a_), a_ -> a_.kept)"
+    )
 
 
 def detect(pages: DataFrame, *keep: str, kinds=None, terms=(), regex=None) -> DataFrame:
@@ -91,8 +80,7 @@ def detect(pages: DataFrame, *keep: str, kinds=None, terms=(), regex=None) -> Da
     candidate = F.lit(False)
     for _, pattern in patterns:
         candidate = candidate | F.col("text").rlike(pattern)
-    order = {kind: i for i, (kind, _) in enumerate(dict(patterns).items())}
-    kept = _without_overlaps(_hits(F.col("text"), patterns), order)
+    kept = F.expr(kept_hits_sql("text", patterns))
     found = pages.filter(candidate).select(*keep, F.explode(kept).alias("_h"))
     return found.select(*keep, "_h.kind", "_h.value", F.col("_h.start").alias("start"),
                         (F.col("_h.start") - F.col("_h.neg_length")).alias("end"))
@@ -103,50 +91,46 @@ def targets_per_page(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.sort_array(F.collect_set("value")).alias("terms"))
 
 
-def mask(text: Column, terms: Column) -> Column:
+def mask_sql(text: str, terms: str) -> str:
     """Blank every case-insensitive occurrence of each term with as many spaces."""
-    def blank(body: Column, term: Column) -> Column:
-        return F.regexp_replace(body, T.quoted(term), F.repeat(F.lit(" "), F.length(term)))
-    return F.aggregate(F.filter(terms, lambda t: ~T.is_blank(t)), text, blank)
+    quote = r"concat('(?iu)\\Q', replace(t_, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    return (f"aggregate(filter({terms}, t_ -> {T.strip_sql('t_')} <> ''), {text}, "
+            f"(body_, t_) -> regexp_replace(body_, {quote}, repeat(' ', length(t_))))")
 
 
-def survivors(text: Column, terms: Column) -> Column:
+def survivors_sql(text: str, terms: str) -> str:
     """Terms that can still be read in the text."""
-    return F.filter(terms, lambda t: (t != "") & T.contains_fold(text, t))
+    return f"filter({terms}, t_ -> t_ <> '' and contains(lower({text}), lower(t_)))"
 
 
 def mask_pages(pages: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Pages with their targets blanked; pages without targets pass through."""
     joined = pages.join(targets, keys, "left")
-    masked = F.when(F.col("terms").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("terms")))
+    masked = F.when(F.col("terms").isNull(), F.col("text")).otherwise(F.expr(mask_sql("text", "terms")))
     return joined.withColumn("text", masked)
 
 
 def verify_mask(masked: DataFrame, text: str = "text", terms: str = "terms"):
     """(ok, rejected): rejected pages still hold a target."""
-    judged = masked.withColumn("remaining", survivors(F.col(text), F.coalesce(F.col(terms), F.array().cast("array<string>"))))
+    judged = masked.withColumn("remaining", F.expr(survivors_sql(text, f"coalesce({terms}, array())")))
     return (judged.filter(F.size("remaining") == 0).drop("remaining"), judged.filter(F.size("remaining") > 0))
 
 
-def redact(books: DataFrame, review: Column | None = None, key: str = "doc_id", **detectors):
+def redact(books: DataFrame, review: str | None = None, key: str = "doc_id", **detectors):
     """Detect, keep what the review approves, mask and verify: whole documents, one pass.
 
     Detection and masking stay in the document's row, so nothing is shuffled. `review` is
-    a condition on (kind, value, start). Returns (ok, rejected) books with `hit_count`.
+    a SQL condition on h (kind, value, start). Returns (ok, rejected) books with `hit_count`.
     """
     patterns = with_detectors(detectors.get("kinds"), detectors.get("terms", ()), detectors.get("regex"))
-    order = {kind: i for i, (kind, _) in enumerate(dict(patterns).items())}
-
-    def clean(page: Column) -> Column:
-        hits = _without_overlaps(_hits(page["text"], patterns), order)
-        approved = F.filter(hits, review) if review is not None else hits
-        return T.let(F.transform(approved, lambda h: h["value"]), lambda terms: T.let(
-            mask(page["text"], terms), lambda body: F.struct(
-                page["page"].alias("page"), body.alias("text"), F.size(terms).alias("hits"),
-                F.size(survivors(body, terms)).alias("left"))))
-
-    judged = books.withColumn("pages", F.transform("pages", clean)).withColumn(
-        "hit_count", T.sum_of(F.transform("pages", lambda p: p["hits"]))).withColumn(
-        "_left", T.sum_of(F.transform("pages", lambda p: p["left"])))
-    plain = judged.withColumn("pages", F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"))))
+    hits = kept_hits_sql("p_.text", patterns)
+    if review:
+        hits = f"filter({hits}, h -> {review})"
+    cleaned = T.let_sql(f"transform({hits}, h_ -> h_.value)", "terms_", T.let_sql(
+        mask_sql("p_.text", "terms_"), "clean_",
+        f"named_struct('page', p_.page, 'text', clean_, 'hits', size(terms_), 'left', size({survivors_sql('clean_', 'terms_')}))"))
+    count = "aggregate(pages, 0L, (a_, p_) -> a_ + p_.{})"
+    judged = books.withColumn("pages", F.expr(f"transform(pages, p_ -> {cleaned})")).withColumns(
+        {"hit_count": F.expr(count.format("hits")), "_left": F.expr(count.format("left"))})
+    plain = judged.withColumn("pages", F.expr("transform(pages, p_ -> named_struct('page', p_.page, 'text', p_.text))"))
     return plain.filter(F.col("_left") == 0).drop("_left"), plain.filter(F.col("_left") > 0).select(key, "hit_count")
