@@ -85,7 +85,7 @@ def attach(
     their rows are cut into `slices` by `spread`, and their values copied once per slice.
     """
     total = per_key.agg(F.sum(weight)).scalar()
-    hot = per_key.filter(F.col(weight) * HOT_SHARE > total).select(*keys)
+    hot = per_key.filter(F.col(weight) * HOT_SHARE > total).select(*keys).distinct()
     flagged = fact.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     salted = flagged.withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slices))).otherwise(F.lit(0))
