@@ -81,8 +81,7 @@ def html_body(pages: Column) -> Column:
 
 
 def export_html(books: DataFrame, key: str = "doc_id") -> DataFrame:
-    head = '<!doctype html><html><head><meta charset="utf-8"><title>Converted document</title></head><body>'
-    return books.select(key, F.concat(F.lit(head), html_body(F.col("pages")), F.lit("</body></html>")).alias("body"))
+    return books.select(key, F.concat(F.lit(fixed.HTML_HEAD), html_body(F.col("pages")), F.lit("</body></html>")).alias("body"))
 
 
 def export_json(books: DataFrame, tables: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -97,7 +96,7 @@ def export_json(books: DataFrame, tables: DataFrame | None = None, key: str = "d
         held = F.coalesce("tables", held)
     pages = F.transform("pages", lambda p: F.struct(
         p["page"].alias("page"), p["text"].alias("text"), T.word_list(p["text"]).alias("words"),
-        F.filter(held, lambda t: t["page"] == p["page"]).alias("tables")))
+        F.transform(F.filter(held, lambda t: t["page"] == p["page"]), lambda t: t["rows"]).alias("tables")))
     return rows.select(key, F.to_json(F.struct(F.size("pages").alias("page_count"), pages.alias("pages"))).alias("body"))
 
 
@@ -110,10 +109,14 @@ def table_cells(tables: DataFrame, *keep: str) -> DataFrame:
 
 def export_tables(tables: DataFrame, key: str = "doc_id") -> DataFrame:
     """CSV lines of each table under a heading line with page and number: key, page, index, line_no, line."""
-    quote = lambda c: F.when(c.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    head = F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit(", table "), F.col("index").cast("string"))
+    def quote(c: Column) -> Column:
+        doubled = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(c.rlike('[,"\r\n]'), doubled).otherwise(c)
+
+    head = F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit(" — table "), F.col("index").cast("string"))
     body = F.transform("rows", lambda r: F.array_join(F.transform(r, lambda c: quote(F.coalesce(c, F.lit("")))), ","))
-    return tables.select(key, "page", "index", F.posexplode(F.concat(F.array(head), body)).alias("line_no", "line"))
+    lines = F.concat(F.array(head), body, F.array(F.lit("")))
+    return tables.select(key, "page", "index", F.posexplode(lines).alias("line_no", "line"))
 
 
 def xml_safe(text: Column) -> Column:

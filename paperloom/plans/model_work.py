@@ -398,8 +398,13 @@ def date_changes(spark, folder):
 
 @query()
 def value_changes(spark, folder):
-    diffs = D.compare(D.pair_up(version_pairs(spark, folder), books(spark, folder)))
-    changes = diffs.select("pair_id", F.explode("changes").alias("c")).select("pair_id", "c.kind", "c.old", "c.new")
+    """Every fifth page states an amount and a day; the revision moves both."""
+    def stated(amount, day):
+        return F.transform("pages", lambda p: F.struct(p["page"].alias("page"), F.when(p["page"] % 5 == 1, F.concat(
+            p["text"], F.lit(". The sum is "), (F.col("doc_id") % 50 + amount).cast("string"), F.lit(" due "), (F.col("doc_id") % 20 + day).cast("string"),
+            F.lit(" May 2024."))).otherwise(p["text"]).alias("text")))
+    paired = books(spark, folder).select(F.col("doc_id").alias("pair_id"), stated(1, 1).alias("old_pages"), stated(8, 3).alias("new_pages"))
+    changes = D.compare(paired).select("pair_id", F.explode("changes").alias("c")).select("pair_id", "c.kind", "c.old", "c.new")
     return D.value_changes(changes, "pair_id")
 
 
