@@ -230,14 +230,17 @@ def recognised_words(spark, folder):
 @query("WITH " + DOC_PAGES + """,
 w AS (SELECT doc_id, page, i, length(t[i]) AS n FROM (SELECT doc_id, page, t, unnest(range(1, len(t) + 1)) AS i FROM (
   SELECT doc_id, page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM doc_pages)))
-SELECT doc_id, page, CAST((i - 1) // 8 AS INTEGER) AS line_no, min((i - 1) % 8 * 40.0) AS x, max((i - 1) % 8 * 40.0 + n * 5.0) - min((i - 1) % 8 * 40.0) AS width, 10.0 AS height FROM w GROUP BY ALL""")
+SELECT doc_id, page, CAST((i - 1) // 24 AS INTEGER) AS hit, CAST((i - 1) // 8 % 3 AS INTEGER) AS line_no, min((i - 1) % 8 * 40.0) AS x,
+  max((i - 1) % 8 * 40.0 + n * 5.0) - min((i - 1) % 8 * 40.0) AS width, 10.0 AS height FROM w GROUP BY ALL""")
 def line_rectangles(spark, folder):
-    """Eight words to a line, lines 20 apart, words of one line shifted by a hair."""
+    """Runs of 24 words stand for hits: eight words to a line, lines 20 apart, words of one line shifted by a hair."""
     words = F.transform(T.word_list(F.col("text")), lambda w, i: F.struct(
         ((i % 8) * 40.0).alias("x"), (F.floor(i / 8) * 20.0 + (i % 2) * 0.5).cast("double").alias("y"), (F.length(w) * 5.0).alias("width"), F.lit(10.0).alias("height")))
-    pages = P.to_pages(books(spark, folder), "doc_id")
-    lined = pages.select("doc_id", "page", F.posexplode(S.line_rects(words)).alias("line_no", "r"))
-    return lined.select("doc_id", "page", "line_no", "r.x", "r.width", "r.height")
+    boxes = P.to_pages(books(spark, folder), "doc_id").select("doc_id", "page", words.alias("w")).filter(F.size("w") > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 24).cast("int")), lambda k: F.slice("w", k * 24 + 1, 24))
+    hits = boxes.select("doc_id", "page", F.posexplode(runs).alias("hit", "run"))
+    lined = hits.select("doc_id", "page", "hit", F.posexplode(S.line_rects(F.col("run"))).alias("line_no", "r"))
+    return lined.select("doc_id", "page", "hit", "line_no", "r.x", "r.width", "r.height")
 
 
 @query("WITH " + DOC_PAGES + """,

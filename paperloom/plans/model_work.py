@@ -353,11 +353,12 @@ def cached_batches(spark, folder):
 
 
 # ------------------------------------------------------------------ comparisons
-# Each document is compared with the version before it in its lineage.
+# Documents that open with the same line are versions of one another; each is compared with
+# the one before it.
 
 def version_pairs(spark, folder):
-    rows = load(spark, folder, "documents").select("source", "doc_id")
-    before = scale.previous(rows, ["source"], "doc_id", ["doc_id"], "before_")
+    rows = load(spark, folder, "documents").select(F.xxhash64(F.substring_index("text", "\n", 1)).alias("title"), "doc_id")
+    before = scale.previous(rows, ["title"], "doc_id", ["doc_id"], "before_")
     return before.filter(F.col("before_doc_id").isNotNull()).select(
         F.col("doc_id").alias("pair_id"), F.col("before_doc_id").alias("old_id"), F.col("doc_id").alias("new_id"))
 

@@ -160,11 +160,11 @@ LUHN_SQL = """(
 
 
 @query("WITH " + DOC_PAGES + f"""
-SELECT doc_id, page, value, start FROM (
+SELECT doc_id, page, trim(value) AS value, start FROM (
   SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM {offsets_sql('doc_pages', '\\b(?:\\d[ -]?){13,19}\\b', 'doc_id, page')})
 WHERE {LUHN_SQL}""")
 def card_numbers(spark, folder):
-    return D.detect(doc_pages(spark, folder), "doc_id", "page", kinds=["credit_card"]).select("doc_id", "page", "value", "start")
+    return D.detect(doc_pages(spark, folder), "doc_id", "page", kinds=["credit_card"]).select("doc_id", "page", F.trim("value").alias("value"), "start")
 
 
 @query(f"""
