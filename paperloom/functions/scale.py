@@ -95,3 +95,13 @@ def attach(
         .otherwise(F.array(F.lit(0).cast("long")))
     ))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows evenly by a unique key before work that costs far more than moving them.
+
+    An explicit partition count keeps adaptive execution from folding small inputs into one task.
+    """
+    session = df.sparkSession
+    slices = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return df.repartition(slices, key)

@@ -36,8 +36,13 @@ def first_line(system: str, user: str) -> tuple[str, int]:
     return line, -(-len(line) // 4)
 
 
-def model_map(rows: DataFrame, model: Model = first_line, prompt: str = "prompt", system: str = SYSTEM_RULE, retries: int = 0) -> DataFrame:
-    """Add reply, tokens and failed to every row; a failing call becomes a row with its message."""
+def model_map(rows: DataFrame, model: Model = first_line, prompt: str = "prompt", system: str = SYSTEM_RULE, retries: int = 0,
+              slices: int | None = None) -> DataFrame:
+    """Add reply, tokens and failed to every row; a failing call becomes a row with its message.
+
+    `slices` sets how many tasks call the model at once; by default the rows stay where they are.
+    """
+    rows = rows.repartition(slices) if slices else rows
     schema = ST.StructType(rows.schema.fields + [
         ST.StructField("reply", ST.StringType()), ST.StructField("tokens", ST.LongType()), ST.StructField("failed", ST.BooleanType())])
 
