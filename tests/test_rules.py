@@ -311,3 +311,16 @@ def test_cache_lookup_at_the_limit(spark, tmp_path):
     rows = [(1, 0, ""), (1, 24 * 3600, ""), (1, 24 * 3600 + 1, ""), (1, 24 * 3600 + 2, "")]
     got = {r.event_id: r.hit for r in ST.drain(ST.cache_lookups(events(spark, tmp_path, rows), "k"), "t").collect()}
     assert got == {0: False, 1: True, 2: False, 3: True}
+
+
+def test_csv_rows_drop_blanks_and_bom(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("﻿name,amount\r\n , \r\n\"Ann, B\",3\r\n".encode())
+    rows = sorted(tuple(r.cells) for r in IO.read_csv_rows(spark, str(tmp_path / "t.csv")).collect())
+    assert rows == [("Ann, B", "3"), ("name", "amount")]
+
+
+def test_file_ceiling_is_reported_without_reading(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"%PDF-1.7")
+    (tmp_path / "b.bin").write_bytes(b"x" * 50)
+    rows = {r.name: (r.accepted, r.content_hash is None) for r in IO.scan_files(spark, f"{tmp_path}/*.bin", 20).collect()}
+    assert rows == {"a.bin": (True, False), "b.bin": (False, True)}
