@@ -324,3 +324,10 @@ def test_file_ceiling_is_reported_without_reading(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x" * 50)
     rows = {r.name: (r.accepted, r.content_hash is None) for r in IO.scan_files(spark, f"{tmp_path}/*.bin", 20).collect()}
     assert rows == {"a.bin": (True, False), "b.bin": (False, True)}
+
+
+def test_recognition_hook(spark):
+    files = frame(spark, [(1, bytearray(b"ok")), (2, bytearray(b"\xff"))], "id int, content binary")
+    plain = {r.id: r.recognised for r in MM.ocr_map(files).collect()}
+    read = {r.id: (r.recognised, r.reason is None) for r in MM.ocr_map(files, lambda data: data.decode()).collect()}
+    assert plain == {1: None, 2: None} and read == {1: ("ok", True), 2: (None, False)}
