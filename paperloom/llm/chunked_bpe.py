@@ -66,13 +66,28 @@ class Coder:
         return b" ".join(map(self.decimal.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _short(coder_args):
+#: What to return of a text's ids: names and types of columns, and the values from (coder, ids).
+IDS = ("ids binary", lambda coder, ids: (ids,))
+DIGESTS = ("n_tokens long, ids_sha256 string, decoded_sha256 string", lambda coder, ids: (
+    len(ids) // 4, hashlib.sha256(coder.id_text(ids)).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+
+
+def _finished(result, coder, kept: list, names: list[str], all_ids) -> pa.RecordBatch:
+    """A batch of the kept columns and the result columns."""
+    fields = [part.split() for part in result[0].split(", ")]
+    types = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+    values = [result[1](coder, ids) for ids in all_ids]
+    columns = zip(*values, strict=True) if values else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [*kept, *(pa.array(list(c), types[kind]) for c, (_, kind) in zip(columns, fields, strict=True))], [*names, *(n for n, _ in fields)])
+
+
+def _short(coder_args, result):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*coder_args)
         for batch in batches:
-            ids = [coder.encode(text or "") for text in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.binary())], [*batch.schema.names[:-1], "ids"])
+            ids = (coder.encode(text or "") for text in batch.column(batch.num_columns - 1).to_pylist())
+            yield _finished(result, coder, batch.columns[:-1], batch.schema.names[:-1], ids)
     return run
 
 
@@ -118,15 +133,17 @@ def _shares(coder_args, size: int):
     return run
 
 
-def _strung(batches):
-    for batch in batches:
-        keys, parts = (c.to_pylist() for c in batch.columns)
-        ids = [b"".join(p["ids"] for p in sorted(own, key=lambda p: p["k"])) for own in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ids, pa.binary())], ["text_key", "ids"])
+def _strung(coder_args, result):
+    def run(batches):
+        coder = Coder(*coder_args)
+        for batch in batches:
+            ids = (b"".join(p["ids"] for p in sorted(own, key=lambda p: p["k"])) for own in batch.column(1).to_pylist())
+            yield _finished(result, coder, [batch.column(0)], ["text_key"], ids)
+    return run
 
 
-def encode_long(texts: DataFrame, coder_args=(None, None), chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(text_key, text) of distinct texts to (text_key, ids), every chunk being a task's row of its own."""
+def encode_long(texts: DataFrame, coder_args=(None, None), chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, result=IDS) -> DataFrame:
+    """(text_key, text) of distinct texts to text_key and the result, every chunk being a row of its own."""
     if overlap >= chunk_chars:
         raise ValueError("the overlap must be shorter than a chunk")
     chunks = stash(texts.mapInArrow(_cut(chunk_chars, overlap), "text_key string, k long, n long, chunk string"), "bpe-chunks")
@@ -140,40 +157,23 @@ def encode_long(texts: DataFrame, coder_args=(None, None), chunk_chars: int = CH
     shares = chunks.join(meets.filter("met"), ["text_key", "k"]).select("text_key", "k", "chunk", "begin", "end").mapInArrow(
         _shares(coder_args, chunk_chars), "text_key string, k long, ids binary")
     strung = shares.groupBy("text_key").agg(F.collect_list(F.struct("k", "ids")).alias("parts")).mapInArrow(
-        _strung, "text_key string, ids binary")
+        _strung(coder_args, result), f"text_key string, {result[0]}")
     whole = texts.join(meets.filter(~F.col("met")).select("text_key").distinct(), "text_key", "left_semi").select("text_key", "text").mapInArrow(
-        _short(coder_args), "text_key string, ids binary")
+        _short(coder_args, result), f"text_key string, {result[0]}")
     return strung.unionByName(whole)
 
 
 def encode(
     docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None, pattern: str | None = None,
-    chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP,
+    chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, result=IDS,
 ) -> DataFrame:
-    """`keep` columns and `ids` (binary, little-endian unsigned 32-bit) for every row."""
+    """`keep` columns and the result for every row: `ids` (binary, little-endian unsigned 32-bit) or their digests."""
     args = (vocabulary, pattern)
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     long_text = F.length("_text") > chunk_chars
-    short = rows.filter(~long_text).mapInArrow(_short(args), f"{kept}, ids binary")
+    short = rows.filter(~long_text).mapInArrow(_short(args, result), f"{kept}, {result[0]}")
     keyed = rows.filter(long_text).withColumn("_key", F.sha2("_text", 256))
     texts = keyed.select(F.col("_key").alias("text_key"), F.col("_text").alias("text")).dropDuplicates(["text_key"])
-    done = encode_long(texts, args, chunk_chars, overlap)
+    done = encode_long(texts, args, chunk_chars, overlap, result)
     return short.unionByName(keyed.drop("_text").join(done.withColumnRenamed("text_key", "_key"), "_key").drop("_key"))
-
-
-def digests(encoded: DataFrame, keep: list[str], vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Number of ids, digest of the id list and digest of the decoded bytes."""
-    def run(batches):
-        coder = Coder(vocabulary, pattern)
-        for batch in batches:
-            ids = batch.column(batch.num_columns - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:-1], pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(coder.id_text(i)).hexdigest() for i in ids], pa.string()),
-                pa.array([hashlib.sha256(coder.decode(i)).hexdigest() for i in ids], pa.string()),
-            ], [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = encoded.select(*keep, "ids")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -46,7 +46,7 @@ def rank_encoding(path: str | None, pattern: str | None):
 class Bounded(dict):
     """A memo of `make(key)` in two generations of `most` entries: memory stays bounded and keys in use stay."""
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 

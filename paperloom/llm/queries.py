@@ -3,35 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from paperloom.llm import chunked_bpe, packing, personal_data, secret_scan
+from paperloom.llm import chunked_bpe, code_language, fertility, line_chunks, packing, personal_data, secret_scan, topk
 from paperloom.sources.tables import load
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return add
 
 
-@query
+@query()
 def op1_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(load(spark, folder, "documents"))
 
 
-@query
+@query(line_chunks.ORACLE)
+def op2_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.report(load(spark, folder, "documents"))
+
+
+@query()
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.report(load(spark, folder, "documents"))
 
 
-@query
+@query()
+def op4_code_language(spark: SparkSession, folder: str) -> DataFrame:
+    return code_language.report(load(spark, folder, "documents"))
+
+
+@query()
+def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.judge(load(spark, folder, "documents"))
+
+
+@query()
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"))
 
 
-@query
+@query(topk.ORACLE)
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(load(spark, folder, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query()
 def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return chunked_bpe.digests(chunked_bpe.encode(load(spark, folder, "documents"), ["doc_id"]), ["doc_id"])
+    return chunked_bpe.encode(load(spark, folder, "documents"), ["doc_id"], result=chunked_bpe.DIGESTS)
