@@ -95,7 +95,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(scores, top, axis=1), ids[top]
 
 
-NONE = np.iinfo(np.int64).min
+NONE = -(2 ** 62)  # below every score
 
 
 def scored(batch: pd.Series, found: pd.DataFrame, k: int) -> pd.DataFrame:
