@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chunked_bpe, code_language, fertility, line_chunks, packing, personal_data, secret_scan, topk
+from paperloom.llm import chunked_bpe, code_language, fertility, html_trees, line_chunks, packing, personal_data, secret_scan, topk
 from paperloom.sources.tables import load
 
 QUERIES = {}
@@ -50,6 +50,11 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"))
 
 
+@query()
+def op8_html_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return html_trees.extract_pages(load(spark, folder, "pages"), ["page_id", "url"])
+
+
 @query(topk.ORACLE)
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(load(spark, folder, "embeddings"), lambda vec_id: vec_id % 50 == 0)
