@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chunked_bpe, code_language, fertility, html_trees, line_chunks, packing, personal_data, secret_scan, topk
+from paperloom.llm import chunked_bpe, code_language, coordinate_join, fertility, html_trees, line_chunks, packing, personal_data, secret_scan, topk
 from paperloom.sources.tables import load
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judge(load(spark, folder, "documents"))
 
 
+@query()
+def op6_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
+    return coordinate_join.link(load(spark, folder, "documents"), words=2)
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"))
