@@ -26,6 +26,7 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SHIFT = np.uint64(64 - 15)
 AMBIGUOUS = 0.6  # a lower score is ambiguous
+REJECTED = 0.4  # below this no language is clearly likelier than the rest
 UNDETERMINED = "und"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LATIN = re.compile("[A-Za-z]").search
@@ -132,8 +133,8 @@ class Codes:
         return self.languages[best], float(closeness[best] / closeness.sum())
 
 
-def identify(docs: DataFrame, keep: list[str], learned: dict[str, np.ndarray], text: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """`keep` columns with lang_pred, score and ambiguous."""
+def identify(docs: DataFrame, keep: list, learned: dict[str, np.ndarray], text: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """`keep` columns (names or expressions) with lang_pred, score and ambiguous."""
     codes = Codes(learned)
 
     def run(batches):
@@ -158,3 +159,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     learned = learn(docs.filter(~held_out(F.col(key))), lang, text)
     rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     return identify(rows, ["doc_id", "held_out"], learned)
+
+
+def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = REJECTED) -> DataFrame:
+    """The documents that are in some language: not `und`, and with a score of at least `least`."""
+    learned = learn(docs.filter(~held_out(F.col(key))), lang, text)
+    judged = identify(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")], learned, text)
+    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc.*")

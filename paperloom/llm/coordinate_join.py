@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm.common import MULTIPLIER, components, mixed, stash
 
@@ -242,3 +243,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     names = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     result = named.join(names, "label", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component: the smallest id; of rows equal in id and text, one."""
+    mark = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    named = docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("_place"), F.col(text).alias("_text"))
+    chosen = link(named, "_place", "_text", **options).filter("kept").select(F.col("doc_id.mark").alias("_cj_mark")).distinct()
+    kept = docs.withColumn("_cj_mark", mark).join(chosen, "_cj_mark", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_cj_mark").orderBy("_cj_mark"))
+    return kept.withColumn("_cj_nth", nth).filter("_cj_nth = 1").drop("_cj_mark", "_cj_nth")

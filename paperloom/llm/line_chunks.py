@@ -74,6 +74,14 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     return result.select(*[F.col(f"`{c}`") for c in columns], *extra)
 
 
+def remaining(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The documents without repeated chunks; those of which nothing is left go, `size` follows the text."""
+    rest = dedupe(docs, key, text, removed="_lc_removed").filter((F.col("_lc_removed") == 0) | (F.col(text) != ""))
+    if size in docs.columns:
+        rest = rest.withColumn(size, F.when(F.col("_lc_removed") == 0, F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
+    return rest.drop("_lc_removed")
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document the chunks removed, and length and digest of what is left."""
     return dedupe(docs.select(key, text), key, text, removed="n_removed").select(

@@ -46,6 +46,11 @@ def candidates(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(groups)}))")
 
 
+def row_key(key: Column, body: Column) -> Column:
+    """Names a row by id and text."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit("\x00"), body).cast("binary"))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """One row per document with its candidates: key, row_key, found (all) and the owner's columns."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -53,7 +58,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
         F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), body.alias("_text"),
     ).select(
         "key", "owner", "repository",
-        F.md5(F.concat(F.coalesce(F.col("key").cast("string"), F.lit("-")), F.lit("\x00"), "_text").cast("binary")).alias("row_key"),
+        row_key(F.col("key"), F.col("_text")).alias("row_key"),
         candidates("_text").alias("found"))
 
 
@@ -66,19 +71,39 @@ def ownership(found: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("times").alias("times"))
 
 
-def judged(docs: DataFrame, widely: int = WIDELY, **columns: str) -> DataFrame:
-    """Per document: key, `spans` (array<struct<start,kind_no,kind,end,owners,repositories,live>>), reported ones only."""
-    found = stash(scan(docs, **columns), "secret-candidates")
+def spans_by_row(found: DataFrame, widely: int = WIDELY) -> DataFrame:
+    """(row_key, spans): array<struct<start,kind_no,kind,end,owners,repositories,live>>, reported ones only.
+
+    Rows without a candidate are absent; rows with the same key have one entry.
+    """
     owned = found.select("row_key", F.explode("found").alias("c")).select("row_key", "c.*").join(ownership(found), "value_hash")
     live = F.col("lively") & (F.col("owners") < widely)
     spans = owned.select("row_key", F.struct("start", "kind_no", "kind", "end", "owners", "repositories", live.alias("live")).alias("s")).groupBy(
         "row_key").agg(F.array_sort(F.collect_set("s")).alias("all"))
-    kept = F.expr(
-        f"filter(all, s -> s.kind_no < {BASE} or (s.live and not exists(all, b -> b.kind_no < {BASE} and b.start < s.end and s.start < b.end)))")
-    spans = spans.select("row_key", kept.alias("spans"))
-    empty = F.filter(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in spans.schema["spans"].dataType.elementType.fields])),
-                     lambda s: F.lit(False))
-    return found.select("key", "row_key").join(spans, "row_key", "left").select("key", F.coalesce("spans", empty).alias("spans"))
+    return spans.select("row_key", F.expr(
+        f"filter(all, s -> s.kind_no < {BASE} or (s.live and not exists(all, b -> b.kind_no < {BASE} and b.start < s.end and s.start < b.end)))"
+    ).alias("spans"))
+
+
+def judged(docs: DataFrame, widely: int = WIDELY, **columns: str) -> DataFrame:
+    """Per document: key and spans, empty where nothing is reported."""
+    found = stash(scan(docs, **columns), "secret-candidates")
+    rows = found.select("key", "row_key").join(spans_by_row(found, widely), "row_key", "left")
+    empty = F.array().cast(rows.schema["spans"].dataType)
+    return rows.select("key", F.coalesce("spans", empty).alias("spans"))
+
+
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars", widely: int = WIDELY, **columns: str) -> DataFrame:
+    """The documents with live-looking secrets masked; `size` follows the text."""
+    found = stash(scan(docs, key=key, text=text, **columns), "secret-candidates")
+    live = spans_by_row(found, widely).select(
+        F.col("row_key").alias("_ss_key"), F.filter("spans", lambda s: s["live"]).alias("_ss_spans")).filter(F.size("_ss_spans") > 0)
+    rows = docs.withColumn("_ss_key", row_key(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(live, "_ss_key", "left")
+    hit = F.col("_ss_spans").isNotNull()
+    done = rows.withColumn(text, F.when(hit, masked(F.col(text), F.col("_ss_spans"))).otherwise(F.col(text)))
+    if size in docs.columns:
+        done = done.withColumn(size, F.when(hit, F.length(text)).otherwise(F.col(size)).cast(docs.schema[size].dataType))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
