@@ -213,10 +213,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     sets = stash(sets, "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
-    wanted = posted.select("node").distinct()
-    full = stash(full_sets(docs, key, text, words, wanted), "full-sets")
-
-    links = None
+    links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
     for turn in range(rounds + 1):
         apart = labelled.groupBy("posting").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("posting")
@@ -234,6 +231,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             right = open_.select("posting", F.col("node").alias("b"), F.col("label").alias("label_b"))
             pairs = left.join(right, "posting").filter("label_a <> label_b and a < b").select("a", "b").distinct()
             near = collided(pairs, sets, share, matches).select("a", "b")
+        near = stash(near, "near")
+        if near.isEmpty():
+            continue
+        wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        full = stash(full_sets(docs, key, text, words, wanted), "full-sets")
         found = stash(confirmed(near, full, share), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
