@@ -357,7 +357,7 @@ def cached_batches(spark, folder):
 # the one before it.
 
 def version_pairs(spark, folder):
-    rows = load(spark, folder, "documents").select(F.xxhash64(F.substring_index("text", "\n", 1)).alias("title"), "doc_id")
+    rows = load(spark, folder, "documents").select(F.substring_index("text", "\n", 1).alias("title"), "doc_id")
     before = scale.previous(rows, ["title"], "doc_id", ["doc_id"], "before_")
     return before.filter(F.col("before_doc_id").isNotNull()).select(
         F.col("doc_id").alias("pair_id"), F.col("before_doc_id").alias("old_id"), F.col("doc_id").alias("new_id"))
@@ -370,17 +370,22 @@ def version_diffs(spark, folder):
 
 
 @query("WITH " + DOC_PAGES + """,
-edited AS (SELECT doc_id, page, CASE WHEN page % 4 = 1 THEN text || ' Added 12 July 2024.' ELSE text END AS text FROM doc_pages WHERE NOT (page = 3 AND doc_id % 2 = 0)),
-totals AS (SELECT doc_id, count(*) AS n, count(*) FILTER (page % 4 = 1) AS touched, count(*) FILTER (page = 3) AS threes FROM doc_pages GROUP BY doc_id)
-SELECT doc_id AS pair_id, n AS old_page_count, n - CASE WHEN doc_id % 2 = 0 THEN threes ELSE 0 END AS new_page_count FROM totals WHERE n > 0""")
+p AS (SELECT doc_id AS pair_id, page, page % 4 = 1 AS touched, page = 3 AND doc_id % 2 = 0 AS gone, doc_id % 2 = 0 AND page > 3 AS moved,
+  length(trim(regexp_replace('Sheet ' || page || ': ' || text, '\\s+', ' ', 'g'))) AS n FROM doc_pages),
+s AS (SELECT *, touched AND 2.0 * n / (2 * n + 20) < 0.45 AS apart FROM p)
+SELECT pair_id, CASE WHEN gone OR apart THEN 'removed' WHEN touched THEN 'changed' ELSE 'unchanged' END AS status,
+  CAST(page AS INT) AS old_page, CAST(CASE WHEN gone OR apart THEN NULL WHEN moved THEN page - 1 ELSE page END AS INT) AS new_page FROM s
+UNION ALL SELECT pair_id, 'added', NULL, CAST(CASE WHEN moved THEN page - 1 ELSE page END AS INT) FROM s WHERE apart""")
 def edited_diffs(spark, folder):
-    original = books(spark, folder)
+    """Numbered sheets; the revision drops one sheet of every other document and dates every fourth."""
+    original = books(spark, folder).withColumn("pages", F.transform("pages", lambda p: F.struct(
+        p["page"].alias("page"), F.concat(F.lit("Sheet "), p["page"].cast("string"), F.lit(": "), p["text"]).alias("text"))))
     changed = original.withColumn("pages", P.renumber(F.transform(
         F.filter("pages", lambda p: ~((p["page"] == 3) & (F.col("doc_id") % 2 == 0))),
         lambda p: F.struct(p["page"].alias("page"), F.when(p["page"] % 4 == 1, F.concat(p["text"], F.lit(" Added 12 July 2024."))).otherwise(p["text"]).alias("text")))))
     paired = original.select(F.col("doc_id").alias("pair_id"), F.col("pages").alias("old_pages")).join(
         changed.select(F.col("doc_id").alias("pair_id"), F.col("pages").alias("new_pages")), "pair_id")
-    return D.diff_summary(D.compare(paired)).select("pair_id", "old_page_count", "new_page_count")
+    return D.compare(paired).select("pair_id", "status", "old_page", "new_page")
 
 
 @query("""
