@@ -16,6 +16,15 @@ LEVELS = 2
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of all rows
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys of the left side are kept."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running_before(
     df: DataFrame, keys: list[str], order: str, value: Column, name: str,
     bits: int = BITS, levels: int = LEVELS,
@@ -33,7 +42,7 @@ def running_before(
     scope = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.withColumn("_local", F.coalesce(F.sum("_value").over(scope), F.lit(0)))
     return (
-        local.join(carried.drop("_total"), [*keys, bucket])
+        null_safe_join(local, carried.drop("_total"), [*keys, bucket])
         .withColumn(name, F.col("_local") + F.col(f"_carry{levels}"))
         .drop("_value", bucket, "_local", f"_carry{levels}")
     )
@@ -68,7 +77,7 @@ def _look_back(df: DataFrame, keys: list[str], order: str, bits: int, levels: in
         "_near", F.lag("_row").over(Window.partitionBy(*keys, bucket).orderBy(order))
     )
     return (
-        local.join(carried, [*keys, bucket])
+        null_safe_join(local, carried, [*keys, bucket])
         .withColumn("_prev", F.coalesce("_near", f"_edge{levels}"))
         .drop(bucket, "_near", f"_edge{levels}")
     )
@@ -86,7 +95,7 @@ def attach(
     """
     total = per_key.agg(F.sum(weight)).scalar()
     hot = per_key.filter(F.col(weight) * HOT_SHARE > total).select(*keys).distinct()
-    flagged = fact.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    flagged = null_safe_join(fact, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     salted = flagged.withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(slices))).otherwise(F.lit(0))
     ).drop("_hot")
@@ -94,7 +103,7 @@ def attach(
         F.when(F.col(weight) * HOT_SHARE > total, F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
         .otherwise(F.array(F.lit(0).cast("long")))
     ))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return null_safe_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def deal(df: DataFrame, key: str) -> DataFrame:

@@ -116,8 +116,8 @@ def assign_fields(fields: DataFrame, recipients: DataFrame) -> DataFrame:
 def check_frozen(requests: DataFrame, versions: DataFrame) -> DataFrame:
     """requests(request_id, doc, version, frozen_hash): is the source version unchanged?"""
     stored = versions.select("doc", "version", "content_hash")
-    return requests.join(stored, ["doc", "version"]).withColumn(
-        "intact", F.col("frozen_hash").isNull() | (F.col("frozen_hash") == F.col("content_hash")))
+    return requests.join(stored, ["doc", "version"], "left").withColumn(
+        "intact", F.coalesce(F.col("frozen_hash").isNull() & F.col("content_hash").isNotNull() | (F.col("frozen_hash") == F.col("content_hash")), F.lit(False)))
 
 
 def stalled(jobs: DataFrame, now: Column, seconds: int = fixed.STALL_SECONDS) -> DataFrame:

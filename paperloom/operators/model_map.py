@@ -19,6 +19,7 @@ from paperloom.operators import chunks as C
 from paperloom.operators import retrieval as Q
 from paperloom.operators import risks as R
 from paperloom.operators import stats as S
+from paperloom.session import settle
 
 Model = Callable[[str, str], tuple[str, int]]
 
@@ -29,6 +30,9 @@ MODE_INSTRUCTIONS = {
 }
 
 
+WHOLE = 2 ** 31 - 1  # a budget no document reaches
+
+
 def first_line(system: str, user: str) -> tuple[str, int]:
     """Deterministic stand-in: the first non-blank line between the fence markers."""
     body = user.split(fixed.FENCE_OPEN, 1)[-1].split(fixed.FENCE_CLOSE, 1)[0]
@@ -119,7 +123,8 @@ def summarise(books: DataFrame, key: str = "doc_id", mode: str = "detailed", mod
         raise ValueError(f"Unknown summary mode '{mode}'. Expected one of: {', '.join(sorted(fixed.SUMMARY_MODES))}.")
     parts = C.chunk_pages(books, key, budget=budget)
     prompted = parts.withColumn("prompt", F.concat(F.lit(f"Write a {mode} summary.\n\n"), R.fence(F.col("text"))))
-    sections = model_map(prompted.drop("text"), model).drop("prompt").withColumnRenamed("reply", "summary")
+    # Written once: the model is paid for each call, and every reader must see the same replies.
+    sections = settle(model_map(prompted.drop("text"), model).drop("prompt").withColumnRenamed("reply", "summary"))
     label = F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string"), F.lit(" ("), T.page_label(F.col("first_page"), F.col("last_page")), F.lit("): "), F.col("summary"))
     good = ~F.col("failed") & (F.col("summary") != "")
     gathered = sections.groupBy(key).agg(
@@ -128,22 +133,24 @@ def summarise(books: DataFrame, key: str = "doc_id", mode: str = "detailed", mod
     kept = gathered.filter(F.col("good") > 0)
     joined = F.array_join(F.transform("_s", lambda s: s["label"]), "\n\n")
     single = kept.filter(F.col("good") == 1).select(
-        key, "section_count", "good", "tokens", F.get("_s", F.lit(0))["summary"].alias("combined"))
+        key, "section_count", "good", "tokens", F.get("_s", F.lit(0))["summary"].alias("combined"), F.lit(False).alias("failed"))
+    none = gathered.filter(F.col("good") == 0).select(
+        key, "section_count", "good", "tokens", F.lit(None).cast("string").alias("combined"), F.lit(True).alias("failed"))
     several = model_map(kept.filter(F.col("good") > 1).select(
         key, "section_count", "good", F.col("tokens").alias("section_tokens"),
         F.concat(F.lit("Merge these section summaries into one.\n\n"), R.fence(joined)).alias("prompt")), model)
-    merged = several.select(key, "section_count", "good", (F.col("section_tokens") + F.col("tokens")).alias("tokens"), F.col("reply").alias("combined"))
+    merged = several.select(key, "section_count", "good", (F.col("section_tokens") + F.col("tokens")).alias("tokens"), F.when(~F.col("failed"), F.col("reply")).alias("combined"), "failed")
     pages = books.select(key, F.size("pages").alias("page_count"))
     failures = F.col("section_count") - F.col("good")
     note = F.concat(
         F.col("page_count").cast("string"), F.lit(" page(s) summarised in "), F.col("section_count").cast("string"), F.lit(" section(s)."),
         F.when(failures > 0, F.concat(F.lit(" "), failures.cast("string"), F.lit(" section(s) failed and were left out."))).otherwise(""))
-    return sections, single.unionByName(merged).join(pages, key).withColumn("note", note).drop("good")
+    return sections, single.unionByName(settle(merged)).unionByName(none).join(pages, key).withColumn("note", note).drop("good")
 
 
-def analyse(books: DataFrame, key: str = "doc_id", model: Model = first_line, max_chars: int = fixed.ANALYSIS_CHARS) -> DataFrame:
-    """Structured analysis over labelled pages; what was cut for length is said in `pages_used`."""
-    shown = books.withColumn("_c", Q.context(F.col("pages"), max_chars, strict=True)).filter(F.size("_c.pages") > 0)
+def analyse(books: DataFrame, key: str = "doc_id", model: Model = first_line, max_chars: int | None = None) -> DataFrame:
+    """Structured analysis over all labelled pages; with `max_chars`, what was cut is said in `pages_used`."""
+    shown = books.withColumn("_c", Q.context(F.col("pages"), max_chars or WHOLE, strict=True)).filter(F.size("_c.pages") > 0)
     prompted = shown.select(
         key, F.size("_c.pages").alias("pages_used"), F.size("pages").alias("page_count"),
         F.concat(F.lit("Analyse this document and return only a JSON object.\n\n"), R.fence(F.col("_c.text"))).alias("prompt"))
@@ -151,16 +158,16 @@ def analyse(books: DataFrame, key: str = "doc_id", model: Model = first_line, ma
     return coerce_analysis(replied.withColumn("json_text", parse_json(F.col("reply"))))
 
 
-def key_quotes(books: DataFrame, key: str = "doc_id", count: int = 8, model: Model = first_line, max_chars: int = fixed.QUOTE_CHARS) -> DataFrame:
+def key_quotes(books: DataFrame, key: str = "doc_id", count: int = 8, model: Model = first_line, max_chars: int | None = None) -> DataFrame:
     """Model-picked passages that are really in the document, with their page."""
-    shown = books.withColumn("_c", Q.context(F.col("pages"), max_chars, strict=True)).filter(F.size("_c.pages") > 0)
+    shown = books.withColumn("_c", Q.context(F.col("pages"), max_chars or WHOLE, strict=True)).filter(F.size("_c.pages") > 0)
     prompted = shown.select(key, F.concat(
         F.lit(f"Copy up to {count} short passages exactly, one per line.\n\n"), R.fence(F.col("_c.text"))).alias("prompt"))
     lines = model_map(prompted, model).select(key, T.line_list(F.col("reply")).alias("lines"))
     return Q.verify_quotes(lines, books, key, count)
 
 
-def act(passages: DataFrame, mode: str, model: Model = first_line, language: str | None = None, text: str = "text"):
+def act(passages: DataFrame, mode: str, model: Model = first_line, language: str | None = None, text: str = "text", max_chars: int | None = fixed.PASSAGE_CHARS):
     """Run one action over selected passages: (results, refused)."""
     if mode == "translate":
         if not (language or "").strip():
@@ -171,7 +178,7 @@ def act(passages: DataFrame, mode: str, model: Model = first_line, language: str
     else:
         raise ValueError(f"Unknown action '{mode}'. Expected one of: {', '.join(sorted([*MODE_INSTRUCTIONS, 'translate']))}.")
     reason = F.when(T.is_blank(F.col(text)), "No text was selected.").when(
-        F.length(text) > fixed.PASSAGE_CHARS, "The selection is too large; select a smaller passage.")
+        F.length(text) > (max_chars or WHOLE), "The selection is too large; select a smaller passage.")
     judged = passages.withColumn("reason", reason)
     accepted = judged.filter(F.col("reason").isNull()).drop("reason").withColumn("injection_detected", R.any_injection(F.col(text)))
     replied = model_map(accepted.withColumn("prompt", F.concat(F.lit(instruction + "\n\n"), R.fence(F.col(text)))), model).drop("prompt")
@@ -211,19 +218,20 @@ def translate(books: DataFrame, language: str, key: str = "doc_id", model: Model
     asked = terms.select(key, "terms", F.concat(
         F.lit(f"Translate each term into {language.strip()}, one 'original = translation' per line.\n\n"),
         R.fence(F.array_join("terms", "\n"))).alias("prompt"))
-    known = parse_glossary(model_map(asked, model).select(key, "terms", "reply"), key).select(key, "glossary")
+    known = parse_glossary(model_map(asked, model).select(key, "terms", F.when(~F.col("failed"), F.col("reply")).otherwise("").alias("reply")), key).select(key, "glossary")
     if overrides:
         given = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
         known = known.withColumn("glossary", F.map_concat(F.map_filter(
             "glossary", lambda k, _: ~F.array_contains(F.map_keys(given), k)), given))
-    pairs = F.slice(F.transform(F.map_entries("glossary"), lambda e: F.concat_ws(" = ", e["key"], e["value"])), 1, 40)
+    pairs = F.transform(F.map_entries("glossary"), lambda e: F.concat_ws(" = ", e["key"], e["value"]))
     pages = books.join(known, key).select(key, pairs.alias("_pairs"), F.explode("pages").alias("_p")).select(
         key, F.col("_p.page").alias("page"), T.strip(F.col("_p.text")).alias("original"), "_pairs")
     use = F.when(F.size("_pairs") > 0, F.concat(F.lit("\n\nUse these translations:\n"), F.array_join("_pairs", "\n"))).otherwise("")
-    blank = pages.filter(F.col("original") == "").select(key, "page", "original", F.lit("").alias("translated"), F.lit(0).cast("long").alias("tokens"))
+    blank = pages.filter(F.col("original") == "").select(key, "page", "original", F.lit("").alias("translated"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("failed"))
     prompted = pages.filter(F.col("original") != "").select(key, "page", "original", F.concat(
         F.lit(f"Translate the page into {language.strip()}."), use, F.lit("\n\n"), R.fence(F.col("original"))).alias("prompt"))
-    done = model_map(prompted, model).select(key, "page", "original", F.col("reply").alias("translated"), "tokens")
+    done = model_map(prompted, model).select(
+        key, "page", "original", F.when(~F.col("failed"), F.col("reply")).alias("translated"), "tokens", "failed")
     return done.unionByName(blank)
 
 
@@ -231,7 +239,7 @@ def process_batch(docs: DataFrame, cache: DataFrame, keys: list[str], now: Colum
     """Cached results are reused, misses are processed: rows with `source` cache or processed."""
     from paperloom.operators import versions as V
 
-    live = V.live_cache(cache, now).select(*keys, "result").dropDuplicates(keys)
+    live = V.live_cache(cache, now).groupBy(*keys).agg(F.max_by("result", "created_at").alias("result"))
     hits = docs.join(live, keys).withColumn("source", F.lit("cache"))
     misses = docs.join(live.select(*keys), keys, "left_anti")
     return hits.select(*docs.columns, "result", "source").unionByName(

@@ -123,7 +123,7 @@ def renumber(pages: Column) -> Column:
 
 def _edit(books: DataFrame, edits: DataFrame, reason: Column, result: Column, key: str) -> tuple[DataFrame, DataFrame]:
     """Apply one instruction per document; refused instructions come back with their reason."""
-    joined = books.join(edits, key).withColumn("reason", reason)
+    joined = edits.join(books, key, "left").withColumn("reason", F.when(F.col("pages").isNull(), "The document was not found.").otherwise(reason))
     done = joined.filter(F.col("reason").isNull()).withColumn("pages", renumber(result))
     refused = joined.filter(F.col("reason").isNotNull()).select(key, "reason")
     return done.select(*books.columns), refused
@@ -173,12 +173,12 @@ def _with_source(edits: DataFrame, books: DataFrame, key: str) -> DataFrame:
     """Bring the source document's pages (and the selected ones) next to the instruction."""
     source = books.select(F.col(key).alias("source"), F.col("pages").alias("source_pages"))
     chosen = F.coalesce(F.col("selection"), F.transform("source_pages", lambda p, i: i + 1))
-    return edits.join(source, "source").withColumn("chosen", chosen)
+    return edits.join(source, "source", "left").withColumn("chosen", chosen)
 
 
 def _source_error() -> Column:
     bad = F.filter("chosen", lambda n: (n < 1) | (n > F.size("source_pages")))
-    return F.when(F.size(bad) > 0, F.concat(
+    return F.when(F.col("source_pages").isNull(), "The source document was not found.").when(F.size(bad) > 0, F.concat(
         F.lit("The source document has "), F.size("source_pages").cast("string"), F.lit(" page(s); page "),
         F.get(bad, F.lit(0)).cast("string"), F.lit(" was requested."),
     )).when(F.size("chosen") == 0, "No source pages were selected.")
@@ -249,12 +249,12 @@ def merge_books(requests: DataFrame, books: DataFrame, key: str = "doc_id") -> D
 
 def split_ranges(books: DataFrame, ranges: DataFrame, key: str = "doc_id"):
     """ranges(key, part, first, last): inclusive page ranges, each a new document."""
-    joined = books.join(ranges, key)
-    bad = (F.col("first") < 1) | (F.col("last") > F.size("pages")) | (F.col("first") > F.col("last"))
-    refused = joined.filter(bad).select(key, "part", F.concat(
+    joined = ranges.join(books, key, "left")
+    bad = F.col("pages").isNull() | (F.col("first") < 1) | (F.col("last") > F.size("pages")) | (F.col("first") > F.col("last"))
+    refused = joined.filter(bad).select(key, "part", F.when(F.col("pages").isNull(), "The document was not found.").otherwise(F.concat(
         F.lit("Range "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"),
         F.lit(" is invalid for a "), F.size("pages").cast("string"), F.lit("-page document."),
-    ).alias("reason"))
+    )).alias("reason"))
     done = joined.filter(~bad).withColumn(
         "pages", renumber(F.slice("pages", F.col("first"), F.col("last") - F.col("first") + 1)))
     return done.select(*books.columns, "part"), refused

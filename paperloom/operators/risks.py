@@ -11,10 +11,10 @@ from paperloom.functions import text as T
 SEVERITY_RANK = {name: i for i, name in enumerate(fixed.SEVERITIES)}
 
 
-def injection_hits(text: str, cap: int = fixed.INJECTION_CAP) -> Column:
+def injection_hits(text: str, cap: int | None = None) -> Column:
     """array<struct<position,pattern_no,category,excerpt>> of one text column.
 
-    The cap counts hits in pattern order; only an uncapped result is sorted by position.
+    All hits by position; `cap` keeps the first ones in pattern order instead.
     """
     left = f"greatest(m_.start - {fixed.INJECTION_MARGIN}, 0)"
     right = f"least(m_.start + length(m_.value) + {fixed.INJECTION_MARGIN}, length({text}))"
@@ -24,7 +24,8 @@ def injection_hits(text: str, cap: int = fixed.INJECTION_CAP) -> Column:
         f"'pattern_no', {number}, 'category', '{category}', 'excerpt', {excerpt}))"
         for number, (pattern, category) in enumerate(fixed.INJECTION_PATTERNS)
     ]
-    return F.expr(T.let_sql(f"concat({', '.join(parts)})", "all_", f"if(size(all_) >= {cap}, slice(all_, 1, {cap}), sort_array(all_))"))
+    ordered = f"if(size(all_) >= {cap}, slice(all_, 1, {cap}), sort_array(all_))" if cap else "sort_array(all_)"
+    return F.expr(T.let_sql(f"concat({', '.join(parts)})", "all_", ordered))
 
 
 def _flagged(pattern: str) -> str:
@@ -38,7 +39,7 @@ def any_injection(text: Column) -> Column:
     return test
 
 
-def scan_injection(docs: DataFrame, *keep: str, text: str = "text", cap: int = fixed.INJECTION_CAP) -> DataFrame:
+def scan_injection(docs: DataFrame, *keep: str, text: str = "text", cap: int | None = None) -> DataFrame:
     """One row per suspicious passage; documents without any never reach the offset step."""
     hits = docs.filter(any_injection(F.col(text))).select(
         *keep, F.posexplode(injection_hits(text, cap)).alias("hit", "_h"))
@@ -100,13 +101,14 @@ def classify_url(url: Column, flag_bare_com: bool = True) -> Column:
     )
 
 
-def urls_of(text: Column, cap: int = fixed.URL_CAP) -> Column:
-    """Distinct URLs of a text in the order first seen, trailing punctuation trimmed."""
+def urls_of(text: Column, cap: int | None = None) -> Column:
+    """Distinct URLs of a text in the order first seen, trailing punctuation trimmed; the first `cap` if given."""
     found = F.regexp_extract_all(text, F.lit(fixed.URL_PATTERN), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(fixed.URL_TRAILING)))), 1, cap)
+    urls = F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(fixed.URL_TRAILING))))
+    return F.slice(urls, 1, cap) if cap else urls
 
 
-def doc_urls(docs: DataFrame, *keep: str, text: str = "text", cap: int = fixed.URL_CAP) -> DataFrame:
+def doc_urls(docs: DataFrame, *keep: str, text: str = "text", cap: int | None = None) -> DataFrame:
     return docs.select(*keep, F.posexplode(urls_of(F.col(text), cap)).alias("position", "url"))
 
 
@@ -189,21 +191,20 @@ def with_risk_labels(rolled: DataFrame) -> DataFrame:
             F.col("findings").cast("string"), F.lit(" indicator(s) detected — "), parts, F.lit("."))))
 
 
-def finding_locations(findings: DataFrame, keys: list[str], shown: int = fixed.LOCATIONS_SHOWN) -> DataFrame:
-    """The first `shown` distinct locations in order, with how many more there are.
+def by_severity(findings: DataFrame, *then: str) -> DataFrame:
+    """All findings, the gravest first."""
+    return findings.orderBy(severity_rank(F.col("severity")).desc(), *then)
 
-    Only the kept locations are ever gathered: the cut happens in the window, whose limit
-    Spark also applies before the shuffle.
-    """
-    from pyspark.sql import Window
 
+def finding_locations(findings: DataFrame, keys: list[str], shown: int | None = None) -> DataFrame:
+    """Distinct locations in order and their number; with `shown`, the first ones and how many more there are."""
     distinct = findings.select(*keys, "location").filter(F.col("location").isNotNull()).distinct()
-    totals = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    first = distinct.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("location"))).filter(
-        F.col("_r") <= shown)
-    listed = first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("location")), ", ").alias("_list"))
-    more = F.when(F.col("_n") > shown, F.concat(F.lit(" (+"), (F.col("_n") - shown).cast("string"), F.lit(" more)"))).otherwise("")
-    return listed.join(totals, keys).select(*keys, F.concat("_list", more).alias("locations"), F.col("_n").alias("location_count"))
+    gathered = distinct.groupBy(*keys).agg(F.sort_array(F.collect_list("location")).alias("_all"))
+    listed, count = F.array_join("_all", ", "), F.size("_all")
+    if shown:
+        listed = F.concat(F.array_join(F.slice("_all", 1, shown), ", "), F.when(count > shown, F.concat(
+            F.lit(" (+"), (count - shown).cast("string"), F.lit(" more)"))).otherwise(""))
+    return gathered.select(*keys, listed.alias("locations"), count.cast("long").alias("location_count"))
 
 
 def url_findings(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:

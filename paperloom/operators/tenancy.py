@@ -107,3 +107,13 @@ def page_of(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -
 
 def own_assets(assets: DataFrame, user_id: int) -> DataFrame:
     return assets.filter(F.col("user_id") == user_id)
+
+
+def in_order(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """All rows in a stated order: a range-partitioned sort, without a cut."""
+    return rows.orderBy(*order)
+
+
+def page_slice(rows: DataFrame, position: str, first: int, stop: int) -> DataFrame:
+    """Rows whose position lies in [first, stop)."""
+    return rows.filter((F.col(position) >= first) & (F.col(position) < stop))

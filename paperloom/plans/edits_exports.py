@@ -87,12 +87,13 @@ placed AS (
 ),
 ordered AS (SELECT doc_id, a, b, text, CASE WHEN b = 0 THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, a, b > 0) END AS x FROM placed)
 SELECT doc_id, count(*) AS pages, sum(length(text)) AS characters, NULL AS reason FROM ordered GROUP BY doc_id
-UNION ALL SELECT doc_id, NULL, NULL, 'Cannot insert after page ' || n + 1 || '; the document has ' || n || ' page(s). Use 0 to insert at the beginning.' FROM src WHERE doc_id % 4 = 3""")
+UNION ALL SELECT doc_id, NULL, NULL, 'Cannot insert after page ' || n + 1 || '; the document has ' || n || ' page(s). Use 0 to insert at the beginning.' FROM sized_docs WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id, NULL, NULL, 'The source document was not found.' FROM sized_docs WHERE doc_id % 4 <> 3 AND doc_id + 7 NOT IN (SELECT doc_id FROM sized_docs)""")
 def inserted_pages(spark, folder):
     n = F.col("n")
     other = books(spark, folder).select((F.col("doc_id") - 7).alias("doc_id"), F.size("pages").alias("m"))
     made = edits(spark, folder, after=F.when(F.col("doc_id") % 4 == 3, n + 1).otherwise(F.floor(n / 2).cast("int")), source=F.col("doc_id") + 7)
-    made = made.join(other, "doc_id").withColumn("selection", F.array(F.col("m"), F.lit(1))).drop("m")
+    made = made.join(other, "doc_id", "left").withColumn("selection", F.array(F.col("m"), F.lit(1))).drop("m")
     ok, refused = P.insert_pages(books(spark, folder), made)
     done = ok.select("doc_id", F.size("pages").alias("pages"), T.sum_of(F.transform("pages", lambda p: F.length(p["text"]))).alias("characters"), F.lit(None).cast("string").alias("reason"))
     return done.unionByName(refused.select("doc_id", F.lit(None).cast("int").alias("pages"), F.lit(None).cast("long").alias("characters"), "reason"))
@@ -104,7 +105,8 @@ good AS (SELECT * FROM src WHERE n >= 2 AND m >= 2)
 SELECT g.doc_id, p.page, CASE WHEN p.page = 1 THEN s2.text WHEN p.page = n THEN s1.text ELSE p.text END AS text, NULL AS reason
 FROM good g JOIN doc_pages p ON p.doc_id = g.doc_id JOIN doc_pages s1 ON s1.doc_id = g.source AND s1.page = 1 JOIN doc_pages s2 ON s2.doc_id = g.source AND s2.page = 2
 UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN m < 2 THEN 'The source document has ' || m || ' page(s); page 2 was requested.'
-  ELSE '1 page(s) are being replaced but 2 replacement page(s) were supplied. The counts must match.' END FROM src WHERE n < 2 OR m < 2""")
+  ELSE '1 page(s) are being replaced but 2 replacement page(s) were supplied. The counts must match.' END FROM src WHERE n < 2 OR m < 2
+UNION ALL SELECT doc_id, NULL, NULL, 'The source document was not found.' FROM sized_docs WHERE doc_id + 7 NOT IN (SELECT doc_id FROM sized_docs)""")
 def replaced_pages(spark, folder):
     made = edits(spark, folder, targets=F.array(F.col("n"), F.lit(1)), selection=F.array(F.lit(2), F.lit(1)), source=F.col("doc_id") + 7)
     return flat(*P.replace_pages(books(spark, folder), made))
@@ -326,18 +328,17 @@ all_lines AS (SELECT doc_id, page, i - 1 AS line_no, {STRIP.format('l[i]')} AS l
   SELECT doc_id, page, string_split(text, chr(10)) AS l FROM doc_pages))),
 shown AS (SELECT * FROM all_lines WHERE line <> '')"""
 HEADING = """(len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) <= 9 AND NOT regexp_matches(line, '[.,;:]$')
-  AND regexp_matches(line, '[A-Za-z]') AND (NOT regexp_matches(line, '[a-z]') OR NOT regexp_matches(line, '(^|[^A-Za-z])[a-z]') AND NOT regexp_matches(line, '[A-Za-z][A-Z]')))"""
+  AND regexp_matches(line, '[\\p{Lu}\\p{Ll}]') AND (NOT regexp_matches(line, '\\p{Ll}') OR NOT regexp_matches(line, '(^|[^\\p{Lu}\\p{Ll}])\\p{Ll}') AND NOT regexp_matches(line, '[\\p{Lu}\\p{Ll}]\\p{Lu}')))"""
 
 
 @query("WITH " + LINES_SQL + f"""
 SELECT doc_id, page, CAST(line_no AS INTEGER) AS line_no, CASE WHEN {HEADING} THEN '## ' || line ELSE line END AS markdown
-FROM (SELECT doc_id, page, line_no, CASE WHEN (doc_id + line_no) % 3 = 0 THEN rtrim(line, '.') ELSE line END AS line FROM shown) WHERE regexp_full_match(line, '[\\x00-\\x7F]+')""")
+FROM (SELECT doc_id, page, line_no, CASE WHEN (doc_id + line_no) % 3 = 0 THEN rtrim(line, '.') ELSE line END AS line FROM shown)""")
 def markdown_lines(spark, folder):
     """Every third line loses its stop, so that some can be headings."""
     lines = X.page_lines(books(spark, folder), "doc_id").withColumn("line", F.when(
         (F.col("doc_id") + F.col("line_no")) % 3 == 0, F.rtrim(F.col("line"), F.lit("."))).otherwise(F.col("line")))
-    plain = lines.filter(F.col("line").rlike(r"\A[\x00-\x7F]+\z"))
-    return plain.select("doc_id", "page", "line_no", F.when(X.is_heading("line"), F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")).alias("markdown"))
+    return lines.filter(F.col("line") != "").select("doc_id", "page", "line_no", F.when(X.is_heading("line"), F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")).alias("markdown"))
 
 
 @query()

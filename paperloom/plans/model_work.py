@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, scale
@@ -127,17 +129,17 @@ def fabricated_pages(spark, folder):
 @query("WITH " + DOC_PAGES + f""",
 cands AS (
   SELECT doc_id, 1 AS n, {STRIP.format("l[2]")} AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-  UNION ALL SELECT doc_id, 2, {STRIP.format("upper(l[3])")} FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+  UNION ALL SELECT doc_id, 2, {STRIP.format("translate(l[3], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")} FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
 ),
 flat AS (SELECT doc_id, page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM doc_pages),
 placed AS (SELECT doc_id, n, c, min(page) AS page FROM cands JOIN flat USING (doc_id)
-  WHERE length(c) >= 20 AND contains(body, lower(trim(regexp_replace(c, '\\s+', ' ', 'g')))) AND regexp_full_match(c, '[\\x00-\\x7F]*') AND c[1] NOT IN ('-', '"') AND c[-1] <> '"' GROUP BY ALL)
+  WHERE length(c) >= 20 AND contains(body, lower(trim(regexp_replace(c, '\\s+', ' ', 'g')))) AND c[1] NOT IN ('-', '"') AND c[-1] <> '"' GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS position, c AS quote, page FROM placed""")
 def verified_quotes(spark, folder):
     lines = F.split("text", "\n", -1)
-    plain = lambda c: F.when(c.rlike(r'\A[\x00-\x7F]*\z') & ~T.strip(c).rlike(r'\A[-"]|"\z'), c)
+    plain = lambda c: F.when(~T.strip(c).rlike(r'\A[-"]|"\z'), c)
     made = documents(spark, folder).select("doc_id", F.array_compact(F.array(
-        plain(F.get(lines, F.lit(1))), F.concat(F.lit(' - "'), plain(F.upper(F.get(lines, F.lit(2)))), F.lit('"')),
+        plain(F.get(lines, F.lit(1))), F.concat(F.lit(' - "'), plain(F.translate(F.get(lines, F.lit(2)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), F.lit('"')),
         F.lit("An invented sentence found nowhere at all."))).alias("lines"))
     made = made.withColumn("lines", F.transform("lines", lambda c: F.regexp_replace(c, '^ - "(.*)"$', '"$1"')))
     return Q.verify_quotes(made, books(spark, folder))
@@ -310,18 +312,19 @@ def passage_summaries(spark, folder):
 
 
 def upper_model(system: str, user: str) -> tuple[str, int]:
-    """Deterministic translator: capitals; for a term list, 'term = TERM' lines."""
+    """Deterministic translator: length and digest of the whole page; for a term list, 'term = TERM' lines."""
     body = user.split(fixed.FENCE_OPEN + "\n", 1)[-1].split("\n" + fixed.FENCE_CLOSE, 1)[0]
     if user.startswith("Translate each term"):
         return "\n".join(f"{t.lower()} = {t.upper()}" for t in body.split("\n")), 1
-    return body.upper(), 1
+    return f"{len(body)} {hashlib.sha256(body.encode()).hexdigest()[:16]}", 1
 
 
 @query("WITH " + DOC_PAGES + f"""
-SELECT doc_id, page, {STRIP.format('upper(text)')} AS translated, {STRIP.format('text')} = '' AS blank FROM doc_pages WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+SELECT doc_id, page, CASE WHEN body = '' THEN '' ELSE length(body) || ' ' || substr(sha256(body), 1, 16) END AS translated, body = '' AS blank
+FROM (SELECT doc_id, page, {STRIP.format('text')} AS body FROM doc_pages)""")
 def translated_pages(spark, folder):
     done = MM.translate(books(spark, folder), "Capitals", model=upper_model)
-    return done.filter(F.col("original").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", "page", "translated", (F.col("original") == "").alias("blank"))
+    return done.select("doc_id", "page", "translated", (F.col("original") == "").alias("blank"))
 
 
 # Glossary replies per part name: one exact line, one by unique prefix, one unknown.

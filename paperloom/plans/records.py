@@ -341,14 +341,14 @@ def annotation_listing(spark, folder):
     return M.list_annotations(notes, page=2, kind="user", include_resolved=False).select("conv_id", "turn")
 
 
-@query("SELECT conv_id, turn, role FROM conversations ORDER BY turn, conv_id, role LIMIT 50")
+@query("SELECT conv_id, turn, role FROM conversations ORDER BY turn, conv_id, role")
 def annotations_in_order(spark, folder):
-    return load(spark, folder, "conversations").orderBy("turn", "conv_id", "role").limit(50).select("conv_id", "turn", "role")
+    return M.in_order(load(spark, folder, "conversations"), "turn", "conv_id", "role").select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, turn, length(text) AS characters FROM conversations WHERE turn >= 1 AND turn < 3")
 def page_slice(spark, folder):
-    return load(spark, folder, "conversations").filter((F.col("turn") >= 1) & (F.col("turn") < 3)).select("conv_id", "turn", F.length("text").alias("characters"))
+    return M.page_slice(load(spark, folder, "conversations"), "turn", 1, 3).select("conv_id", "turn", F.length("text").alias("characters"))
 
 
 # ------------------------------------------------------------------ jobs and logs

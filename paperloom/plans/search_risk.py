@@ -87,12 +87,12 @@ EDIT_SQL = DOC_PAGES + """,
 edits AS (
   SELECT doc_id, page, text, t[3] AS find, '[' || page || ']' AS replacement
   FROM (SELECT *, list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '') AS t FROM doc_pages)
-  WHERE t[3] IS NOT NULL AND length(t[3]) > 2 AND regexp_full_match(text, '[\\x00-\\x7F]*')
+  WHERE t[3] IS NOT NULL AND length(t[3]) > 2
 )"""
 
 
 def page_edits(spark, folder):
-    pages = doc_pages(spark, folder).filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    pages = doc_pages(spark, folder)
     third = F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(2))
     return pages.withColumn("find", third).filter(F.length("find") > 2).withColumn(
         "replacement", F.concat(F.lit("["), F.col("page").cast("string"), F.lit("]"))).withColumn(
@@ -181,13 +181,13 @@ def luhn_check(spark, folder):
 MASK_SQL = DOC_PAGES + """,
 targets AS (
   SELECT doc_id, page, text, regexp_extract(text, '[A-Za-z]{5,}') AS term FROM doc_pages
-  WHERE regexp_full_match(text, '[\\x00-\\x7F]*') AND regexp_matches(text, '[A-Za-z]{5,}')
+  WHERE regexp_matches(text, '[A-Za-z]{5,}')
 )"""
 
 
 def mask_targets(spark, folder):
     pages = doc_pages(spark, folder)
-    hits = pages.filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & F.col("text").rlike("[A-Za-z]{5,}")).select(
+    hits = pages.filter(F.col("text").rlike("[A-Za-z]{5,}")).select(
         "doc_id", "page", F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("value"))
     return pages, D.targets_per_page(hits, ["doc_id", "page"])
 
@@ -271,9 +271,9 @@ ordered AS (
     row_number() OVER (PARTITION BY conv_id, turn ORDER BY start, pattern_no) AS by_place FROM raw
 ),
 kept AS (
-  SELECT conv_id, turn, CASE WHEN total >= 25 THEN by_pattern ELSE by_place END - 1 AS hit, start AS position, category,
+  SELECT conv_id, turn, by_place - 1 AS hit, start AS position, category,
     {SQUEEZE.format('substr(body, greatest(start - 45, 0) + 1, least(start + length(value) + 45, length(body)) - greatest(start - 45, 0))')} AS excerpt
-  FROM ordered WHERE total < 25 OR by_pattern <= 25
+  FROM ordered
 )"""
 
 
@@ -476,7 +476,7 @@ def risk_rollup(spark, folder):
 @query("WITH " + FINDINGS_SQL + """,
 d AS (SELECT DISTINCT doc_id, finding_id, location FROM findings),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, finding_id ORDER BY location) AS n, count(*) OVER (PARTITION BY doc_id, finding_id) AS c FROM d)
-SELECT doc_id, finding_id, string_agg(location, ', ' ORDER BY n) FILTER (n <= 6) || CASE WHEN max(c) > 6 THEN ' (+' || max(c) - 6 || ' more)' ELSE '' END AS locations,
+SELECT doc_id, finding_id, string_agg(location, ', ' ORDER BY n) AS locations,
   max(c) AS location_count FROM r GROUP BY ALL""")
 def finding_locations(spark, folder):
     return R.finding_locations(findings(spark, folder), ["doc_id", "finding_id"])
@@ -484,9 +484,9 @@ def finding_locations(spark, folder):
 
 @query("WITH " + FINDINGS_SQL + f"""
 SELECT doc_id, finding_id, severity, location FROM findings
-ORDER BY {RANKS} DESC, doc_id, finding_id, location LIMIT 100""")
+ORDER BY {RANKS} DESC, doc_id, finding_id, location""")
 def findings_by_severity(spark, folder):
-    return findings(spark, folder).orderBy(R.severity_rank(F.col("severity")).desc(), "doc_id", "finding_id", "location").limit(100)
+    return R.by_severity(findings(spark, folder), "doc_id", "finding_id", "location")
 
 
 @query("WITH " + ROLLUP_SQL + f"""

@@ -26,9 +26,12 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
     """A table's files as a stream; times without a zone are taken in the session's zone."""
+    path = f"{folder}/{table}.parquet"
+    # A stream's source is a folder: the table's own, or the one its single file lies in.
+    single = [f.rsplit("/", 1)[-1] for f in spark.read.schema(schema).parquet(path).inputFiles()] == [f"{table}.parquet"]
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     rows = (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+        reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder) if single else reader.parquet(path)
     )
     zoneless = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return rows.withColumns({name: F.col(name).cast("timestamp") for name in zoneless}) if zoneless else rows
@@ -42,12 +45,16 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
+    before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     run = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True).format("parquet").start(f"{out}/rows")
     )
-    run.awaitTermination()
+    try:
+        run.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
