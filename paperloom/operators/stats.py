@@ -92,13 +92,13 @@ def insights(books: DataFrame, k: int = 20) -> DataFrame:
     return scored.withColumn("keywords", top).drop("full_text", "pages")
 
 
-def glossary_terms(pages: Column, minimum: int = 3, limit: int = 40) -> Column:
+def glossary_terms(pages: Column, minimum: int = 3, limit: int | None = None) -> Column:
     """Recurring capitalised phrases of a book: array<struct<rank_key,term>>, most frequent first."""
     found = F.flatten(F.transform(pages, lambda p: F.regexp_extract_all(p["text"], F.lit(fixed.TERM_PATTERN), F.lit(0))))
     kept = F.filter(found, lambda t: (F.length(t) >= 4) & ~t.isin(fixed.STOP_TERMS))
     often = F.filter(T.ranked_terms(kept), lambda t: t["rank_key"] <= -minimum)
     by_name = F.sort_array(F.transform(often, lambda t: F.struct(t["rank_key"].alias("rank_key"), t["term"].alias("term"))))
-    return F.slice(by_name, 1, limit)
+    return F.slice(by_name, 1, limit) if limit else by_name
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

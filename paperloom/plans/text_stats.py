@@ -138,7 +138,7 @@ counted AS (
   WHERE length(t) >= 4 AND t NOT IN (""" + quoted(fixed.STOP_TERMS) + """) GROUP BY ALL HAVING count(*) >= 3
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) AS rank FROM counted)
-SELECT doc_id, t AS term, n, rank FROM ranked WHERE rank <= 40""")
+SELECT doc_id, t AS term, n, rank FROM ranked""")
 def doc_glossary(spark, folder):
     terms = books(spark, folder).select("doc_id", F.posexplode(S.glossary_terms(F.col("pages"))).alias("i", "t"))
     return terms.select("doc_id", "t.term", (-F.col("t.rank_key")).alias("n"), (F.col("i") + 1).alias("rank"))
