@@ -81,16 +81,21 @@ def word_encoder(vocabulary: str | None = None, pattern: str | None = None):
     return encode
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node that points nowhere itself."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return several.isEmpty() and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge table: (node, label), label being the smallest node.
 
     Alternating large-star and small-star steps; each step is one aggregate and one join,
-    written to the shared folder, until no edge changes.
+    written to the shared folder, until only stars around their smallest node are left.
     """
     now = stash(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
                 .filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -100,9 +105,5 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
         now = stash(small, "small-star")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
