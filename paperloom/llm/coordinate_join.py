@@ -1,17 +1,22 @@
 """Near-duplicates by an inverted join on signature coordinates.
 
 Every document's set of word shingles (ASCII-lower-cased words, distinct) is reduced to a
-signature of `coordinates` minima. Equal sets are collapsed first. A set is posted under
-its coordinate-value pairs; two sets are candidates if they share at least `matches` of
-them, so they must share one of the `coordinates - matches + 1` pairs that are rarest in
-the corpus (prefix filter): only those are posted, pairs that occur once are skipped, and
-frequent pairs are skipped whenever rarer ones suffice. Collisions of the candidates are
-then counted on the whole signatures and the survivors confirmed on the full sets.
-
-Groups never expand into all pairs. In the first rounds each posting list names one centre
-(another one each round), and members are held against their best centres only; linked sets
-merge into components. What is left, pairs within a posting list whose members are still in
-different components, is then compared completely, so no link between components is lost.
+signature: `coordinates` minima under independent hashes, and a byte for each of `BINS`
+bins of one further hash. Equal sets are collapsed first. A set is posted under its
+coordinate-value pairs; two sets are candidates if they share at least `matches` of them,
+so they must share one of the `coordinates - matches + 1` pairs that are rarest in the
+corpus (prefix filter): only those are posted, pairs that occur once are skipped, and
+frequent pairs are skipped whenever rarer ones suffice. Collisions of candidates are then
+counted over the bins; a pair stays if its share of equal bins is no further below the
+similarity than chance explains (`SPREADS` standard deviations), and is confirmed on the
+full sets.
+
+Groups never expand into all pairs. In the first rounds each posting list names one centre,
+the member whose pairs are most frequent (an original rather than one of its copies; another
+one each round), and members are held against their best centres only; linked sets merge
+into components. What is left, couples within a posting list that are still in different
+components, is counted completely inside the lists, in blocks of bounded size, and only
+couples that stay are put out, once each. So no link between components is lost.
 
 Null or blank text has an empty set: linked with nothing, its own component. Rows without
 id form components but have no name to give: the smallest id reachable names a component,
@@ -36,6 +41,9 @@ COORDINATES = 32
 MATCHES = 16
 ROUNDS = 2
 BLOOM_BITS = 1 << 26
+BINS = 512
+SPREADS = 4.25
+BLOCK = 2048  # members of a posting list compared at once
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -86,12 +94,35 @@ def minima(values: np.ndarray, coordinates: int) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def binned(values: np.ndarray) -> bytes:
+    """One byte per bin of a hash: 0 if no element falls there, else made from the smallest that does."""
+    spread = np.sort(mixed(values * MULTIPLIER + np.uint64(77)))
+    bins = (spread >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    found = np.zeros(BINS, np.uint8)
+    found[bins[first]] = (spread[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return found.tobytes()
+
+
+def alike(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal bins of rows of two tables, and whether so many allow the similarity.
+
+    `sizes` are the sizes of both sets together. The bins draw from the union without putting
+    back; at the similarity asked for the union has sizes / (1 + similarity) elements.
+    """
+    hits = ((left == right) & (left > 0)).sum(axis=-1)
+    used = ((left > 0) | (right > 0)).sum(axis=-1)
+    s = share / 100
+    undrawn = np.clip(1 - used * (1 + s) / sizes, 0, 1)
+    return hits, hits >= s * used - SPREADS * np.sqrt(s * (1 - s) * used * undrawn) - 1
+
+
 def set_key(values: np.ndarray) -> bytes:
     return hashlib.md5(values.tobytes()).digest()
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (digest of the set; null if empty), signature."""
+    """Per row: doc_id, n_shingles, node (digest of the set; null if empty), signature (minima) and bins."""
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
@@ -99,45 +130,119 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: in
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([minima(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "node", "signature"])
+                pa.array([binned(s) if len(s) else None for s in sets], pa.binary()),
+            ], ["doc_id", "n_shingles", "node", "signature", "bins"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature binary, bins binary")
 
 
 def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(posting, node): each set under its rarest coordinate-value pairs that occur more than once."""
+    """(posting, node, size, weight): each set under its rarest coordinate-value pairs that occur more than once.
+
+    `weight` is how often the set's pairs occur in all, so the most central of a group weighs most.
+    """
     def spread(batches):
         place = (np.arange(coordinates, dtype=np.int64) << 32)
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, coordinates).astype(np.int64) + place
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), coordinates))), pa.array(values.ravel())], ["node", "posting"])
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, coordinates).astype(np.int64) + place
+            rows = pa.array(np.repeat(np.arange(len(values)), coordinates))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values.ravel())], ["node", "size", "posting"])
 
-    every = sets.select("node", "signature").mapInArrow(spread, "node binary, posting long")
+    every = sets.select("node", F.col("n_shingles").cast("int"), "signature").mapInArrow(spread, "node binary, size int, posting long")
     times = every.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = every.join(times, "posting").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("found"))
+    shared = every.join(times, "posting").groupBy("node").agg(
+        F.first("size").alias("size"), F.sum("n").alias("weight"), F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("found"))
     # Pairs that occur once are the rarest of all; they take the first places of the prefix and meet nobody.
-    room = F.lit(coordinates - matches + 1 - coordinates) + F.size("found")
-    return shared.filter(room > 0).select("node", F.explode(F.slice("found", 1, F.greatest(room, F.lit(1)))).alias("f")).select("f.posting", "node")
+    room = F.size("found") - F.lit(matches - 1)
+    prefix = shared.filter(room > 0).select("node", "size", "weight", F.transform(
+        F.slice("found", 1, F.greatest(room, F.lit(1))), lambda f: f["posting"]).alias("posted"))
+    mask = F.aggregate("posted", F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int"))))
+    return prefix.select("node", "size", "weight", mask.alias("mask"), F.explode("posted").alias("posting"))
 
 
-def collided(pairs: DataFrame, sets: DataFrame, share: int, matches: int) -> DataFrame:
-    """Pairs (a, b) with `hits`: their equal coordinates, of those at or above `matches` whose sizes allow the similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("size_a"), F.col("signature").alias("sig_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("size_b"), F.col("signature").alias("sig_b"))
-    fitting = pairs.join(one, "a").join(two, "b").filter(
-        100 * F.least("size_a", "size_b") >= share * F.greatest("size_a", "size_b")).select("a", "b", "sig_a", "sig_b")
+def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) with `hits`, their equal bins, of those that may be similar enough."""
+    one = sets.select(F.col("node").alias("a"), F.col("bins").alias("bins_a"), F.col("n_shingles").alias("size_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("bins").alias("bins_b"), F.col("n_shingles").alias("size_b"))
 
     def run(batches):
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
-            hits = (left == right).sum(axis=1) if batch.num_rows else np.zeros(0, np.int64)
-            good = np.flatnonzero(hits >= matches)
-            rows = pa.array(good)
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            hits, good = alike(left, right, batch.column(4).to_numpy(), share)
+            rows = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hits[good].astype(np.int64))], ["a", "b", "hits"])
 
-    return fitting.mapInArrow(run, "a binary, b binary, hits long")
+    return pairs.join(one, "a").join(two, "b").select(
+        "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a binary, b binary, hits long")
+
+
+def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int, block: int = BLOCK) -> DataFrame:
+    """Couples (a, b) of the same posting list with different labels that may be similar enough, each once.
+
+    lists: posting, node, label, mask. A list of up to `block` members is one unit of work; of a longer
+    one, every two blocks are. A couple is put out only by the first list that names both.
+    """
+    sizes = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = lists.join(sizes, "posting").join(sets.select("node", "n_shingles", "signature", "bins"), "node").withColumn("own", own)
+    unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "mask", "n_shingles", "signature", "bins")
+    dealt = unit.repartition(F.col("posting"), F.col("i"), F.col("j")).sortWithinPartitions("posting", "i", "j")
+
+    def couples(rows: dict):
+        if len(set(rows["label"])) < 2:
+            return [], []
+        place = np.int64(rows["posting"][0]) >> 32
+        labels = np.unique(np.array(rows["label"], object), return_inverse=True)[1]
+        number, mask, size = (np.array(rows[c]) for c in ("own", "mask", "n_shingles"))
+        minima_ = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(-1, coordinates)
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
+        split = rows["i"][0] != rows["j"][0]
+        found_a, found_b = [], []
+        for at in range(len(number)):
+            # The later rows of another label and of a size that allows it; of two blocks, only across them.
+            later = np.arange(at + 1, len(number))
+            fits = (labels[later] != labels[at]) & (100 * np.minimum(size[later], size[at]) >= share * np.maximum(size[later], size[at]))
+            later = later[fits & (number[later] != number[at])] if split else later[fits]
+            if not len(later):
+                continue
+            common = (mask[later] & mask[at]) & ((minima_[later, :place] == minima_[at, :place]) @ (np.int64(1) << np.arange(place)))
+            later = later[common == 0]  # no earlier list names both
+            if len(later):
+                found = later[alike(bins[later], bins[at], size[later] + size[at], share)[1]]
+                found_a += [rows["node"][at]] * len(found)
+                found_b += [rows["node"][f] for f in found]
+        return found_a, found_b
+
+    def run(batches):
+        held: dict = {}
+        now = None
+        for batch in batches:
+            columns = batch.to_pydict()
+            keys = list(zip(columns["posting"], columns["i"], columns["j"], strict=True))
+            at = 0
+            while at < len(keys):
+                stop = at
+                while stop < len(keys) and keys[stop] == keys[at]:
+                    stop += 1
+                if keys[at] != now:
+                    if held:
+                        yield from one(held)
+                    now, held = keys[at], {c: [] for c in columns}
+                for c in columns:
+                    held[c] += columns[c][at:stop]
+                at = stop
+        if held:
+            yield from one(held)
+
+    def one(held):
+        a, b = couples(held)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
@@ -210,37 +315,40 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
          matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     rows = stash(signatures(docs, key, text, words, coordinates), "signatures")
-    sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bins").alias("bins"))
     sets = stash(sets, "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
+    used = None
+    fits = 100 * F.least("size", "size_a") >= share * F.greatest("size", "size_a")
     for turn in range(rounds + 1):
         apart = labelled.groupBy("posting").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("posting")
         open_ = labelled.join(apart, "posting", "left_semi")
         if turn < rounds:
-            order = F.xxhash64("node", F.lit(turn))
-            centres = open_.groupBy("posting").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("c")).select(
-                "posting", F.col("c.node").alias("a"), F.col("c.label").alias("label_a"))
-            pairs = open_.join(centres, "posting").filter("label <> label_a").select("a", F.col("node").alias("b")).distinct()
-            near = collided(pairs, sets, share, matches)
+            fresh = open_ if used is None else open_.join(used, "node", "left_anti")
+            centres = fresh.groupBy("posting").agg(F.max(F.struct("weight", "node", "label", "size")).alias("c")).select(
+                "posting", F.col("c.node").alias("a"), F.col("c.label").alias("label_a"), F.col("c.size").alias("size_a"))
+            pairs = open_.join(centres, "posting").filter((F.col("label") != F.col("label_a")) & fits).select("a", F.col("node").alias("b")).distinct()
+            near = collided(pairs, sets, share)
             # The best centre of each member is enough here; the last turn misses nothing.
             near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
         else:
-            left = open_.select("posting", F.col("node").alias("a"), F.col("label").alias("label_a"))
-            right = open_.select("posting", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "posting").filter("label_a <> label_b and a < b").select("a", "b").distinct()
-            near = collided(pairs, sets, share, matches).select("a", "b")
+            near = within_lists(open_, sets, share, coordinates)
         near = stash(near, "near")
         if near.isEmpty():
             continue
+        if turn < rounds:
+            tried = near.select(F.col("a").alias("node"))
+            used = stash((tried if used is None else tried.unionByName(used)).distinct(), "centres")
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         full = stash(full_sets(docs, key, text, words, wanted), "full-sets")
         found = stash(confirmed(near, full, share), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn < rounds:
-            labelled = stash(posted.join(labels, "node", "left").select("posting", "node", F.coalesce("label", "node").alias("label")), "labelled")
+            labelled = stash(posted.join(labels, "node", "left").select(
+                "posting", "node", "size", "weight", "mask", F.coalesce("label", "node").alias("label")), "labelled")
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     result = named.join(names, "label", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
