@@ -239,8 +239,9 @@ def merge_books(requests: DataFrame, books: DataFrame, key: str = "doc_id") -> D
     Positions come from a running sum of page counts, so no merged document is ever
     gathered in one place, however many documents one request names.
     """
-    counted = requests.join(books.select(key, "pages"), key).withColumn("_n", F.size("pages"))
-    placed = scale.running_before(counted, ["request_id"], "ord", F.col("_n"), "_before")
+    # Numbers first: only page counts go through the running sum, text is joined once at the end.
+    counted = requests.join(books.select(key, F.size("pages").alias("_n")), key)
+    placed = scale.running_before(counted, ["request_id"], "ord", F.col("_n"), "_before").join(books.select(key, "pages"), key)
     return placed.select("request_id", "ord", key, "_before", F.explode("pages").alias("_p")).select(
         "request_id", (F.col("_before") + F.col("_p.page")).alias("page"), key,
         F.col("_p.page").alias("source_page"), F.col("_p.text").alias("text"),
@@ -306,9 +307,9 @@ def page_labels(books: DataFrame, selection: Column | None = None, template: str
 
 def bates(books: DataFrame, prefix: str = "", suffix: str = "", start: int = 1, digits: int = 6, key: str = "doc_id") -> DataFrame:
     """One running number over every page of the corpus, in `key` order, zero-padded."""
-    counted = books.withColumn("_n", F.size("pages"))
-    placed = scale.running_before(counted, [], key, F.col("_n"), "_before")
+    counted = books.select(key, F.transform("pages", lambda p: p["page"]).alias("_numbers"))
+    placed = scale.running_before(counted, [], key, F.size("_numbers"), "_before")
     number = (F.col("_before") + F.col("page") + (start - 1)).cast("string")
     padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number)
-    return placed.select(key, "_before", F.explode(F.transform("pages", lambda p: p["page"])).alias("page")).select(
+    return placed.select(key, "_before", F.explode("_numbers").alias("page")).select(
         key, "page", F.concat(F.lit(prefix), padded, F.lit(suffix)).alias("label"))

@@ -41,10 +41,14 @@ def rank_pages(pages: DataFrame, questions: DataFrame, doc: str, limit: int = fi
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
-    counts = page_terms(pages, doc)
+    wanted = questions.select(doc, "q_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
+    # The terms asked of a document go to its pages, so that only those are counted and moved.
+    asked = wanted.groupBy(doc).agg(F.collect_set("term").alias("_asked"))
+    held = pages.select(doc, "page", "text").join(asked, doc).select(doc, "page", F.explode(F.filter(
+        T.ranked_terms(F.filter(terms(F.col("text")), lambda t: F.array_contains("_asked", t))), lambda t: t["term"].isNotNull())).alias("_t"))
+    counts = held.select(doc, "page", F.col("_t.term").alias("term"), (-F.col("_t.rank_key")).alias("n"))
     spread = counts.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("df"))
     totals = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("total"))
-    wanted = questions.select(doc, "q_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
     weights = wanted.join(spread, [doc, "term"]).join(totals, doc).select(
         doc, "q_id", "term", "df", F.ln(1 + F.col("total") / (1 + F.col("df"))).alias("idf"))
     weighed = scale.attach(counts, weights, [doc, "term"], "df", F.col("page"), how="inner")

@@ -382,7 +382,7 @@ def linked(spark, folder):
         "html", F.lit(" Visit "), "url", F.lit(". Or "), "link", F.lit(", then ("), "link", F.lit(") again")).alias("text"))
 
 
-@query("WITH " + LINKED_SQL + " SELECT page_id, position, url FROM urls WHERE position < 200")
+@query("WITH " + LINKED_SQL + " SELECT page_id, position, url FROM urls")
 def page_urls(spark, folder):
     return R.doc_urls(linked(spark, folder), "page_id")
 
