@@ -405,7 +405,12 @@ def date_changes(spark, folder):
     return found.filter(F.col("value_kind") == "date").select("conv_id", "turn", "before", "after", "context")
 
 
-@query()
+@query("WITH " + DOC_PAGES + """,
+s AS (SELECT doc_id AS pair_id, doc_id % 50 AS a, doc_id % 20 AS d FROM doc_pages WHERE page % 5 = 1),
+v AS (SELECT pair_id, 'number' AS value_kind, CAST(a + 1 AS VARCHAR) AS before, CAST(a + 8 AS VARCHAR) AS after, a, d FROM s
+  UNION ALL SELECT pair_id, 'number', CAST(d + 1 AS VARCHAR), CAST(d + 3 AS VARCHAR), a, d FROM s
+  UNION ALL SELECT pair_id, 'date', (d + 1) || ' May 2024', (d + 3) || ' May 2024', a, d FROM s)
+SELECT pair_id, value_kind, before, after, 'The sum is ' || (a + 8) || ' due ' || (d + 3) || ' May 2024.' AS context FROM v""")
 def value_changes(spark, folder):
     """Every fifth page states an amount and a day; the revision moves both."""
     def stated(amount, day):

@@ -3,11 +3,14 @@
 import datetime as dt
 import difflib
 import html
+import os
 import random
 import re
+import uuid
 from collections import Counter
 
 import pytest
+from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -331,3 +334,65 @@ def test_recognition_hook(spark):
     plain = {r.id: r.recognised for r in MM.ocr_map(files).collect()}
     read = {r.id: (r.recognised, r.reason is None) for r in MM.ocr_map(files, lambda data: data.decode()).collect()}
     assert plain == {1: None, 2: None} and read == {1: ("ok", True), 2: (None, False)}
+
+
+def test_keyed_numbering_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, n long")
+    numbered = scale.numbered(rows, ["k"], "n", "nth").collect()
+    assert sorted((r.n, r.nth) for r in numbered) == [(1, 1), (2, 2), (3, 1)]
+    before = scale.previous(rows, ["k"], "n", ["n"]).collect()
+    assert {(r.n, r.prev_n) for r in before} == {(1, None), (2, 1), (3, None)}
+
+
+def test_stream_reads_a_table_stored_as_files(spark, tmp_path):
+    from paperloom.streaming import streams
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    counts = [streams.drain(streams.read_stream(spark, folder, "events", events.schema), "rows").count() for folder in (DATA, str(tmp_path / "many"))]
+    assert counts == [events.count()] * 2
+
+
+def test_instructions_for_unknown_documents_are_refused(spark):
+    books = spark.createDataFrame([(1, [(1, "a"), (2, "b")])], "doc_id long, pages array<struct<page:int,text:string>>")
+    edits = spark.createDataFrame([(1, [1]), (9, [1])], "doc_id long, selection array<int>")
+    ok, refused = P.extract_pages(books, edits)
+    assert ok.count() == 1 and [(r.doc_id, r.reason) for r in refused.collect()] == [(9, "The document was not found.")]
+    moves = spark.createDataFrame([(1, 5, 1, [1])], "doc_id long, source long, after int, selection array<int>")
+    ok, refused = P.insert_pages(books, moves)
+    assert ok.count() == 0 and refused.first().reason == "The source document was not found."
+
+
+def test_each_prompt_is_answered_once(spark, tmp_path):
+    def counting(system, user):
+        with open(tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+        return "reply", 1
+
+    pages = [(1, [(i, f"page {i} " + "x" * 900) for i in range(1, 13)]), (2, [(1, "short")])]
+    books = spark.createDataFrame(pages, "doc_id long, pages array<struct<page:int,text:string>>")
+    sections, summaries = MM.summarise(books, model=counting, budget=3000)
+    n = sections.count()
+    assert summaries.filter("failed").count() == 0 and summaries.count() == 2 and n > 2
+    assert len(os.listdir(tmp_path)) == n + 1
+
+
+def test_failed_documents_stay(spark):
+    def failing(system, user):
+        raise RuntimeError("no")
+
+    books = spark.createDataFrame([(1, [(1, "text")])], "doc_id long, pages array<struct<page:int,text:string>>")
+    _, summaries = MM.summarise(books, model=failing)
+    assert [(r.doc_id, r.failed, r.combined) for r in summaries.collect()] == [(1, True, None)]
+    done = MM.translate(books, "Capitals", model=failing).first()
+    assert done.failed and done.translated is None
+
+
+def test_page_couples_are_chosen_best_first(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    old = [(1, base * 2), (2, "completely different words stand on this page here"), (3, "third page stays as it is")]
+    new = [(1, "an inserted page of text about nothing at all, really"), (2, base * 2 + "lambda"), (3, "third page stays as it is")]
+    paired = spark.createDataFrame([(1, old, new)], "pair_id long, old_pages array<struct<page:int,text:string>>, new_pages array<struct<page:int,text:string>>")
+    rows = D.compare(paired).orderBy("position").collect()
+    assert [(r.old_page, r.new_page, r.status) for r in rows] == [(1, 2, "changed"), (2, None, "removed"), (None, 1, "added"), (3, 3, "unchanged")]
+    assert {(r.status, r.page) for r in D.changed_pages(D.compare(paired)).collect()} == {("changed", 2), ("removed", 2), ("added", 1)}
