@@ -6,6 +6,8 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import code_language, coordinate_join, line_chunks, packing, secret_scan
@@ -39,17 +41,22 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [
-    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("secret_scans", secret_scans),
-    ("best_fit_packing", best_fit_packing),
-]
+def shipped(stage):
+    """The stage, with this package sent to the executors first."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(stage.__name__, shipped(stage)) for stage in (language_id, line_dedup, near_dedup, secret_scans, best_fit_packing)]
 #: The language and packing stages have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each result written and read again."""
-    ship(spark)
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
