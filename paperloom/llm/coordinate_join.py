@@ -363,3 +363,17 @@ def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     kept = docs.withColumn("_cj_mark", mark).join(chosen, "_cj_mark", "left_semi")
     nth = F.row_number().over(Window.partitionBy("_cj_mark").orderBy("_cj_mark"))
     return kept.withColumn("_cj_nth", nth).filter("_cj_nth = 1").drop("_cj_mark", "_cj_nth")
+
+
+#: The operator on `documents` with two-word shingles: all pairs that share a shingle, then reachability.
+ORACLE = r"""
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS g FROM l),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, two.b FROM reach JOIN two ON reach.y = two.a),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query(secret_scan.ORACLE)
 def op1_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(load(spark, folder, "documents"))
 
@@ -45,7 +45,7 @@ def op5_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judge(load(spark, folder, "documents"))
 
 
-@query()
+@query(coordinate_join.ORACLE)
 def op6_coordinate_join(spark: SparkSession, folder: str) -> DataFrame:
     return coordinate_join.link(load(spark, folder, "documents"), words=2)
 

@@ -30,7 +30,8 @@ KINDS = (
 )
 BASE = 3  # the first kinds, always reported
 WIDELY = 3  # a value under at least so many owners is a copied example
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{6,}|0{8,}|1234567|abcdef(?:gh|0)|(.)\1{7,}"
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{6,}|0{8,}|1234567|abcdef(?:gh|0)"
+DISTINCT = 5  # a value of fewer different characters is a placeholder too
 
 
 def candidates(text: str) -> Column:
@@ -38,7 +39,8 @@ def candidates(text: str) -> Column:
     groups = []
     for number, (kind, pattern, shortest) in enumerate(KINDS):
         value = f"regexp_replace(h.value, {T.literal('^' + NAME)}, '')" if kind == "assign" else "h.value"
-        lively = f"v rlike '[0-9]' and v rlike '[A-Za-z]' and not v rlike {T.literal(PLACEHOLDER)}"
+        lively = (f"v rlike '[0-9]' and v rlike '[A-Za-z]' and not v rlike {T.literal(PLACEHOLDER)} "
+                  f"and size(array_distinct(filter(split(v, ''), x -> x <> ''))) >= {DISTINCT}")
         made = T.let_sql(value, "v", (
             f"named_struct('start', h.start, 'kind_no', {number}, 'kind', '{kind}', 'end', h.start + length(h.value), "
             f"'size', length(v), 'value_hash', md5(v), 'lively', {lively})"))
@@ -132,3 +134,30 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
                 F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).alias("parts"))))
     return F.when(F.size(live) == 0, text).otherwise(T.let(step, lambda done: F.concat(
         F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))))
+
+
+def _found_sql(number: int) -> str:
+    """Matches of one kind in SQL: the pieces between matches give the places."""
+    kind, pattern, shortest = KINDS[number]
+    plain = {"assign": NAME.replace("*+", "*") + VALUE + "+", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "bare": VALUE + "+"}[kind].replace("'", "''")
+    value = f"regexp_replace(m, '^{NAME.replace('*+', '*')}', '')".replace("[\\\"']", "[\\\"'']") if kind == "assign" else "m"
+    return f"""SELECT doc_id, source, {number} AS kind_no, '{kind}' AS kind, start, start + length(m) AS stop, {value} AS v FROM (
+      SELECT doc_id, source, m, CAST(sum(gap + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS start FROM (
+        SELECT doc_id, source, i, ms[i] AS m, length(gs[i]) AS gap FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+          SELECT doc_id, source, regexp_extract_all(t, '{plain}') AS ms, string_split_regex(t, '{plain}') AS gs FROM d))))
+      WHERE length({value}) >= {shortest}"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(n) for n in range(len(KINDS)))}),
+o AS (SELECT v, count(DISTINCT source) AS owners FROM f GROUP BY v),
+j AS (SELECT f.*, owners < {WIDELY} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}')
+  AND len(list_distinct(string_split(v, ''))) >= {DISTINCT} AS live FROM f JOIN o USING (v)),
+k AS (SELECT *, kind || ':' || start || ':' || stop AS s FROM j WHERE kind_no < {BASE} OR live AND NOT EXISTS (
+  SELECT 1 FROM j b WHERE b.doc_id = j.doc_id AND b.kind_no < {BASE} AND b.start < j.stop AND j.start < b.stop))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, kind_no) FILTER (kind_no < {BASE}), '')) AS base_sha256,
+  coalesce(string_agg(s, ',' ORDER BY start, kind_no), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_not_live
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""
