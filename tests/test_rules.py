@@ -136,7 +136,8 @@ def test_injection_cases(spark):
     hits = R.scan_injection(df, "id").collect()
     found = {h.id: h.category for h in hits}
     assert all(found.get(i) == c for i, _, c in rows)
-    assert sum(h.id == 91 for h in hits) == fixed.INJECTION_CAP
+    assert sum(h.id == 91 for h in hits) == 40
+    assert R.scan_injection(df, "id", cap=fixed.INJECTION_CAP).filter("id = 91").count() == fixed.INJECTION_CAP
 
 
 def test_fence_cannot_be_closed(spark):
@@ -219,11 +220,14 @@ def test_named_occurrence_replacement(spark):
     assert {r.id: r.text for r in ok.collect()} == {1: "x 42 y 7", 2: "x 420", 3: " "} and rejected.count() == 0
 
 
-def test_alignment_and_sentence_changes():
+def test_alignment_and_sentence_changes(spark):
     pages = ["Alpha page. It costs 10 euros in 2020.", "Beta page stays as it is.", "Gamma tail."]
     new = [pages[0].replace("10", "12"), "A wholly new sheet about zoology!", *pages[1:]]
-    assert [(i, j) for i, j, _ in D.aligned(pages, new, fixed.PAIR_THRESHOLD)] == [(0, 0), (None, 1), (1, 2), (2, 3)]
-    assert D.sentence_changes(pages[0], new[0]) == [("changed", "It costs 10 euros in 2020.", "It costs 12 euros in 2020.")]
+    page = "array<struct<page:int,text:string>>"
+    paired = frame(spark, [(1, list(enumerate(pages)), list(enumerate(new)))], f"pair_id long, old_pages {page}, new_pages {page}")
+    rows = D.compare(paired).orderBy("position").collect()
+    assert [(r.old_page, r.new_page) for r in rows] == [(0, 0), (None, 1), (1, 2), (2, 3)]
+    assert [tuple(c) for c in rows[0].changes] == [("changed", "It costs 10 euros in 2020.", "It costs 12 euros in 2020.")]
     a, b = "x" * 150 + "abc" * 70, "abc" * 70 + "y" * 150
     assert D.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
 
