@@ -42,7 +42,7 @@ MATCHES = 16
 ROUNDS = 2
 BLOOM_BITS = 1 << 26
 BINS = 512
-SPREADS = 4.25
+SPREADS = 4.0
 BLOCK = 2048  # members of a posting list compared at once
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
@@ -114,7 +114,7 @@ def alike(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, share: int) ->
     used = ((left > 0) | (right > 0)).sum(axis=-1)
     s = share / 100
     undrawn = np.clip(1 - used * (1 + s) / sizes, 0, 1)
-    return hits, hits >= s * used - SPREADS * np.sqrt(s * (1 - s) * used * undrawn) - 1
+    return hits, hits >= s * used - SPREADS * np.sqrt(s * (1 - s) * used * undrawn)
 
 
 def set_key(values: np.ndarray) -> bytes:
@@ -277,14 +277,13 @@ def confirmed(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """(node, values) of the wanted sets, made again from the texts.
+    """(node, values) of the wanted sets (node, holder), made again from the texts that hold them.
 
-    A filter of fixed size (`bits`), built in the JVM from the wanted nodes, goes to all
-    tasks and holds most other texts back before anything is shuffled; the join decides.
+    `holder` is the hash of the id of one row that has the set. A filter of fixed size (`bits`),
+    built in the JVM from the holders, goes to all tasks: a text it does not let through is not
+    read further. The join on nodes decides.
     """
-    # The place of a node: the leading bits of its digest.
-    drop = 32 - (bits.bit_length() - 1)
-    place = F.shiftright(F.conv(F.substring(F.hex("node"), 1, 8), 16, 10).cast("long"), drop) + 1
+    place = F.pmod("holder", F.lit(bits)) + 1
     maps = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(
         F.bitmap_construct_agg("bit").alias("bitmap")).collect()
     width = 4096
@@ -296,18 +295,18 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     def run(batches):
         held = shared.value
         for batch in batches:
+            at = batch.column(0).to_numpy()
+            likely = np.flatnonzero((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             nodes, values = [], []
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(1).take(pa.array(likely)).to_pylist():
                 found = shingles(t, words)
                 if len(found):
-                    node = set_key(found)
-                    at = int.from_bytes(node[:4], "big") >> drop
-                    if held[at >> 3] >> (at & 7) & 1:
-                        nodes.append(node)
-                        values.append(found.tobytes())
+                    nodes.append(set_key(found))
+                    values.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(values, pa.binary())], ["node", "values"])
 
-    likely = docs.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(run, "node binary, values binary")
+    texts = docs.filter(F.col(text).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("at"), F.col(text).alias("text"))
+    likely = texts.mapInArrow(run, "node binary, values binary")
     return likely.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
 
 
@@ -315,7 +314,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
          matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     rows = stash(signatures(docs, key, text, words, coordinates), "signatures")
-    sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bins").alias("bins"))
+    sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bins").alias("bins"),
+        F.min(F.xxhash64("doc_id")).alias("holder"))
     sets = stash(sets, "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
@@ -342,7 +342,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             tried = near.select(F.col("a").alias("node"))
             used = stash((tried if used is None else tried.unionByName(used)).distinct(), "centres")
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        full = stash(full_sets(docs, key, text, words, wanted), "full-sets")
+        full = stash(full_sets(docs, key, text, words, wanted.join(sets.select("node", "holder"), "node")), "full-sets")
         found = stash(confirmed(near, full, share), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
