@@ -163,6 +163,9 @@ def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) with `hits`, their equal bins, of those that may be similar enough."""
+    pairs = stash(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sifted(sets.select("node", "n_shingles", "bins"), nodes)
     one = sets.select(F.col("node").alias("a"), F.col("bins").alias("bins_a"), F.col("n_shingles").alias("size_a"))
     two = sets.select(F.col("node").alias("b"), F.col("bins").alias("bins_b"), F.col("n_shingles").alias("size_b"))
 
@@ -183,10 +186,12 @@ def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int
     lists: posting, node, label, mask. A list of up to `block` members is one unit of work; of a longer
     one, every two blocks are. A couple is put out only by the first list that names both.
     """
-    sizes = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = lists.join(sizes, "posting").join(sets.select("node", "n_shingles", "signature", "bins"), "node").withColumn("own", own)
+    lists = stash(lists, "open-lists")
+    sizes = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
+    held = sifted(sets.select("node", "n_shingles", "signature", "bins"), lists.select("node").distinct())
+    placed = lists.select("posting", "node", "label", "mask").join(sizes, "posting").join(held, "node").withColumn("own", own)
     unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "mask", "n_shingles", "signature", "bins")
     dealt = unit.repartition(F.col("posting"), F.col("i"), F.col("j")).sortWithinPartitions("posting", "i", "j")
@@ -276,6 +281,35 @@ def confirmed(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
     return needed.unionByName(asked).groupBy("a", "slice").applyInArrow(run, "a binary, b binary")
 
 
+def marks(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with a bit for every value (a hash) of the column, built in the JVM."""
+    place = F.pmod(column, F.lit(bits)) + 1
+    maps = rows.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bitmap")).collect()
+    width = 4096
+    table = np.zeros(max(bits // 8, width), np.uint8)
+    for row in maps:
+        table[(row["bucket"] - 1) * width:row["bucket"] * width] = np.frombuffer(row["bitmap"], np.uint8)
+    return table
+
+
+def marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows whose bit is set."""
+    return np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
+def sifted(sets: DataFrame, nodes: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+    """The sets of the given nodes and few others: what a later join need not move is held back by a bitmap."""
+    shared = sets.sparkSession.sparkContext.broadcast(marks(nodes.select(F.xxhash64("node").alias("at")), "at", bits))
+
+    def run(batches):
+        for batch in batches:
+            rows = pa.array(marked(shared.value, batch.column(batch.num_columns - 1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+    return sets.withColumn("_at", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, sets.schema)
+
+
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     """(node, values) of the wanted sets (node, holder), made again from the texts that hold them.
 
@@ -283,20 +317,14 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     built in the JVM from the holders, goes to all tasks: a text it does not let through is not
     read further. The join on nodes decides.
     """
-    place = F.pmod("holder", F.lit(bits)) + 1
-    maps = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(
-        F.bitmap_construct_agg("bit").alias("bitmap")).collect()
-    width = 4096
-    table = np.zeros(max(bits // 8, width), np.uint8)
-    for row in maps:
-        table[(row["bucket"] - 1) * width:row["bucket"] * width] = np.frombuffer(row["bitmap"], np.uint8)
+    table = marks(wanted.select("holder"), "holder", bits)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         held = shared.value
         for batch in batches:
             at = batch.column(0).to_numpy()
-            likely = np.flatnonzero((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            likely = marked(held, at)
             nodes, values = [], []
             for t in batch.column(1).take(pa.array(likely)).to_pylist():
                 found = shingles(t, words)
