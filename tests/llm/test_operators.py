@@ -103,6 +103,19 @@ def test_boosted_spans_are_added(spark):
     assert sum(r.n_added for r in got if r.doc_id < 200) >= 0
 
 
+def test_loose_spans_are_found_by_context(spark):
+    planted = ["write to jo.doe[at]mail.example[dot]com now", "my card is 4111.1111.1111.1111 ok", "the host 10,20,30,40 is up", "tel (555) 123-4567 today",
+               "the phone 0044 20 7946 0958 rings", "call 555.123.4567 now"]
+    plain = ["sums of 10,20,30,40 are up", "the card 4111.1111.1111.1112 ok", "host 999,20,30,40 is up", "call on 2024-01-15 10 again", "rows 555.123.4567 now", None, ""]
+    kinds = ["email", "card", "ip", "phone", "phone", "phone"]
+    table = spark.createDataFrame(list(enumerate(planted + plain)), "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.report(table).collect()}
+    values = ["jo.doe[at]mail.example[dot]com", "4111.1111.1111.1111", "10,20,30,40", "(555) 123-4567", "0044 20 7946 0958", "555.123.4567"]
+    for i, (kind, value) in enumerate(zip(kinds, values, strict=True)):
+        assert (got[i].n_added, got[i].spans) == (1, f"{kind}:{planted[i].index(value)}:{planted[i].index(value) + len(value)}"), planted[i]
+    assert all(got[i].n_added == 0 for i in range(len(planted), len(planted + plain)))
+
+
 def test_boosting_learns_and_matches_its_sql(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 3))
