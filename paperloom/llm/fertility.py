@@ -4,12 +4,13 @@ Each word (a run without ASCII white space) is split by a public vocabulary with
 fallback. A document then has characters per token, the share of fallback bytes and the
 entropy of its tokens relative to the most its length allows. Bands for the three come
 from the corpus itself, per script: median and spread over all documents of the script (a
-distributed sketch, one small row per script reaches the driver). A document outside its
+distributed sketch, one small row per script reaches the driver). Characters per token are
+bad on both sides, bytes only when many, entropy only when low. A document outside its
 script's band on any measure is rejected, as is one that fails the base rules: fewer than
 50 words, or more than half of its words inside three-word windows that recur.
 
 Null text has no words. Rows are independent; repeated rows repeat. A script with fewer than
-`least` documents has no band and rejects nothing.
+`least` documents is judged by the band of all scripts together; a corpus of fewer rejects nothing by bands.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
 LEAST_DOCS = 50
-WIDTH = 5.0  # half-width of a band in robust spreads
+WIDTH = 2.5  # half-width of a band in quartile ranges
 FLOORS = {"chars_per_token": 0.12, "byte_share": 0.02, "entropy": 0.05}  # a spread counts as at least this
+#: Sides on which a measure is bad, and so has a limit.
+SIDES = {"chars_per_token": (True, True), "byte_share": (False, True), "entropy": (True, False)}
 #: Scripts told apart, by the first code points of their letters.
 SCRIPTS = ((0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Indic"),
            (0x0E00, "Thai"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x3040, "Kana"), (0x3400, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"))
@@ -121,14 +124,18 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabular
 
 
 def bands(rows: DataFrame, least: int = LEAST_DOCS, width: float = WIDTH) -> dict[str, dict[str, tuple[float, float]]]:
-    """Per script and measure the lowest and highest value accepted, from all documents that pass the base rules."""
-    sketch = rows.filter("not base_failed").groupBy("script").agg(
+    """Per script and measure the lowest and highest value accepted, from all documents that pass the base rules.
+
+    The band of all scripts together stands under None, for scripts that have none of their own.
+    """
+    sketch = rows.filter("not base_failed").rollup("script").agg(
         F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in FLOORS]).collect()
     found = {}
     for r in sketch:
         if r["n"] >= least:
+            spread = {m: width * max(r[m][2] - r[m][0], floor) for m, floor in FLOORS.items()}
             found[r["script"]] = {
-                m: (r[m][1] - width * max(r[m][2] - r[m][0], floor), r[m][1] + width * max(r[m][2] - r[m][0], floor)) for m, floor in FLOORS.items()}
+                m: (r[m][1] - spread[m] if low else -math.inf, r[m][1] + spread[m] if high else math.inf) for m, (low, high) in SIDES.items()}
     return found
 
 
@@ -136,7 +143,10 @@ def judge(docs: DataFrame, least: int = LEAST_DOCS, width: float = WIDTH, **opti
     """Base counts, measures and verdict of every document."""
     rows = stash(measured(docs, **options), "fertility")
     outside = F.lit(False)
-    for script, limits in bands(rows, least, width).items():
+    known = bands(rows, least, width)
+    named = [script for script in known if script is not None]
+    for script, limits in known.items():
+        own = ~F.col("script").isin(named) if script is None else F.col("script") == script
         for measure, (low, high) in limits.items():
-            outside = outside | ((F.col("script") == script) & ~F.col(measure).between(low, high))
+            outside = outside | (own & ~F.col(measure).between(low, high))
     return rows.withColumn("kept", ~F.col("base_failed") & ~outside)

@@ -183,6 +183,16 @@ def test_fertility_bands_reject_noise(spark):
     assert all(got[i].kept for i in range(80)) and got[100].byte_share > 0.5
 
 
+def test_fertility_rejects_junk_that_passes_the_base_rules(spark):
+    draw = random.Random(8)
+    rare = " ".join("".join(chr(draw.randint(0x0E01, 0x0E2E)) for _ in range(5)) for _ in range(80))
+    poor = " ".join(draw.choice(["the", "of", "and", "to", "in", "is"]) + "0" for _ in range(90))
+    rows = [(i, prose(i, 80)) for i in range(80)] + [(200, rare), (201, poor)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i in range(80))
+    assert all(not got[i].kept and not got[i].base_failed for i in (200, 201)), [got[200], got[201]]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(docs, nothing, words):
     want = Counter(zip([r[0] for r in ROWS], brute.components([(r[0], r[1]) for r in ROWS], words), strict=True))
