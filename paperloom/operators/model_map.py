@@ -167,7 +167,7 @@ def key_quotes(books: DataFrame, key: str = "doc_id", count: int = 8, model: Mod
     return Q.verify_quotes(lines, books, key, count)
 
 
-def act(passages: DataFrame, mode: str, model: Model = first_line, language: str | None = None, text: str = "text", max_chars: int | None = fixed.PASSAGE_CHARS):
+def act(passages: DataFrame, mode: str, model: Model = first_line, language: str | None = None, text: str = "text", max_chars: int | None = None):
     """Run one action over selected passages: (results, refused)."""
     if mode == "translate":
         if not (language or "").strip():

@@ -333,6 +333,14 @@ def test_file_ceiling_is_reported_without_reading(spark, tmp_path):
     assert rows == {"a.bin": (True, False), "b.bin": (False, True)}
 
 
+def test_long_passages_are_not_refused_by_default(spark):
+    table = frame(spark, [(1, "first line\n" + "x" * 20_001), (2, " ")], "id int, text string")
+    done, refused = MM.act(table, "summarize")
+    assert [(r.id, r.output) for r in done.collect()] == [(1, "first line")] and [r.id for r in refused.collect()] == [2]
+    done, refused = MM.act(table, "summarize", max_chars=20_000)
+    assert done.count() == 0 and refused.count() == 2
+
+
 def test_recognition_hook(spark):
     files = frame(spark, [(1, bytearray(b"ok")), (2, bytearray(b"\xff"))], "id int, content binary")
     plain = {r.id: r.recognised for r in MM.ocr_map(files).collect()}
