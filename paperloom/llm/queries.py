@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chunked_bpe, code_language, coordinate_join, fertility, html_trees, line_chunks, packing, personal_data, secret_scan, topk
+from paperloom.llm import (
+    chunked_bpe, code_language, coordinate_join, fertility, html_trees, line_chunks, orchard, packing, personal_data, secret_scan, sharding, topk, whitening,
+)
 from paperloom.sources.tables import load
 
 QUERIES = {}
@@ -68,3 +70,18 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return chunked_bpe.encode(load(spark, folder, "documents"), ["doc_id"], result=chunked_bpe.DIGESTS)
+
+
+@query(orchard.ORACLE)
+def op11_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.cluster(load(spark, folder, "embeddings"))
+
+
+@query()
+def op12_cholesky_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(load(spark, folder, "embeddings"))
+
+
+@query(sharding.ORACLE)
+def op13_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(load(spark, folder, "documents"))
