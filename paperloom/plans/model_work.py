@@ -15,7 +15,7 @@ from paperloom.operators import pages as P
 from paperloom.operators import retrieval as Q
 from paperloom.operators import versions as V
 from paperloom.plans.registry import query
-from paperloom.plans.sqlparts import CONV_PAGES, DOC_PAGES, quoted
+from paperloom.plans.sqlparts import CONV_PAGES, DOC_PAGES, py_round, quoted
 from paperloom.plans.text_stats import books, documents
 from paperloom.sources.tables import load
 
@@ -296,7 +296,7 @@ def parsed_replies(spark, folder):
 first_page AS (SELECT doc_id, page FROM doc_pages WHERE {STRIP.format('text')} <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) = 1),
 line AS (SELECT doc_id, page, {FIRST_LINE.format('text')} AS q FROM doc_pages JOIN first_page USING (doc_id, page))
 SELECT doc_id, 0 AS position, q AS quote, (SELECT min(page) FROM doc_pages d WHERE d.doc_id = line.doc_id AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))))) AS page
-FROM line WHERE length(q) >= 20 AND length((SELECT text FROM doc_pages d WHERE d.doc_id = line.doc_id AND d.page = line.page)) < 29000""")
+FROM line WHERE length(q) >= 20""")
 def key_quotes(spark, folder):
     def second_line(system, user):
         body = user.split(fixed.FENCE_OPEN, 1)[-1].split("]\n", 1)[-1]
@@ -372,23 +372,55 @@ def version_diffs(spark, folder):
     return D.diff_summary(diffs)
 
 
-@query("WITH " + DOC_PAGES + """,
+EDITED_SQL = "WITH " + DOC_PAGES + """,
 p AS (SELECT doc_id AS pair_id, page, page % 4 = 1 AS touched, page = 3 AND doc_id % 2 = 0 AS gone, doc_id % 2 = 0 AND page > 3 AS moved,
   length(trim(regexp_replace('Sheet ' || page || ': ' || text, '\\s+', ' ', 'g'))) AS n FROM doc_pages),
-s AS (SELECT *, touched AND 2.0 * n / (2 * n + 20) < 0.45 AS apart FROM p)
-SELECT pair_id, CASE WHEN gone OR apart THEN 'removed' WHEN touched THEN 'changed' ELSE 'unchanged' END AS status,
-  CAST(page AS INT) AS old_page, CAST(CASE WHEN gone OR apart THEN NULL WHEN moved THEN page - 1 ELSE page END AS INT) AS new_page FROM s
-UNION ALL SELECT pair_id, 'added', NULL, CAST(CASE WHEN moved THEN page - 1 ELSE page END AS INT) FROM s WHERE apart""")
-def edited_diffs(spark, folder):
+s AS (SELECT *, touched AND 2.0 * n / (2 * n + 20) < 0.45 AS apart FROM p),
+e AS (SELECT pair_id, CASE WHEN gone OR apart THEN 'removed' WHEN touched THEN 'changed' ELSE 'unchanged' END AS status,
+  CAST(page AS INT) AS old_page, CAST(CASE WHEN gone OR apart THEN NULL WHEN moved THEN page - 1 ELSE page END AS INT) AS new_page,
+  CASE WHEN gone OR apart THEN 0.0 WHEN touched THEN """ + py_round("(2.0::DOUBLE * n / (2 * n + 20))", 3) + """ ELSE 1.0 END AS similarity FROM s
+UNION ALL SELECT pair_id, 'added', NULL, CAST(CASE WHEN moved THEN page - 1 ELSE page END AS INT), 0.0 FROM s WHERE apart)"""
+
+
+def edited(spark, folder):
     """Numbered sheets; the revision drops one sheet of every other document and dates every fourth."""
     original = books(spark, folder).withColumn("pages", F.transform("pages", lambda p: F.struct(
         p["page"].alias("page"), F.concat(F.lit("Sheet "), p["page"].cast("string"), F.lit(": "), p["text"]).alias("text"))))
-    changed = original.withColumn("pages", P.renumber(F.transform(
+    revised = P.renumber(F.transform(
         F.filter("pages", lambda p: ~((p["page"] == 3) & (F.col("doc_id") % 2 == 0))),
-        lambda p: F.struct(p["page"].alias("page"), F.when(p["page"] % 4 == 1, F.concat(p["text"], F.lit(" Added 12 July 2024."))).otherwise(p["text"]).alias("text")))))
-    paired = original.select(F.col("doc_id").alias("pair_id"), F.col("pages").alias("old_pages")).join(
-        changed.select(F.col("doc_id").alias("pair_id"), F.col("pages").alias("new_pages")), "pair_id")
-    return D.compare(paired).select("pair_id", "status", "old_page", "new_page")
+        lambda p: F.struct(p["page"].alias("page"), F.when(p["page"] % 4 == 1, F.concat(p["text"], F.lit(" Added 12 July 2024."))).otherwise(p["text"]).alias("text"))))
+    return D.compare(original.select(F.col("doc_id").alias("pair_id"), F.col("pages").alias("old_pages"), revised.alias("new_pages")))
+
+
+@query(EDITED_SQL + " SELECT pair_id, status, old_page, new_page, similarity FROM e")
+def edited_diffs(spark, folder):
+    return edited(spark, folder).select("pair_id", "status", "old_page", "new_page", D.shown_similarity(F.col("similarity")).alias("similarity"))
+
+
+@query(EDITED_SQL + " SELECT pair_id, status, coalesce(new_page, old_page) AS page FROM e WHERE status <> 'unchanged'")
+def edited_pages(spark, folder):
+    return D.changed_pages(edited(spark, folder))
+
+
+@query(EDITED_SQL + """,
+t AS (SELECT pair_id, count(old_page) AS old_page_count, count(new_page) AS new_page_count, count_if(status = 'changed') AS changed, count_if(status = 'added') AS added,
+  count_if(status = 'removed') AS removed FROM e GROUP BY pair_id)
+SELECT *, changed + added + removed = 0 AS identical, CASE WHEN changed + added + removed = 0 THEN 'No textual differences were found between these documents.'
+  ELSE concat_ws(', ', CASE WHEN changed > 0 THEN changed || ' page(s) changed' END, CASE WHEN added > 0 THEN added || ' added' END, CASE WHEN removed > 0 THEN removed || ' removed' END) || '.' END AS summary
+FROM t""")
+def edited_summaries(spark, folder):
+    return D.diff_summary(edited(spark, folder))
+
+
+@query(EDITED_SQL + """
+SELECT pair_id, string_agg(CASE status WHEN 'added' THEN 'Page ' || new_page || ' (added)' WHEN 'removed' THEN 'Page ' || old_page || ' (removed)' ELSE 'Page ' || new_page || ' (changed)' END, ',' ORDER BY status, old_page, new_page) AS told
+FROM e WHERE status <> 'unchanged' GROUP BY pair_id""")
+def edited_explanations(spark, folder):
+    """The places a model is told of: every page that differs, named once."""
+    lines = D.explanation_lines(edited(spark, folder)).select("pair_id", F.explode("lines").alias("line")).select(
+        "pair_id", F.regexp_extract("line", r"^Page (\d+) \((\w+)\)", 0).alias("place"), F.regexp_extract("line", r"\((\w+)\)", 1).alias("status"),
+        F.regexp_extract("line", r"^Page (\d+)", 1).cast("int").alias("page")).distinct()
+    return lines.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "page", "place"))), lambda x: x["place"]), ",").alias("told"))
 
 
 @query("""
