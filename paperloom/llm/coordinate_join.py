@@ -1,8 +1,8 @@
 """Near-duplicates by an inverted join on signature coordinates.
 
 Every document's set of word shingles (ASCII-lower-cased words, distinct) is reduced to a
-signature: `coordinates` minima under independent hashes, and a byte for each of `BINS`
-bins of one further hash. Equal sets are collapsed first. A set is posted under its
+signature: `coordinates` minima under independent hashes, and two bits for each of `BINS`
+bins of one further hash. Equal sets are collapsed first and numbered. A set is posted under its
 coordinate-value pairs; two sets are candidates if they share at least `matches` of them,
 so they must share one of the `coordinates - matches + 1` pairs that are rarest in the
 corpus (prefix filter): only those are posted, pairs that occur once are skipped, and
@@ -37,13 +37,15 @@ from pyspark.sql.window import Window
 
 from paperloom.llm.common import MULTIPLIER, components, mixed, stash
 
-COORDINATES = 32
-MATCHES = 16
+COORDINATES = 16
+MATCHES = 6  # a pair at the threshold of 0.8 has fewer with a chance of 1 in 30,000
 ROUNDS = 2
 BLOOM_BITS = 1 << 26
-BINS = 512
+BINS = 1024
 SPREADS = 4.0
 BLOCK = 2048  # members of a posting list compared at once
+SLICE = 256  # pairs of a centre confirmed in one task
+PRECISION = 6  # bytes of a shingle's hash that two sets are compared by
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -95,34 +97,60 @@ def minima(values: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def binned(values: np.ndarray) -> bytes:
-    """One byte per bin of a hash: 0 if no element falls there, else made from the smallest that does."""
+    """Two bits per bin of a hash: 0 if no element falls there, else 1 to 3, made from the smallest that does."""
     spread = np.sort(mixed(values * MULTIPLIER + np.uint64(77)))
     bins = (spread >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
     found = np.zeros(BINS, np.uint8)
-    found[bins[first]] = (spread[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
-    return found.tobytes()
+    found[bins[first]] = (spread[first] & np.uint64(0xFFFF)) % np.uint64(3) + np.uint64(1)
+    lanes = found.reshape(-1, 4)
+    return (lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6).tobytes()
+
+
+LOW = np.uint64(0x5555555555555555)
+
+
+def unpacked(bins: list[bytes]) -> np.ndarray:
+    """The bins of several sets, 32 to a word."""
+    return np.frombuffer(b"".join(bins), np.uint64).reshape(-1, BINS // 32)
 
 
 def alike(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal bins of rows of two tables, and whether so many allow the similarity.
+    """Estimated equal bins of rows of two tables, and whether so many allow the similarity.
 
-    `sizes` are the sizes of both sets together. The bins draw from the union without putting
+    `sizes` are the sizes of both sets together. A bin filled on both sides by different elements looks
+    equal in one case of three, which the estimate takes off. The bins draw from the union without putting
     back; at the similarity asked for the union has sizes / (1 + similarity) elements.
     """
-    hits = ((left == right) & (left > 0)).sum(axis=-1)
-    used = ((left > 0) | (right > 0)).sum(axis=-1)
+    full_left, full_right = ((w | w >> np.uint64(1)) & LOW for w in (left, right))
+    apart = left ^ right
+    equal = full_left & full_right & ~(apart | apart >> np.uint64(1))
+    looks, both, used = (np.bitwise_count(w).sum(axis=-1, dtype=np.int64) for w in (equal, full_left & full_right, full_left | full_right))
+    hits = 1.5 * looks - 0.5 * both
     s = share / 100
     undrawn = np.clip(1 - used * (1 + s) / sizes, 0, 1)
-    return hits, hits >= s * used - SPREADS * np.sqrt(s * (1 - s) * used * undrawn)
+    spread = s * (1 - s) * used * undrawn + 0.5 * np.maximum(both - s * used, 0)
+    return hits, hits >= s * used - SPREADS * np.sqrt(spread)
 
 
 def set_key(values: np.ndarray) -> bytes:
     return hashlib.md5(values.tobytes()).digest()
 
 
+def shortened(values: np.ndarray) -> bytes:
+    """The low bytes of every hash: two sets meet by them, so they need to tell apart the shingles of two texts only."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :PRECISION].tobytes()
+
+
+def lengthened(data: bytes) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, PRECISION)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :PRECISION] = short
+    return wide.view("<u8").ravel()
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (digest of the set; null if empty), signature (minima) and bins."""
+    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (minima) and bins."""
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
@@ -131,10 +159,10 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: in
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([minima(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
                 pa.array([binned(s) if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "node", "signature", "bins"])
+            ], ["doc_id", "n_shingles", "digest", "signature", "bins"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature binary, bins binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary")
 
 
 def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -149,7 +177,7 @@ def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
             rows = pa.array(np.repeat(np.arange(len(values)), coordinates))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values.ravel())], ["node", "size", "posting"])
 
-    every = sets.select("node", F.col("n_shingles").cast("int"), "signature").mapInArrow(spread, "node binary, size int, posting long")
+    every = sets.select("node", F.col("n_shingles").cast("int"), "signature").mapInArrow(spread, "node long, size int, posting long")
     times = every.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = every.join(times, "posting").groupBy("node").agg(
         F.first("size").alias("size"), F.sum("n").alias("weight"), F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("found"))
@@ -171,13 +199,13 @@ def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            left, right = (unpacked(batch.column(i).to_pylist()) for i in (2, 3))
             hits, good = alike(left, right, batch.column(4).to_numpy(), share)
             rows = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hits[good].astype(np.int64))], ["a", "b", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hits[good])], ["a", "b", "hits"])
 
     return pairs.join(one, "a").join(two, "b").select(
-        "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a binary, b binary, hits long")
+        "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long, hits double")
 
 
 def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int, block: int = BLOCK) -> DataFrame:
@@ -200,10 +228,10 @@ def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int
         if len(set(rows["label"])) < 2:
             return [], []
         place = np.int64(rows["posting"][0]) >> 32
-        labels = np.unique(np.array(rows["label"], object), return_inverse=True)[1]
+        labels = np.array(rows["label"])
         number, mask, size = (np.array(rows[c]) for c in ("own", "mask", "n_shingles"))
         minima_ = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(-1, coordinates)
-        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
+        bins = unpacked(rows["bins"])
         split = rows["i"][0] != rows["j"][0]
         found_a, found_b = [], []
         for at in range(len(number)):
@@ -245,40 +273,42 @@ def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int
     def one(held):
         a, b = couples(held)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a binary, b binary")
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    return dealt.mapInArrow(run, "a long, b long")
 
-def confirmed(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. `a` is the centre of many: its set is copied once per slice of its pairs."""
-    sliced = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("slice"))
-    needed = sliced.select("a", "slice").distinct().join(full.withColumnRenamed("node", "a"), "a").select(
-        "a", "slice", F.lit(None).cast("binary").alias("b"), "values")
-    asked = sliced.join(full.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "values")
 
-    def run(key: Tuple[pa.Scalar, ...], frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, waiting = None, []
+def confirmed(pairs: DataFrame, full: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs whose full sets are similar enough.
 
-        def test(b, data):
-            own = np.frombuffer(data, np.uint64)
-            common = len(np.intersect1d(centre, own, assume_unique=True))
-            return 100 * common >= share * (len(centre) + len(own) - common)
+    `a` may be the centre of many: its pairs are cut into slices of SLICE, by their number, and its set is
+    sent once to each. It comes first in its slice, so a task holds one set besides the batch it reads.
+    """
+    place = sets.select("node", "digest", "holder")
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    sliced = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices")).alias("slice"))
+    centres = sliced.select("a", "slice").distinct().join(place.withColumnRenamed("node", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "digest", "holder")
+    asked = sliced.join(place.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "digest", "holder")
+    held = centres.unionByName(asked).join(full, ["digest", "holder"]).select("a", "slice", "b", "values")
+    dealt = held.repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
 
-        good = []
-        for batch in frames:
-            for b, data in zip(batch.column("b").to_pylist(), batch.column("values").to_pylist(), strict=True):
+    def run(batches):
+        now, centre = None, None
+        for batch in batches:
+            found_a, found_b = [], []
+            for a, part, b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b is None:
-                    centre = np.frombuffer(data, np.uint64)
-                    good += [w for w, d in waiting if test(w, d)]
-                    waiting = []
-                elif centre is None:
-                    waiting.append((b, data))
-                elif test(b, data):
-                    good.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(good), pa.binary()), pa.array(good, pa.binary())], ["a", "b"])
+                    if now != (a, part):
+                        now, centre = (a, part), lengthened(data)
+                elif now == (a, part):
+                    own = lengthened(data)
+                    common = len(np.intersect1d(centre, own, assume_unique=True))
+                    if 100 * common >= share * (len(centre) + len(own) - common):
+                        found_a.append(a)
+                        found_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    return needed.unionByName(asked).groupBy("a", "slice").applyInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def marks(rows: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -311,40 +341,42 @@ def sifted(sets: DataFrame, nodes: DataFrame, bits: int = BLOOM_BITS) -> DataFra
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """(node, values) of the wanted sets (node, holder), made again from the texts that hold them.
+    """(digest, holder, values) of the wanted sets, made again from the texts that hold them.
 
     `holder` is the hash of the id of one row that has the set. A filter of fixed size (`bits`),
     built in the JVM from the holders, goes to all tasks: a text it does not let through is not
-    read further. The join on nodes decides.
+    read further. Rows that come through by chance, or repeat a row, find no partner or a partner twice.
     """
     table = marks(wanted.select("holder"), "holder", bits)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        held = shared.value
+        held, done = shared.value, set()
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            likely = marked(held, at)
-            nodes, values = [], []
-            for t in batch.column(1).take(pa.array(likely)).to_pylist():
+            holders = batch.column(0)
+            likely = pa.array(marked(held, holders.to_numpy() % bits))
+            made = []
+            for holder, t in zip(holders.take(likely).to_pylist(), batch.column(1).take(likely).to_pylist(), strict=True):
                 found = shingles(t, words)
                 if len(found):
-                    nodes.append(set_key(found))
-                    values.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(values, pa.binary())], ["node", "values"])
+                    digest = set_key(found)
+                    if (digest, holder) not in done:
+                        done.add((digest, holder))
+                        made.append((digest, holder, shortened(found)))
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["digest", "holder", "values"])
 
-    texts = docs.filter(F.col(text).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("at"), F.col(text).alias("text"))
-    likely = texts.mapInArrow(run, "node binary, values binary")
-    return likely.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("holder"), F.col(text).alias("text"))
+    return texts.mapInArrow(run, "digest binary, holder long, values binary")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: int = 80, coordinates: int = COORDINATES,
          matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     rows = stash(signatures(docs, key, text, words, coordinates), "signatures")
-    sets = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bins").alias("bins"),
+    sets = rows.filter("digest is not null").groupBy("digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bins").alias("bins"),
         F.min(F.xxhash64("doc_id")).alias("holder"))
-    sets = stash(sets, "sets")
+    # Numbers stand for the sets from here on; written once, so they stay as they are.
+    sets = stash(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
@@ -371,15 +403,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             used = stash((tried if used is None else tried.unionByName(used)).distinct(), "centres")
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         full = stash(full_sets(docs, key, text, words, wanted.join(sets.select("node", "holder"), "node")), "full-sets")
-        found = stash(confirmed(near, full, share), "links")
+        found = stash(confirmed(near, full, sets, share), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn < rounds:
             labelled = stash(posted.join(labels, "node", "left").select(
                 "posting", "node", "size", "weight", "mask", F.coalesce("label", "node").alias("label")), "labelled")
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    result = named.join(names, "label", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    # Sets, not rows, find their component's name: the smallest id of any row of any of its sets.
+    least = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    labelled = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label")).join(least, "digest")
+    names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled.join(names, "label").select("digest", "component_id")
+    result = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn(
+        "component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
