@@ -185,8 +185,20 @@ def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
     room = F.size("found") - F.lit(matches - 1)
     prefix = shared.filter(room > 0).select("node", "size", "weight", F.transform(
         F.slice("found", 1, F.greatest(room, F.lit(1))), lambda f: f["posting"]).alias("posted"))
-    mask = F.aggregate("posted", F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int"))))
-    return prefix.select("node", "size", "weight", mask.alias("mask"), F.explode("posted").alias("posting"))
+    return prefix.select("node", "size", "weight", F.explode("posted").alias("posting"))
+
+
+def open_lists(labelled: DataFrame, share: int) -> DataFrame:
+    """Memberships that may still meet a member of another component whose size allows the similarity.
+
+    Sizes fall into bands as wide as the similarity allows two sizes to differ, so partners are in the same or the
+    next band; of each list and band one row of labels decides.
+    """
+    banded = labelled.withColumn("band", F.floor(F.log("size") / F.log(F.lit(100 / share))).cast("int"))
+    near = Window.partitionBy("posting").orderBy("band").rangeBetween(-1, 1)
+    labels = banded.groupBy("posting", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = labels.select("posting", "band", F.min("low").over(near).alias("low"), F.max("high").over(near).alias("high")).filter("low <> high")
+    return banded.join(apart, ["posting", "band"], "left_semi").drop("band")
 
 
 def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -208,50 +220,42 @@ def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long, hits double")
 
 
-def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int, block: int = BLOCK) -> DataFrame:
+def within_lists(lists: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
     """Couples (a, b) of the same posting list with different labels that may be similar enough, each once.
 
-    lists: posting, node, label, mask. A list of up to `block` members is one unit of work; of a longer
-    one, every two blocks are. A couple is put out only by the first list that names both.
+    lists: posting, node, label. A list of up to `block` members is one unit of work; of a longer one, every two blocks are.
     """
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     lists = stash(lists, "open-lists")
     sizes = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
-    held = sifted(sets.select("node", "n_shingles", "signature", "bins"), lists.select("node").distinct())
-    placed = lists.select("posting", "node", "label", "mask").join(sizes, "posting").join(held, "node").withColumn("own", own)
+    held = sifted(sets.select("node", "n_shingles", "bins"), lists.select("node").distinct())
+    placed = lists.select("posting", "node", "label").join(sizes, "posting").join(held, "node").withColumn("own", own)
     unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "mask", "n_shingles", "signature", "bins")
+        "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "bins")
     dealt = unit.repartition(F.col("posting"), F.col("i"), F.col("j")).sortWithinPartitions("posting", "i", "j")
 
     def couples(rows: dict):
-        if len(set(rows["label"])) < 2:
-            return [], []
-        place = np.int64(rows["posting"][0]) >> 32
-        labels = np.array(rows["label"])
-        number, mask, size = (np.array(rows[c]) for c in ("own", "mask", "n_shingles"))
-        minima_ = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(-1, coordinates)
+        labels, number, size, nodes = (np.array(rows[c]) for c in ("label", "own", "n_shingles", "node"))
+        if (labels == labels[0]).all():
+            return []
         bins = unpacked(rows["bins"])
         split = rows["i"][0] != rows["j"][0]
-        found_a, found_b = [], []
+        found = []
         for at in range(len(number)):
             # The later rows of another label and of a size that allows it; of two blocks, only across them.
             later = np.arange(at + 1, len(number))
             fits = (labels[later] != labels[at]) & (100 * np.minimum(size[later], size[at]) >= share * np.maximum(size[later], size[at]))
             later = later[fits & (number[later] != number[at])] if split else later[fits]
-            if not len(later):
-                continue
-            common = (mask[later] & mask[at]) & ((minima_[later, :place] == minima_[at, :place]) @ (np.int64(1) << np.arange(place)))
-            later = later[common == 0]  # no earlier list names both
             if len(later):
-                found = later[alike(bins[later], bins[at], size[later] + size[at], share)[1]]
-                found_a += [rows["node"][at]] * len(found)
-                found_b += [rows["node"][f] for f in found]
-        return found_a, found_b
+                near = later[alike(bins[later], bins[at], size[later] + size[at], share)[1]]
+                found.append(np.stack((np.minimum(nodes[near], nodes[at]), np.maximum(nodes[near], nodes[at]))))
+        return found
 
     def run(batches):
+        """Rows come list after list; a unit is held until the next one begins."""
         held: dict = {}
-        now = None
+        now, found = None, []
         for batch in batches:
             columns = batch.to_pydict()
             keys = list(zip(columns["posting"], columns["i"], columns["j"], strict=True))
@@ -262,20 +266,24 @@ def within_lists(lists: DataFrame, sets: DataFrame, share: int, coordinates: int
                     stop += 1
                 if keys[at] != now:
                     if held:
-                        yield from one(held)
+                        found += couples(held)
                     now, held = keys[at], {c: [] for c in columns}
                 for c in columns:
                     held[c] += columns[c][at:stop]
                 at = stop
+            if found:
+                yield from put_out(found)
+                found = []
         if held:
-            yield from one(held)
+            yield from put_out(couples(held))
 
-    def one(held):
-        a, b = couples(held)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def put_out(found):
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    # Several lists may name a couple.
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -383,8 +391,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     used = None
     fits = 100 * F.least("size", "size_a") >= share * F.greatest("size", "size_a")
     for turn in range(rounds + 1):
-        apart = labelled.groupBy("posting").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("posting")
-        open_ = labelled.join(apart, "posting", "left_semi")
+        open_ = open_lists(labelled, share)
         if turn < rounds:
             fresh = open_ if used is None else open_.join(used, "node", "left_anti")
             centres = fresh.groupBy("posting").agg(F.max(F.struct("weight", "node", "label", "size")).alias("c")).select(
@@ -394,7 +401,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             # The best centre of each member is enough here; the last turn misses nothing.
             near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
         else:
-            near = within_lists(open_, sets, share, coordinates)
+            near = within_lists(open_, sets, share)
         near = stash(near, "near")
         if near.isEmpty():
             continue
@@ -408,7 +415,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         labels = components(links)
         if turn < rounds:
             labelled = stash(posted.join(labels, "node", "left").select(
-                "posting", "node", "size", "weight", "mask", F.coalesce("label", "node").alias("label")), "labelled")
+                "posting", "node", "size", "weight", F.coalesce("label", "node").alias("label")), "labelled")
     # Sets, not rows, find their component's name: the smallest id of any row of any of its sets.
     least = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     labelled = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label")).join(least, "digest")
