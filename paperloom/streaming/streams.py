@@ -1,9 +1,12 @@
 """The same rules on streams: deduplicated intake, metering windows, live scans and keyed state.
 
-State is bounded per key: admission keeps at most the limit's worth of times, the lifecycle
-one small row, the cache one timestamp. Within a micro-batch a key's events are sorted by
-event time before a rule is applied, so size micro-batches with the source's own limits
-(`maxFilesPerTrigger`, `maxBytesPerTrigger`).
+State is bounded per key and leaves by timer: admission keeps at most the limit's worth of
+times until the last one is out of its span, the lifecycle one small row until a closed request
+is forgotten, the cache one timestamp until its result is too old. Within a micro-batch a key's
+events are sorted by event time before a rule is applied; what is held of them is two or three
+numbers each, and verdicts leave in frames of FRAME rows. So size micro-batches with the source's own
+limits (`maxFilesPerTrigger`, `maxBytesPerTrigger`); a key's verdicts do not depend on where they are cut,
+as long as files come in order of time.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from paperloom.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+FRAME = 10_000
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -37,14 +42,14 @@ def read_stream(spark: SparkSession, folder: str, table: str, schema: StructType
     return rows.withColumns({name: F.col(name).cast("timestamp") for name in zoneless}) if zoneless else rows
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data now available into the shared folder and read the result.
+def drain(stream: DataFrame, label: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Run a stream over all data now available into the shared folder (or `out`) and read the result.
 
     Checkpoint and output live in the shared folder, so a lost executor or driver resumes
     from the last committed micro-batch.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    out = out or scratch_path(spark, label)
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     run = (
@@ -94,84 +99,151 @@ def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return frame.sort_values(list(columns[:2]), kind="stable", ignore_index=True)
 
 
+def by_time(rows: Iterator[pd.DataFrame], extra: str | None = None):
+    """A key's events of a micro-batch in order: microseconds, ids and, with `extra`, its values, as arrays."""
+    names: dict[str, int] = {}
+    times, ids, codes = [], [], []
+    for part in rows:
+        times.append(part["ts"].astype("datetime64[us]").astype("int64").to_numpy())
+        ids.append(part["event_id"].to_numpy(np.int64))
+        if extra:
+            codes.append(np.array([names.setdefault(v, len(names)) for v in part[extra]], np.int32))
+    at, number = np.concatenate(times), np.concatenate(ids)
+    order = np.lexsort((number, at))
+    if not extra:
+        return at[order], number[order]
+    return at[order], number[order], np.concatenate(codes)[order], list(names)
+
+
+def millis(micros: int) -> int:
+    """The first millisecond not before a time; timers count in these."""
+    return -(-int(micros) // 1000)
+
+
 class Admission(StatefulProcessor):
-    """At most `limit` accepted events per key in any `seconds`; refused ones do not count."""
+    """At most `limit` accepted events per key in any `seconds`; refused ones do not count.
+
+    A timer clears a key's times once the watermark is past the span of the last accepted event.
+    """
 
     def __init__(self, limit: int = fixed.RATE_LIMIT, seconds: int = fixed.RATE_SECONDS):
         self.limit, self.span = limit, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("accepted", "micros long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         accepted = deque(t[0] for t in self.times.get()) if self.times.exists() else deque()
-        frame = in_order(rows, "ts", "event_id")
-        micros = frame["ts"].astype("datetime64[us]").astype("int64")
-        verdicts, waits = [], []
-        for now in micros:
+        last = accepted[-1] if accepted else None
+        at, number = by_time(rows)
+        free, waits = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        for n, now in enumerate(at.tolist()):
             while accepted and accepted[0] <= now - self.span:
                 accepted.popleft()
-            free = len(accepted) < self.limit
-            if free:
+            free[n] = len(accepted) < self.limit
+            if free[n]:
                 accepted.append(now)
-            verdicts.append(free)
-            waits.append(0 if free else (accepted[0] + self.span - now) // 1_000_000)
-        self.times.put([(int(t),) for t in accepted])
-        yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "accepted": verdicts, "retry_after": waits})
+            else:
+                waits[n] = (accepted[0] + self.span - now) // 1_000_000
+        if accepted:
+            self.times.put([(t,) for t in accepted])
+        else:
+            self.times.clear()
+        if last is not None and (not accepted or accepted[-1] != last):
+            self.handle.deleteTimer(millis(last + self.span))
+        if accepted and accepted[-1] != last:
+            self.handle.registerTimer(millis(accepted[-1] + self.span))
+        for start in range(0, len(at), FRAME):
+            part = slice(start, start + FRAME)
+            yield pd.DataFrame({"key": key[0], "event_id": number[part], "accepted": free[part], "retry_after": waits[part]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def admit(stream: DataFrame, key: str, limit: int = fixed.RATE_LIMIT, seconds: int = fixed.RATE_SECONDS) -> DataFrame:
-    """Rolling admission per key (columns key, ts, event_id): accepted and whole seconds to wait."""
-    return stream.select(F.col(key).alias("key"), "ts", "event_id").groupBy("key").transformWithStateInPandas(
+def admit(stream: DataFrame, key: str, limit: int = fixed.RATE_LIMIT, seconds: int = fixed.RATE_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """Rolling admission per key (columns key, ts, event_id): accepted and whole seconds to wait.
+
+    Events later than `delay` behind the newest are dropped; a key idle for its span and the delay leaves no state.
+    """
+    watched = stream.select(F.col(key).alias("key"), "ts", "event_id").withWatermark("ts", delay)
+    return watched.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Admission(limit, seconds), outputStructType="key long, event_id long, accepted boolean, retry_after long",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 class Lifecycle(StatefulProcessor):
-    """Applies requested states in event-time order; open requests expire after a quiet span."""
+    """Applies requested states in event-time order; open requests expire after a quiet span.
+
+    A closed request (nothing may follow its state) is remembered for `memory` from its closing, so that
+    steps asked of it are refused; then it is forgotten, by timer, and a later step finds a new request.
+    """
 
-    def __init__(self, allowed: dict[str, list[str]], initial: str, quiet_seconds: int):
-        self.allowed, self.initial, self.quiet = allowed, initial, quiet_seconds * 1000
+    def __init__(self, allowed: dict[str, list[str]], initial: str, quiet_seconds: int, memory_seconds: int):
+        self.allowed, self.initial = allowed, initial
+        self.quiet, self.memory = quiet_seconds * 1_000_000, memory_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "state string, deadline long")
-
-    def _expired(self, state: str) -> bool:
-        return "expired" in self.allowed.get(state, [])
+        self.current = handle.getValueState("current", "state string, deadline long, closed long")
+
+    def _timer(self, deadline: int | None, closed: int | None) -> int | None:
+        due = deadline if deadline is not None else None if closed is None else closed + self.memory
+        return None if due is None else millis(due)
+
+    def _keep(self, state: str, deadline: int | None, closed: int | None, before: int | None) -> None:
+        if state == self.initial:
+            self.current.clear()
+        else:
+            self.current.update((state, deadline, closed))
+        due = self._timer(deadline, closed)
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is not None and before != due:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, deadline = self.current.get() if self.current.exists() else (self.initial, None)
-        before = deadline
-        frame = in_order(rows, "ts", "event_id", "state")
+        state, deadline, closed = self.current.get() if self.current.exists() else (self.initial, None, None)
+        before = self._timer(deadline, closed)
+        at, number, codes, names = by_time(rows, "state")
         out = []
-        for ts, event_id, wanted in zip(frame["ts"].astype("datetime64[ms]").astype("int64"), frame["event_id"], frame["state"]):
-            if deadline is not None and ts >= deadline and self._expired(state):
+        for now, event_id, code in zip(at.tolist(), number.tolist(), codes.tolist(), strict=True):
+            wanted = names[code]
+            if deadline is not None and now >= deadline:
                 out.append((key[0], None, state, "expired", True))
-                state, deadline = "expired", None
-            if wanted == state:
-                continue
-            ok = wanted in self.allowed.get(state, [])
-            out.append((key[0], int(event_id), state, wanted, ok))
-            if ok:
-                state = wanted
-                deadline = int(ts) + self.quiet if self._expired(state) else None
-        self.current.update((state, deadline))
-        if before is not None and before != deadline:
-            self.handle.deleteTimer(before)
-        if deadline is not None and before != deadline:
-            self.handle.registerTimer(deadline)
+                state, deadline, closed = "expired", None, deadline
+            if closed is not None and now >= closed + self.memory:
+                state, closed = self.initial, None
+            if wanted != state:
+                ok = wanted in self.allowed.get(state, [])
+                out.append((key[0], event_id, state, wanted, ok))
+                if ok:
+                    state, follows = wanted, self.allowed.get(wanted, [])
+                    deadline = now + self.quiet if "expired" in follows else None
+                    closed = None if follows else now
+            if len(out) >= FRAME:
+                yield self._rows(out)
+                out = []
+        self._keep(state, deadline, closed, before)
         yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, deadline = self.current.get() if self.current.exists() else (self.initial, None)
+        state, deadline, closed = self.current.get() if self.current.exists() else (self.initial, None, None)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         out = []
-        if deadline is not None and deadline <= expiredTimerInfo.getExpiryTimeInMs() and self._expired(state):
+        if deadline is not None and millis(deadline) <= now:
             out.append((key[0], None, state, "expired", True))
-            self.current.update(("expired", None))
+            state, deadline, closed = "expired", None, deadline
+        # The watermark may be past the end of its memory as well.
+        if closed is not None and millis(closed + self.memory) <= now:
+            self.current.clear()
+        elif out:
+            self._keep(state, deadline, closed, None)
         yield self._rows(out)
 
     @staticmethod
@@ -184,7 +256,7 @@ class Lifecycle(StatefulProcessor):
 
 
 def lifecycle(stream: DataFrame, key: str, initial: str = "draft", quiet_seconds: int = 7 * 86400, delay: str = "1 hour",
-              allowed: dict[str, list[str]] | None = None) -> DataFrame:
+              allowed: dict[str, list[str]] | None = None, memory_seconds: int = 30 * 86400) -> DataFrame:
     """State machine per key over requested states (key, ts, event_id, state).
 
     Every step comes out with the state before it and whether it was allowed; an open request
@@ -192,37 +264,49 @@ def lifecycle(stream: DataFrame, key: str, initial: str = "draft", quiet_seconds
     """
     watched = stream.select(F.col(key).alias("key"), "ts", "event_id", "state").withWatermark("ts", delay)
     return watched.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Lifecycle(allowed or fixed.ALLOWED_TRANSITIONS, initial, quiet_seconds),
+        statefulProcessor=Lifecycle(allowed or fixed.ALLOWED_TRANSITIONS, initial, quiet_seconds, memory_seconds),
         outputStructType="key long, event_id long, before string, state string, allowed boolean", outputMode="Append", timeMode="EventTime")
 
 
 class CacheLookup(StatefulProcessor):
-    """A lookup hits when the key's result is at most `hours` old; a miss stores a new one."""
+    """A lookup hits when the key's result is at most `hours` old; a miss stores a new one. Old results leave by timer."""
 
     def __init__(self, hours: int = fixed.CACHE_HOURS):
         self.span = hours * 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.created = handle.getValueState("created", "micros long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        created = self.created.get()[0] if self.created.exists() else None
-        frame = in_order(rows, "ts", "event_id")
-        hits = []
-        for now in frame["ts"].astype("datetime64[us]").astype("int64"):
-            hits.append(created is not None and now <= created + self.span)
-            if not hits[-1]:
-                created = int(now)
-        self.created.update((created,))
-        yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "hit": hits})
+        created = first = self.created.get()[0] if self.created.exists() else None
+        at, number = by_time(rows)
+        hits = np.zeros(len(at), bool)
+        for n, now in enumerate(at.tolist()):
+            hits[n] = created is not None and now <= created + self.span
+            if not hits[n]:
+                created = now
+        if created != first:
+            self.created.update((created,))
+            if first is not None:
+                self.handle.deleteTimer(millis(first + self.span) + 1)
+            self.handle.registerTimer(millis(created + self.span) + 1)
+        for start in range(0, len(at), FRAME):
+            yield pd.DataFrame({"key": key[0], "event_id": number[start:start + FRAME], "hit": hits[start:start + FRAME]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.created.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def cache_lookups(stream: DataFrame, key: str, hours: int = fixed.CACHE_HOURS) -> DataFrame:
-    return stream.select(F.col(key).alias("key"), "ts", "event_id").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CacheLookup(hours), outputStructType="key long, event_id long, hit boolean", outputMode="Append", timeMode="None")
+def cache_lookups(stream: DataFrame, key: str, hours: int = fixed.CACHE_HOURS, delay: str = "1 hour") -> DataFrame:
+    """Per event (key, ts, event_id) whether a result of its key, made by an earlier event, is still fresh."""
+    watched = stream.select(F.col(key).alias("key"), "ts", "event_id").withWatermark("ts", delay)
+    return watched.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=CacheLookup(hours), outputStructType="key long, event_id long, hit boolean", outputMode="Append", timeMode="EventTime")
 
 
 class StallWatch(StatefulProcessor):
