@@ -106,6 +106,23 @@ def attach(
     return null_safe_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def sieve(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = 1 << 22) -> DataFrame:
+    """Rows whose `columns` may occur in `wanted`, and few others, without moving or joining them.
+
+    The wanted values set bits of a table of fixed size (512 KB by default), built by partial aggregates and
+    sent along as one value. However many values there are, none of their rows is lost: a full table lets more
+    rows through to the join that decides, nothing else.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("_place"), F.lit(64)).cast("int"))
+    marked = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    every = rows.sparkSession.range(bits // 64).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = marked.unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda w: w["_bits"]).alias("_table")).scalar()
+    mine = F.get(table, F.shiftright(place, 6).cast("int"))
+    return rows.filter(F.call_function("shiftright", mine, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
 def deal(df: DataFrame, key: str) -> DataFrame:
     """Spread rows evenly by a unique key before work that costs far more than moving them.
 

@@ -102,15 +102,26 @@ def coerce_analysis(rows: DataFrame, json_text: str = "json_text") -> DataFrame:
 # ------------------------------------------------------------------ document work
 
 def ask(questions: DataFrame, pages: DataFrame, doc: str, model: Model = first_line, limit: int = fixed.PAGE_LIMIT) -> DataFrame:
-    """questions(doc, q_id, question): rank pages, build context, call the model, check citations."""
+    """questions(doc, q_id, question): rank pages, build context, call the model, check citations.
+
+    Every question comes back: one about a document without readable text is not put to the model, has
+    no answer and says so in its note; a failed call has its message as note.
+    """
     ranked = Q.rank_pages(pages, questions, doc, limit)
-    with_context = questions.join(Q.ranked_context(pages, ranked, doc), [doc, "q_id"])
+    held = questions.join(Q.ranked_context(pages, ranked, doc), [doc, "q_id"], "left")
+    readable = F.coalesce(F.col("context"), F.lit("")) != ""
     prompt = F.concat(
-        F.lit("Answer only from the content below and cite each claim as [p.N].\n\nQuestion: "), T.strip(F.col("question")),
+        F.lit("Answer only from the content below and cite each claim as [p.N].\n\nQuestion: "), T.strip(F.coalesce("question", F.lit(""))),
         F.lit("\n\n"), R.fence(F.col("context")))
-    replied = model_map(with_context.withColumn("prompt", prompt), model).drop("prompt", "context")
-    checked = Q.scrub_citations(replied.withColumnRenamed("reply", "answer"))
-    return checked.withColumn("note", Q.citation_note(F.col("dropped"), F.col("kept")))
+    # Written once: the model is paid for each call.
+    replied = settle(model_map(held.filter(readable).withColumn("prompt", prompt), model).drop("prompt", "context"))
+    checked = Q.scrub_citations(replied.withColumn("answer", F.when(~F.col("failed"), F.col("reply"))))
+    answered = checked.withColumn("note", F.when(F.col("failed"), F.col("reply")).otherwise(Q.citation_note(F.col("dropped"), F.col("kept")))).drop("reply")
+    none = F.array().cast("array<int>")
+    silent = held.filter(~readable).drop("context", "allowed").withColumns({
+        "allowed": none, "tokens": F.lit(0).cast("long"), "failed": F.lit(False), "answer": F.lit(None).cast("string"), "kept": none, "dropped": none,
+        "note": F.lit("The document holds no text to answer from.")})
+    return answered.unionByName(silent.select(*answered.columns))
 
 
 def summarise(books: DataFrame, key: str = "doc_id", mode: str = "detailed", model: Model = first_line, budget: int = fixed.CHUNK_CHARS):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, scale
 from paperloom.functions import text as T
+from paperloom.session import settle
 
 
 def terms(text: Column) -> Column:
@@ -42,11 +43,9 @@ def rank_pages(pages: DataFrame, questions: DataFrame, doc: str, limit: int = fi
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
     wanted = questions.select(doc, "q_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    # The terms asked of a document go to its pages, so that only those are counted and moved.
-    asked = wanted.groupBy(doc).agg(F.collect_set("term").alias("_asked"))
-    held = pages.select(doc, "page", "text").join(asked, doc).select(doc, "page", F.explode(F.filter(
-        T.ranked_terms(F.filter(terms(F.col("text")), lambda t: F.array_contains("_asked", t))), lambda t: t["term"].isNotNull())).alias("_t"))
-    counts = held.select(doc, "page", F.col("_t.term").alias("term"), (-F.col("_t.rank_key")).alias("n"))
+    # The terms asked go to the pages as a table of bits; no text leaves its page, only counts of terms that may be asked.
+    words = pages.select(doc, "page", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("term"))
+    counts = scale.sieve(words, wanted, [doc, "term"]).groupBy(doc, "page", "term").agg(F.count(F.lit(1)).alias("n"))
     spread = counts.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("df"))
     totals = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("total"))
     weights = wanted.join(spread, [doc, "term"]).join(totals, doc).select(
@@ -104,8 +103,12 @@ def context(pages: Column, budget: int = fixed.CONTEXT_CHARS, strict: bool = Fal
 
 
 def ranked_context(pages: DataFrame, ranked: DataFrame, doc: str, budget: int = fixed.CONTEXT_CHARS) -> DataFrame:
-    """Context per question from its ranked pages; at most `limit` pages meet in one group."""
-    texts = ranked.join(pages.select(doc, "page", "text"), [doc, "page"])
+    """Context per question from its ranked pages; at most `limit` pages meet in one group.
+
+    The ranking is written once, and only texts of pages that may be in it move.
+    """
+    ranked = settle(ranked)
+    texts = ranked.join(scale.sieve(pages.select(doc, "page", "text"), ranked, [doc, "page"]), [doc, "page"])
     gathered = texts.groupBy(doc, "q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "page", "text"))).alias("_p"))
     pairs = F.transform("_p", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text")))
     return gathered.select(
