@@ -11,12 +11,13 @@ counted over the bins; a pair stays if its share of equal bins is no further bel
 similarity than chance explains (`SPREADS` standard deviations), and is confirmed on the
 full sets.
 
-Groups never expand into all pairs. In the first rounds each posting list names one centre,
-the member whose pairs are most frequent (an original rather than one of its copies; another
-one each round), and members are held against their best centres only; linked sets merge
-into components. What is left, couples within a posting list that are still in different
-components, is counted completely inside the lists, in blocks of bounded size, and only
-couples that stay are put out, once each. So no link between components is lost.
+Groups never expand into all pairs. In the first round each posting list names one centre,
+the member whose pairs are most frequent (an original rather than one of its copies), and
+members are held against their best centres only; linked sets merge into components. What is
+left, couples within a posting list that are still in different components, is counted
+completely inside the lists, in blocks of bounded size: over the bins, then over 16 bits of every
+shingle. A unit puts out the couples that join its components, not those between components
+it has already joined. So no link between components is lost.
 
 Null or blank text has an empty set: linked with nothing, its own component. Rows without
 id form components but have no name to give: the smallest id reachable names a component,
@@ -27,6 +28,7 @@ kept if its id is the component's. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from typing import Iterator, Tuple
 
 import numpy as np
@@ -39,7 +41,7 @@ from paperloom.llm.common import MULTIPLIER, components, mixed, stash
 
 COORDINATES = 16
 MATCHES = 6  # a pair at the threshold of 0.8 has fewer with a chance of 1 in 30,000
-ROUNDS = 2
+ROUNDS = 1
 BLOOM_BITS = 1 << 26
 BINS = 1024
 SPREADS = 4.0
@@ -96,17 +98,39 @@ def minima(values: np.ndarray, coordinates: int) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
-def binned(values: np.ndarray) -> bytes:
-    """Two bits per bin of a hash: 0 if no element falls there, else 1 to 3, made from the smallest that does."""
-    spread = np.sort(mixed(values * MULTIPLIER + np.uint64(77)))
-    bins = (spread >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+def fingerprints(values: np.ndarray) -> np.ndarray:
+    """16 bits of a hash of every element, sorted. Two sets have at most as many elements in common as fingerprints."""
+    return np.sort((mixed(values * MULTIPLIER + np.uint64(77)) >> np.uint64(48)).astype("<u2"))
+
+
+def binned(prints: np.ndarray) -> bytes:
+    """Two bits per bin of the fingerprints: 0 if none falls there, else 1 to 3, made from the smallest that does."""
+    bins = prints >> (16 - BINS.bit_length() + 1)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
     found = np.zeros(BINS, np.uint8)
-    found[bins[first]] = (spread[first] & np.uint64(0xFFFF)) % np.uint64(3) + np.uint64(1)
+    found[bins[first]] = (prints[first] & (2 ** 16 // BINS - 1)) % 3 + 1
     lanes = found.reshape(-1, 4)
     return (lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6).tobytes()
 
 
+def counted(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints made different from one another by how often each came before."""
+    again = np.arange(len(prints)) - np.searchsorted(prints, prints)
+    return prints.astype(np.uint64) << np.uint64(32) | again.astype(np.uint64)
+
+
+def nearly(one: np.ndarray, two: np.ndarray, share: int) -> tuple[bool, bool]:
+    """Whether two sets, given by counted fingerprints, can be similar enough, and whether that is as good as sure.
+
+    Different elements share a fingerprint with a chance of 1 in 65,536; that more do than six standard
+    deviations above the mean and three allow isn't to be expected once in 10 million couples.
+    """
+    common, both = len(np.intersect1d(one, two, assume_unique=True)), len(one) + len(two)
+    chance = (len(one) - common) * (len(two) - common) / 65536
+    least = common - int(chance + 6 * chance ** 0.5 + 3)
+    return 100 * common >= share * (both - common), 100 * least >= share * (both - least)
+
+
 LOW = np.uint64(0x5555555555555555)
 
 
@@ -150,19 +174,21 @@ def lengthened(data: bytes) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (minima) and bins."""
+    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (minima), bins and fingerprints."""
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            prints = [fingerprints(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([minima(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
-                pa.array([binned(s) if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "digest", "signature", "bins"])
+                pa.array([binned(f) if f is not None else None for f in prints], pa.binary()),
+                pa.array([f.tobytes() if f is not None else None for f in prints], pa.binary()),
+            ], ["doc_id", "n_shingles", "digest", "signature", "bins", "prints"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary, prints binary")
 
 
 def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -220,36 +246,58 @@ def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long, hits double")
 
 
-def within_lists(lists: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
-    """Couples (a, b) of the same posting list with different labels that may be similar enough, each once.
+def within_lists(lists: DataFrame, sets: DataFrame, rows: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
+    """Couples (a, b) of the same posting list that join all components with similar members there.
 
-    lists: posting, node, label. A list of up to `block` members is one unit of work; of a longer one, every two blocks are.
+    lists: posting, node, label. Members with up to `block` shingles a member on average are one unit of work; of a
+    longer list, every two blocks are. A unit counts what every two members of different components
+    have in common, first over bins, then over the fingerprints of the whole sets. Once a couple as good as
+    sure joins two components, further couples between them are not put out.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.col("total") / (block * 512)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     lists = stash(lists, "open-lists")
-    sizes = lists.groupBy("posting").agg(F.count(F.lit(1)).alias("n"))
-    held = sifted(sets.select("node", "n_shingles", "bins"), lists.select("node").distinct())
+    sizes = lists.groupBy("posting").agg(F.sum(F.greatest(F.col("size"), F.lit(512))).alias("total"))
+    wanted = sets.select("node", "digest", "holder").join(lists.select("node").distinct(), "node")
+    told = sifted(rows.filter("digest is not null").select(F.xxhash64("doc_id").alias("node"), "digest", "n_shingles", "prints"), wanted.select(F.col("holder").alias("node")))
+    held = told.withColumnRenamed("node", "holder").join(wanted, ["digest", "holder"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("prints").alias("prints"))
     placed = lists.select("posting", "node", "label").join(sizes, "posting").join(held, "node").withColumn("own", own)
     unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "bins")
+        "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "prints")
     dealt = unit.repartition(F.col("posting"), F.col("i"), F.col("j")).sortWithinPartitions("posting", "i", "j")
 
     def couples(rows: dict):
         labels, number, size, nodes = (np.array(rows[c]) for c in ("label", "own", "n_shingles", "node"))
         if (labels == labels[0]).all():
             return []
-        bins = unpacked(rows["bins"])
+        prints = [np.frombuffer(p, "<u2") for p in rows["prints"]]
+        bins = unpacked([binned(p) for p in prints])
+        whole = lru_cache(maxsize=None)(lambda at: counted(prints[at]))
         split = rows["i"][0] != rows["j"][0]
+        above: dict = {}
+
+        def top(label):
+            while label in above:
+                label = above[label]
+            return label
+
         found = []
         for at in range(len(number)):
             # The later rows of another label and of a size that allows it; of two blocks, only across them.
             later = np.arange(at + 1, len(number))
             fits = (labels[later] != labels[at]) & (100 * np.minimum(size[later], size[at]) >= share * np.maximum(size[later], size[at]))
             later = later[fits & (number[later] != number[at])] if split else later[fits]
-            if len(later):
-                near = later[alike(bins[later], bins[at], size[later] + size[at], share)[1]]
-                found.append(np.stack((np.minimum(nodes[near], nodes[at]), np.maximum(nodes[near], nodes[at]))))
+            if not len(later):
+                continue
+            for near in later[alike(bins[later], bins[at], size[later] + size[at], share)[1]].tolist():
+                one, two = top(labels[at]), top(labels[near])
+                if one == two:
+                    continue
+                possible, sure = nearly(whole(at), whole(near), share)
+                if possible:
+                    found.append((min(nodes[at], nodes[near]), max(nodes[at], nodes[near])))
+                if sure:
+                    above[max(one, two)] = min(one, two)
         return found
 
     def run(batches):
@@ -279,8 +327,8 @@ def within_lists(lists: DataFrame, sets: DataFrame, share: int, block: int = BLO
 
     def put_out(found):
         if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = zip(*sorted(set(found)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     # Several lists may name a couple.
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -401,7 +449,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             # The best centre of each member is enough here; the last turn misses nothing.
             near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
         else:
-            near = within_lists(open_, sets, share)
+            near = within_lists(open_, sets, rows, share)
         near = stash(near, "near")
         if near.isEmpty():
             continue
