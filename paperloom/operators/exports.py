@@ -107,15 +107,20 @@ def table_cells(tables: DataFrame, *keep: str) -> DataFrame:
     return cells.withColumn("value", coerce_cell(F.col("cell")))
 
 
-def export_tables(tables: DataFrame, key: str = "doc_id") -> DataFrame:
-    """CSV lines of each table under a heading line with page and number: key, page, index, line_no, line."""
+def csv_lines(page: Column, index: Column, rows: Column) -> Column:
+    """A table as CSV lines: a heading with page and number, its rows, an empty line."""
     def quote(c: Column) -> Column:
         doubled = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
         return F.when(c.rlike('[,"\r\n]'), doubled).otherwise(c)
 
-    head = F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit(" — table "), F.col("index").cast("string"))
-    body = F.transform("rows", lambda r: F.array_join(F.transform(r, lambda c: quote(F.coalesce(c, F.lit("")))), ","))
-    lines = F.concat(F.array(head), body, F.array(F.lit("")))
+    head = F.concat(F.lit("# Page "), page.cast("string"), F.lit(" — table "), index.cast("string"))
+    body = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: quote(F.coalesce(c, F.lit("")))), ","))
+    return F.concat(F.array(head), body, F.array(F.lit("")))
+
+
+def export_tables(tables: DataFrame, key: str = "doc_id") -> DataFrame:
+    """CSV lines of each table under a heading line with page and number: key, page, index, line_no, line."""
+    lines = csv_lines(F.col("page"), F.col("index"), F.col("rows"))
     return tables.select(key, "page", "index", F.posexplode(lines).alias("line_no", "line"))
 
 
@@ -185,13 +190,37 @@ def block_types(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         *keep, "block_no", "_b.kind", "_b.level", "_b.body")
 
 
-EXPORTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "txt": export_text, "md": export_markdown, "html": export_html, "json": export_json,
+def export_csv(books: DataFrame, tables: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """All tables of a document under each other, each below a line with its page and number: key, body.
+
+    `tables` is a per-document array<struct<page,index,rows>>; a document without tables has an empty body.
+    The tables stay in their document's row.
+    """
+    if tables is None:
+        return books.select(key, F.lit("").alias("body"))
+    lines = F.flatten(F.transform("tables", lambda t: csv_lines(t["page"], t["index"], t["rows"])))
+    held = tables.select(key, F.array_join(lines, "\n").alias("body"))
+    return books.select(key).join(held, key, "left").select(key, F.coalesce("body", F.lit("")).alias("body"))
+
+
+#: What a target is made by, and what of a document it keeps.
+EXPORTERS: dict[str, tuple[Callable[..., DataFrame], str]] = {
+    "txt": (export_text, "text-only"), "md": (export_markdown, "text-only"), "html": (export_html, "text-only"),
+    "json": (export_json, "structural"), "csv": (export_csv, "structural"),
 }
-FIDELITY = {"txt": "text-only", "md": "text-only", "html": "text-only", "json": "structured"}
 
 
-def export(books: DataFrame, target: str) -> DataFrame:
+def export(books: DataFrame, target: str, tables: DataFrame | None = None) -> DataFrame:
+    """Documents in one form: doc_id, target, fidelity, body. Only structural forms take `tables`."""
     if target not in EXPORTERS:
         raise ValueError(f"Unknown target '{target}'. Expected one of: {', '.join(sorted(EXPORTERS))}.")
-    return EXPORTERS[target](books)
+    make, fidelity = EXPORTERS[target]
+    made = make(books, tables) if fidelity == "structural" else make(books)
+    return made.select("doc_id", F.lit(target).alias("target"), F.lit(fidelity).alias("fidelity"), "body")
+
+
+def write_exports(books: DataFrame, targets: list[str], path: str, tables: DataFrame | None = None) -> DataFrame:
+    """Write documents in several forms, one folder a target, and read them back. A target's folder is replaced as a whole."""
+    for target in targets:
+        export(books, target, tables).drop("target").write.mode("overwrite").parquet(f"{path}/target={target}")
+    return books.sparkSession.read.parquet(path).filter(F.col("target").isin(targets))

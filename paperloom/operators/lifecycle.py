@@ -229,42 +229,54 @@ def removed_parts(present: Column, requested: Column) -> Column:
 
 # ------------------------------------------------------------------ trees
 
-def thread_depths(comments: DataFrame, rounds_at_most: int = 64) -> DataFrame:
-    """Root and depth of every comment (doc, id, parent_id); replies without a parent in their
-    document are invalid.
+def thread_depths(comments: DataFrame) -> DataFrame:
+    """Root and depth of every comment (doc, id, parent_id).
 
-    Links are doubled each round, so a thread of depth d settles in log2(d) rounds. Each
-    round joins unique ids; lineage is cut in the shared checkpoint folder.
+    A reply whose parent is not in its document is invalid and counts as a root. Replies that lead into a
+    circle have no root: they come back invalid, without depth and root.
+
+    Comments whose root is known are set aside; only the others, joined on unique (doc, id), take part
+    in a round, and each round doubles their links. A way up is shorter than the number of replies, so what
+    is still open when the links are that long goes round in a circle.
     """
     from paperloom.session import settle
 
-    ids = comments.select("doc", F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
-    checked = comments.join(ids, ["doc", "parent_id"], "left").withColumn(
-        "valid", F.col("parent_id").isNull() | F.col("_known"))
-    state = settle(checked.select(
-        "doc", "id", F.coalesce("valid", F.lit(False)).alias("valid"),
-        F.when(F.col("_known"), F.col("parent_id")).alias("up"),
-        F.when(F.col("_known"), 1).otherwise(0).alias("depth"), F.coalesce(F.when(F.col("_known"), F.col("parent_id")), F.col("id")).alias("root")))
-    for _ in range(rounds_at_most):
-        if state.filter(F.col("up").isNotNull()).isEmpty():
-            return state.select("doc", "id", "valid", "depth", "root")
-        above = state.select("doc", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("root").alias("_root"))
-        state = settle(state.join(above, ["doc", "up"], "left").select(
-            "doc", "id", "valid", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-            F.coalesce("_root", "root").alias("root")))
-    raise ValueError("comment links form a cycle")
+    replies = comments.filter(F.col("parent_id").isNotNull())
+    ids = comments.select("doc", F.col("id").alias("parent_id"), F.lit(True).alias("_known")).distinct()
+    checked = scale.null_safe_join(replies, ids, ["doc", "parent_id"], "left")
+    zero = F.lit(0)
+    done = comments.filter(F.col("parent_id").isNull()).select("doc", "id", F.lit(True).alias("valid"), zero.alias("depth"), F.col("id").alias("root")).unionByName(
+        checked.filter(F.col("_known").isNull()).select("doc", "id", F.lit(False).alias("valid"), zero.alias("depth"), F.col("id").alias("root")))
+    done = settle(done)
+    # `up` is `depth` steps above the comment.
+    open_ = settle(checked.filter(F.col("_known")).select("doc", "id", F.col("parent_id").alias("up"), F.lit(1).alias("depth")))
+    count, reach = open_.count(), 1
+    while reach <= 2 * count and not open_.isEmpty():
+        ends = done.select("doc", F.col("id").alias("up"), F.lit(None).cast(comments.schema["id"].dataType).alias("_up"), F.col("depth").alias("_steps"), F.col("root").alias("_root"))
+        ways = open_.select("doc", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_steps"), F.lit(None).cast(comments.schema["id"].dataType).alias("_root"))
+        moved = settle(scale.null_safe_join(open_, ends.unionByName(ways), ["doc", "up"]).withColumn("depth", F.col("depth") + F.col("_steps")))
+        done = settle(done.unionByName(moved.filter(F.col("_up").isNull()).select("doc", "id", F.lit(True).alias("valid"), "depth", F.col("_root").alias("root"))))
+        open_ = moved.filter(F.col("_up").isNotNull()).select("doc", "id", F.col("_up").alias("up"), "depth")
+        reach *= 2
+    nothing = F.lit(None)
+    return done.unionByName(open_.select("doc", "id", F.lit(False).alias("valid"), nothing.cast("int").alias("depth"), nothing.cast(comments.schema["id"].dataType).alias("root")))
 
 
 def nest_outline(entries: Column) -> Column:
     """Parents of a document's flat outline (array<struct<depth,title>>): array<int>, position or null.
 
-    An entry nests under the last entry one level up that no shallower entry has closed.
+    An entry nests under the last entry one level up that no shallower entry has closed. One fold keeps the
+    open entries, one for each depth reached, from the outermost to the innermost.
     """
-    def parent(entry: Column, i: Column) -> Column:
-        depth = F.greatest(entry["depth"], F.lit(0))
-
-        def walk(acc: Column, j: Column) -> Column:
-            d = F.greatest(F.get(entries, j)["depth"], F.lit(0))
-            return F.when(d == depth - 1, j).when(d < depth - 1, F.lit(None).cast("int")).otherwise(acc)
-        return F.when(depth > 0, F.aggregate(F.sequence(F.lit(0), i), F.lit(None).cast("int"), walk))
-    return F.transform(entries, parent)
+    kind = "struct<open:array<struct<depth:int,at:int>>,parents:array<int>>"
+    start = F.struct(F.array().alias("open"), F.array().alias("parents")).cast(kind)
+
+    def add(acc: Column, entry: Column) -> Column:
+        depth = F.greatest(F.coalesce(entry["depth"], F.lit(0)), F.lit(0)).cast("int")
+        outer = F.filter(acc["open"], lambda o: o["depth"] < depth)
+        above = F.try_element_at(outer, F.lit(-1))
+        parent = F.when(above["depth"] == depth - 1, above["at"])
+        return F.struct(
+            F.concat(outer, F.array(F.struct(depth.alias("depth"), F.size(acc["parents"]).alias("at")))).alias("open"),
+            F.concat(acc["parents"], F.array(parent)).alias("parents")).cast(kind)
+    return F.aggregate(entries, start, add, lambda acc: acc["parents"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from paperloom.functions import fixed
+from paperloom.functions import fixed, scale
 from paperloom.functions import text as T
 from paperloom.operators import chunks as C
 from paperloom.operators import retrieval as Q
@@ -160,13 +160,19 @@ def summarise(books: DataFrame, key: str = "doc_id", mode: str = "detailed", mod
 
 
 def analyse(books: DataFrame, key: str = "doc_id", model: Model = first_line, max_chars: int | None = None) -> DataFrame:
-    """Structured analysis over all labelled pages; with `max_chars`, what was cut is said in `pages_used`."""
-    shown = books.withColumn("_c", Q.context(F.col("pages"), max_chars or WHOLE, strict=True)).filter(F.size("_c.pages") > 0)
+    """Structured analysis over all labelled pages; with `max_chars`, what was cut is said in `pages_used`.
+
+    A document without text is not put to the model: it comes back with `reason`, empty and marked as an error.
+    """
+    read = books.withColumn("_c", Q.context(F.col("pages"), max_chars or WHOLE, strict=True))
+    shown = read.filter(F.size("_c.pages") > 0)
+    silent = read.filter(F.size("_c.pages") == 0).select(key, F.lit(0).alias("pages_used"), F.size("pages").alias("page_count"), F.lit("").alias("reply"),
+        F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("failed"), F.lit("The document holds no text to analyse.").alias("reason"))
     prompted = shown.select(
         key, F.size("_c.pages").alias("pages_used"), F.size("pages").alias("page_count"),
         F.concat(F.lit("Analyse this document and return only a JSON object.\n\n"), R.fence(F.col("_c.text"))).alias("prompt"))
-    replied = model_map(prompted, model).drop("prompt")
-    return coerce_analysis(replied.withColumn("json_text", parse_json(F.col("reply"))))
+    replied = model_map(prompted, model).drop("prompt").withColumn("reason", F.when(F.col("failed"), F.col("reply")))
+    return coerce_analysis(replied.unionByName(silent).withColumn("json_text", parse_json(F.col("reply"))))
 
 
 def key_quotes(books: DataFrame, key: str = "doc_id", count: int = 8, model: Model = first_line, max_chars: int | None = None) -> DataFrame:
@@ -247,14 +253,23 @@ def translate(books: DataFrame, language: str, key: str = "doc_id", model: Model
 
 
 def process_batch(docs: DataFrame, cache: DataFrame, keys: list[str], now: Column, run: Callable[[DataFrame], DataFrame]):
-    """Cached results are reused, misses are processed: rows with `source` cache or processed."""
+    """Cached results are reused, misses are processed: rows with `source` cache or processed.
+
+    `run` gets one row for each missing key, whatever the number of rows that share it, and returns it with
+    `result`; the results are written once and handed to all rows of their key, hot keys in slices.
+    """
     from paperloom.operators import versions as V
 
-    live = V.live_cache(cache, now).groupBy(*keys).agg(F.max_by("result", "created_at").alias("result"))
-    hits = docs.join(live, keys).withColumn("source", F.lit("cache"))
-    misses = docs.join(live.select(*keys), keys, "left_anti")
-    return hits.select(*docs.columns, "result", "source").unionByName(
-        run(misses).withColumn("source", F.lit("processed")).select(*docs.columns, "result", "source"))
+    rest = [c for c in docs.columns if c not in keys]
+    live = V.live_cache(cache, now).groupBy(*keys).agg(F.max_by("result", "created_at").alias("_cached"), F.lit(True).alias("_live"))
+    held = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_one"))
+    known = settle(scale.null_safe_join(held, live, keys, "left"))
+    asked = known.filter(F.col("_live").isNull()).select(*keys, "_one.*").select(*docs.columns)
+    made = settle(run(asked).select(*keys, F.col("result").alias("_made"), F.lit(True).alias("_new")))
+    results = scale.null_safe_join(known.select(*keys, "_rows", "_cached", "_live"), made, keys, "left").select(
+        *keys, "_rows", F.when(F.col("_live"), F.col("_cached")).otherwise(F.col("_made")).alias("result"),
+        F.when(F.col("_live"), "cache").when(F.col("_new"), "processed").otherwise("missing").alias("source"))
+    return scale.attach(docs, results, keys, "_rows", F.struct(*rest), how="inner").select(*docs.columns, "result", "source")
 
 
 def ocr_map(files: DataFrame, recognise: Callable[[bytes], str] | None = None, content: str = "content") -> DataFrame:

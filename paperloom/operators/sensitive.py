@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions import fixed
+from paperloom.functions import fixed, scale
 from paperloom.functions import text as T
+from paperloom.session import settle
 
 
 def luhn_sql(value: str) -> str:
@@ -116,6 +117,42 @@ def verify_mask(masked: DataFrame, text: str = "text", terms: str = "terms"):
     return (judged.filter(F.size("remaining") == 0).drop("remaining"), judged.filter(F.size("remaining") > 0))
 
 
+def redact_versions(books: DataFrame, versions: DataFrame, decisions: DataFrame, key: str = "doc_id", label: str = "redacted", **detectors):
+    """Redaction to the end: detect, apply the review, mask, check, and append a version of each changed document.
+
+    books(key, pages) are the newest versions' pages, versions(key, version, ..) what is stored, decisions(key, page,
+    start, kind, approved) the review; a hit without a decision, or with a null one, is not masked. Null keys and
+    pages meet null ones. Returns (appended, refused, reviewed):
+
+    appended: key, version (one after the newest), label, content_hash, size_bytes, hit_count, pages.
+    refused: key and reason, for documents in which a masked value can still be read, or without a stored version.
+    reviewed: every hit found with its decision.
+
+    Hits are found in the document's row. Only hits and decisions are shuffled; text moves for
+    documents that change, and for those once.
+    """
+    each = books.select(key, F.explode("pages").alias("_p")).select(key, F.col("_p.page").alias("page"), F.col("_p.text").alias("text"))
+    hits = detect(each, key, "page", **detectors)
+    judged = decisions.groupBy(key, "page", "start", "kind").agg(F.bool_and(F.coalesce("approved", F.lit(False))).alias("approved"))
+    reviewed = settle(scale.null_safe_join(hits, judged, [key, "page", "start", "kind"], "left").withColumn("approved", F.coalesce("approved", F.lit(False))))
+    targets = targets_per_page(reviewed.filter("approved"), [key, "page"]).groupBy(key).agg(F.collect_list(F.struct("page", "terms")).alias("_t"))
+    counts = reviewed.filter("approved").groupBy(key).agg(F.count(F.lit(1)).alias("hit_count"))
+    wanted = settle(scale.null_safe_join(targets, counts, [key]))
+    touched = scale.null_safe_join(scale.sieve(books.select(key, "pages"), wanted, [key]), wanted, [key])
+    own = "coalesce(get(filter(_t, x_ -> x_.page <=> p_.page), 0).terms, array())"
+    cleaned = T.let_sql(own, "terms_", T.let_sql(mask_sql("p_.text", "terms_"), "clean_",
+        f"named_struct('page', p_.page, 'text', clean_, 'left', size({survivors_sql('clean_', 'terms_')}))"))
+    newest = versions.groupBy(key).agg(F.max("version").alias("_newest"))
+    masked = scale.null_safe_join(touched.withColumn("_m", F.expr(f"transform(pages, p_ -> {cleaned})")), newest, [key], "left")
+    left = F.aggregate("_m", F.lit(0), lambda n, p: n + p["left"])
+    body = F.array_join(F.transform("_m", lambda p: p["text"]), "\f")
+    done = settle(masked.select(
+        key, (F.col("_newest") + 1).alias("version"), F.lit(label).alias("label"), F.sha2(body.cast("binary"), 256).alias("content_hash"),
+        F.octet_length(body).cast("long").alias("size_bytes"), "hit_count", F.transform("_m", lambda p: F.struct(p["page"].alias("page"), p["text"].alias("text"))).alias("pages"),
+        F.when(left > 0, "A masked value can still be read.").when(F.col("_newest").isNull(), "There is no stored version to follow.").alias("reason")))
+    return done.filter(F.col("reason").isNull()).drop("reason"), done.filter(F.col("reason").isNotNull()).select(key, "reason"), reviewed
+
+
 def redact(books: DataFrame, review: str | None = None, key: str = "doc_id", **detectors):
     """Detect, keep what the review approves, mask and verify: whole documents, one pass.
 

@@ -85,8 +85,8 @@ def doc_stats(books: DataFrame) -> DataFrame:
 
 
 def insights(books: DataFrame, k: int = 20) -> DataFrame:
-    """Everything at once for each document with text: one scan, no shuffle."""
-    counted = doc_stats(books).filter(F.col("character_count") > 0)
+    """Everything at once for each document: one scan, no shuffle. One without text comes back with `note` and zeros."""
+    counted = doc_stats(books).withColumn("note", F.when(F.col("character_count") == 0, "The document holds no text."))
     scored = readability(sentiment(counted, "full_text"), "full_text")
     top = F.transform(keywords(F.col("full_text"), k), lambda t: t["term"])
     return scored.withColumn("keywords", top).drop("full_text", "pages")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
+from paperloom.session import settle
 
 
 def visible(items: DataFrame, members: DataFrame, user_id: int) -> DataFrame:
@@ -99,10 +100,58 @@ def list_annotations(notes: DataFrame, page: int | None = None, kind: str | None
 
 
 def page_of(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page of results; at most 200 rows."""
-    if not 1 <= limit <= 200 or offset < 0:
-        raise ValueError("limit must be 1..200 and offset not negative")
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    """One page of results by its place in the order.
+
+    The first page is a top-k: each task keeps its best `limit` rows. A deeper one is a range-partitioned
+    sort, written once; the rows before it are counted per partition, not gathered.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
+    if offset == 0:
+        return rows.orderBy(*order).limit(limit)
+    # The id holds the partition of the sort in its upper bits and the place within it in the lower 33.
+    placed = settle(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    place, before = F.lit(None).cast("long"), 0
+    for part, n in sorted((r["part"], r["n"]) for r in counts):
+        if before < offset + limit and before + n > offset:
+            local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+            place = F.when(F.shiftright("_id", 33) == part, local + before).otherwise(place)
+        before += n
+    return placed.withColumn("_place", place).filter((F.col("_place") >= offset) & (F.col("_place") < offset + limit)).orderBy("_place").drop("_id", "_place")
+
+
+def page_after(rows: DataFrame, keys: list[tuple[str, bool]], limit: int, last: dict | None = None) -> DataFrame:
+    """The page behind the row `last` (its key values), or the first page: no page costs more than the first.
+
+    keys: (column, descending); together they must tell rows apart. Rows before the key are filtered at the
+    scan where the source can, and each task keeps its best `limit` rows. Nulls come first where a
+    key ascends and last where it descends, as Spark sorts them.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    if last is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for column, descending in keys:
+            c, v = F.col(column), F.lit(last[column])
+            if last[column] is None:
+                beyond = F.lit(False) if descending else c.isNotNull()
+            else:
+                beyond = F.coalesce(c < v, F.lit(True)) if descending else F.coalesce(c > v, F.lit(False))
+            behind, same = behind | (same & beyond), same & c.eqNullSafe(v)
+        rows = rows.filter(behind)
+    return rows.orderBy(*[F.col(c).desc() if d else F.col(c) for c, d in keys]).limit(limit)
+
+
+def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
+    """A page with the number of all rows it was taken from."""
+    return page.withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
+
+
+def workspace_totals(items: DataFrame, include_archived: bool = False) -> DataFrame:
+    """Number of items per workspace, counted before the shuffle."""
+    shown = items if include_archived else items.filter(~F.col("archived"))
+    return shown.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("total"))
 
 
 def own_assets(assets: DataFrame, user_id: int) -> DataFrame:

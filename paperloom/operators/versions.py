@@ -36,6 +36,30 @@ def latest(versions: DataFrame, doc: str = "doc") -> DataFrame:
     return picked.select(doc, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
+def version_at(versions: DataFrame, asked: DataFrame, doc: str = "doc"):
+    """asked(doc, version): the rows of given versions, and what was asked for in vain: (found, refused)."""
+    wanted = asked.select(doc, "version").distinct()
+    held = versions.withColumn("_held", F.lit(True))
+    joined = scale.null_safe_join(wanted, held, [doc, "version"], "left")
+    found = joined.filter("_held").drop("_held").select(*versions.columns)
+    return found, joined.filter(F.col("_held").isNull()).select(doc, "version", F.concat(
+        F.lit("There is no version "), F.coalesce(F.col("version").cast("string"), F.lit("without a number")), F.lit(" of this document.")).alias("reason"))
+
+
+def as_of(versions: DataFrame, asked: DataFrame, doc: str = "doc", at: str = "at", created: str = "created_at", bits: int = 40) -> DataFrame:
+    """asked(doc, at): the newest version of the document at a time, null before its first one: doc, at, version.
+
+    Versions are numbered 1, 2, 3... as they were created, so the number wanted is how many had been by
+    then: a running count over versions and questions in order of time, in buckets of time (2**bits
+    microseconds), so neither a long history nor many questions about one document meet in one task.
+    """
+    # A version created at the very moment counts: questions come half a step later.
+    events = versions.select(doc, (F.unix_micros(created) * 2).alias("_time"), F.lit(1).alias("_one"), F.lit(None).cast("timestamp").alias(at)).unionByName(
+        asked.select(doc, at).distinct().select(doc, (F.unix_micros(at) * 2 + 1).alias("_time"), F.lit(0).alias("_one"), at))
+    counted = scale.running_before(events, [doc], "_time", F.col("_one"), "version", bits=bits)
+    return counted.filter(F.col("_one") == 0).select(doc, at, F.when(F.col("version") > 0, F.col("version")).alias("version"))
+
+
 def history(versions: DataFrame, doc: str = "doc", seq: str = "seq") -> DataFrame:
     """Every version with `current` set on the newest and a short hash."""
     joined = scale.attach(versions, version_counts(versions, doc), [doc], "versions", F.col(seq))

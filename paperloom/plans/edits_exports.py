@@ -16,6 +16,7 @@ from paperloom.plans.registry import query
 from paperloom.plans.sqlparts import DOC_PAGES, py_round
 from paperloom.plans.text_stats import SIZED_SQL, books, documents, sized_pages
 from paperloom.sources import tables as IO
+from paperloom.session import scratch_path
 from paperloom.sources.tables import load
 
 STRIP = "trim({}, E' \\t\\n\\r')"
@@ -320,7 +321,7 @@ def upload_checks(spark, folder):
 @query("WITH " + DOC_PAGES + """
 SELECT doc_id, string_agg(rtrim('--- Page ' || page || ' ---' || chr(10) || text, E' \\t\\n\\r'), chr(10) || chr(10) ORDER BY page) AS body FROM doc_pages GROUP BY doc_id""")
 def exported_text(spark, folder):
-    return X.export(books(spark, folder), "txt")
+    return X.export(books(spark, folder), "txt").select("doc_id", "body")
 
 
 LINES_SQL = DOC_PAGES + f""",
@@ -343,7 +344,7 @@ def markdown_lines(spark, folder):
 
 @query()
 def exported_markdown(spark, folder):
-    return X.export(books(spark, folder), "md")
+    return X.export(books(spark, folder), "md").select("doc_id", "body")
 
 
 @query("WITH " + LINES_SQL + f""",
@@ -351,23 +352,25 @@ paragraphs AS (SELECT doc_id, page, string_agg('<p>' || replace(replace(replace(
 SELECT doc_id, '{fixed.HTML_HEAD}' || string_agg('<section class="page" id="page-' || page || '"><h2>Page ' || page || '</h2>' || coalesce(p, '') || '</section>', '' ORDER BY page) || '</body></html>' AS body
 FROM doc_pages LEFT JOIN paragraphs USING (doc_id, page) GROUP BY doc_id""")
 def exported_html(spark, folder):
-    return X.export(books(spark, folder), "html")
+    return X.export(books(spark, folder), "html").select("doc_id", "body")
 
 
-# A page's first two lines stand for one detected table of words.
+# Every page's lines, parted into words, stand for one detected table.
 def page_tables(spark, folder):
     found = F.transform("pages", lambda p: F.struct(
-        p["page"].alias("page"), F.lit(1).alias("index"), F.transform(F.slice(F.split(p["text"], "\n", -1), 1, 2), T.word_list).alias("rows")))
+        p["page"].alias("page"), F.lit(1).alias("index"), F.transform(F.split(p["text"], "\n", -1), T.word_list).alias("rows")))
     return books(spark, folder).select("doc_id", found.alias("tables"))
 
 
 @query("WITH " + DOC_PAGES + """
-SELECT doc_id, count(*) AS page_count, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))) AS words, count(*) AS tables FROM doc_pages GROUP BY doc_id""")
+SELECT doc_id, page, text, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS words, 1 AS tables,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_filter(string_split_regex(l, '\\s+'), lambda x: x <> ''), chr(31))), chr(30)) AS cells FROM doc_pages""")
 def exported_json(spark, folder):
+    """The written JSON, read again: text, words and tables of every page."""
     bodies = X.export_json(books(spark, folder), page_tables(spark, folder))
-    parsed = bodies.select("doc_id", F.from_json("body", "page_count int, pages array<struct<page:int,words:array<string>,tables:array<array<array<string>>>>>").alias("j"))
-    return parsed.select("doc_id", F.col("j.page_count").alias("page_count"), T.sum_of(F.transform("j.pages", lambda p: F.size(p["words"]))).alias("words"),
-                         T.sum_of(F.transform("j.pages", lambda p: F.size(p["tables"]))).alias("tables"))
+    pages = bodies.select("doc_id", F.explode(F.from_json("body", "pages array<struct<page:int,text:string,words:array<string>,tables:array<array<array<string>>>>>")["pages"]).alias("p"))
+    rows = F.transform(F.get("p.tables", F.lit(0)), lambda r: F.array_join(r, "\x1f"))
+    return pages.select("doc_id", "p.page", "p.text", F.array_join("p.words", " ").alias("words"), F.size("p.tables").alias("tables"), F.array_join(rows, "\x1e").alias("cells"))
 
 
 def one_table_per_row(spark, folder):
@@ -375,7 +378,7 @@ def one_table_per_row(spark, folder):
 
 
 @query("WITH " + DOC_PAGES + """,
-r AS (SELECT doc_id, page, k, list_filter(string_split_regex(l[k], '\\s+'), lambda x: x <> '') AS cells FROM (SELECT doc_id, page, l, unnest(range(1, least(len(l), 2) + 1)) AS k FROM (
+r AS (SELECT doc_id, page, k, list_filter(string_split_regex(l[k], '\\s+'), lambda x: x <> '') AS cells FROM (SELECT doc_id, page, l, unnest(range(1, len(l) + 1)) AS k FROM (
   SELECT doc_id, page, string_split(text, chr(10)) AS l FROM doc_pages))),
 q AS (SELECT doc_id, page, k, array_to_string(list_transform(cells, lambda c: CASE WHEN contains(c, ',') OR contains(c, '"') THEN '"' || replace(c, '"', '""') || '"' ELSE c END), ',') AS line FROM r)
 SELECT doc_id, page, CAST(k AS INTEGER) AS line_no, coalesce(line, '') AS line FROM q
@@ -385,6 +388,19 @@ def exported_tables(spark, folder):
     return X.export_tables(one_table_per_row(spark, folder)).select("doc_id", "page", "line_no", "line")
 
 
+@query("WITH " + DOC_PAGES + """,
+r AS (SELECT doc_id, page, k, list_filter(string_split_regex(l[k], '\\s+'), lambda x: x <> '') AS cells FROM (SELECT doc_id, page, l, unnest(range(1, len(l) + 1)) AS k FROM (
+  SELECT doc_id, page, string_split(text, chr(10)) AS l FROM doc_pages))),
+q AS (SELECT doc_id, page, k, array_to_string(list_transform(cells, lambda c: CASE WHEN contains(c, ',') OR contains(c, '"') THEN '"' || replace(c, '"', '""') || '"' ELSE c END), ',') AS line FROM r),
+t AS (SELECT doc_id, page, '# Page ' || page || ' — table 1' || chr(10) || string_agg(coalesce(line, ''), chr(10) ORDER BY k) || chr(10) AS body FROM q GROUP BY doc_id, page)
+SELECT doc_id, 'csv' AS target, 'structural' AS fidelity, sha256(string_agg(body, chr(10) ORDER BY page)) AS digest FROM t GROUP BY doc_id
+UNION ALL SELECT doc_id, 'txt', 'text-only', sha256(string_agg(rtrim('--- Page ' || page || ' ---' || chr(10) || text, E' \\t\\n\\r'), chr(10) || chr(10) ORDER BY page)) FROM doc_pages GROUP BY doc_id""")
+def written_exports(spark, folder):
+    """Documents written in two forms with the fidelity each declares, read back."""
+    found = X.write_exports(books(spark, folder), ["csv", "txt"], scratch_path(spark, "exports"), page_tables(spark, folder))
+    return found.select("doc_id", "target", "fidelity", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+
+
 @query("""
 WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN ' 1,2' || l_partkey WHEN 1 THEN '-' || l_partkey || '.50' WHEN 2 THEN l_partkey || 'x' WHEN 3 THEN chr(7) || l_partkey WHEN 4 THEN '-,' ELSE '.5' END AS cell FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN CAST('12' || l_partkey AS BIGINT) WHEN 3 THEN l_partkey END AS whole,
@@ -404,20 +420,21 @@ def xml_safe_text(spark, folder):
     return talk.select("conv_id", "turn", X.xml_safe(F.col("t")).alias("clean"))
 
 
-# Conversations written out as light markup, one block shape per turn.
-@query(f"""
-WITH d AS (SELECT conv_id, turn, trim(string_split(text, chr(10))[1], E' \\t\\n\\r#') AS w FROM conversations)
-SELECT conv_id, turn, 0 AS block_no, 'heading' AS kind, turn % 4 + 1 AS level, w AS body FROM d WHERE turn % 4 < 3 AND w <> ''
-UNION ALL SELECT conv_id, turn, 1, 'paragraph', 0, 'under it' FROM d WHERE turn % 4 < 3 AND w <> ''
-UNION ALL SELECT conv_id, turn, 2, 'list', 0, 'one' || chr(10) || 'two' FROM d WHERE turn % 4 < 3 AND w <> ''
-UNION ALL SELECT conv_id, turn, 0, 'paragraph', 0, '#### ' || w || chr(10) || 'under it' FROM d WHERE turn % 4 = 3 AND w <> ''
-UNION ALL SELECT conv_id, turn, 1, 'list', 0, 'one' || chr(10) || 'two' FROM d WHERE turn % 4 = 3 AND w <> ''""")
+# Whole turns as light markup: their first line is a heading of one to four marks, a list follows.
+@query("""
+WITH m AS (SELECT conv_id, turn, repeat('#', CAST(turn % 4 + 1 AS INTEGER)) || ' ' || text || chr(10) || chr(10) || chr(10) || '- one ' || chr(10) || '* two' || chr(10) || chr(10) || '  ' || chr(10) AS t FROM conversations),
+b AS (SELECT conv_id, turn, i, regexp_replace(l[i], '^\\n+|\\n+$', '', 'g') AS b FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, string_split(t, chr(10) || chr(10)) AS l FROM m))),
+n AS (SELECT conv_id, turn, i, list_transform(string_split(b, chr(10)), lambda x: rtrim(x, E' \\t\\r')) AS ls FROM b WHERE trim(b, E' \\t\\n\\r') <> ''),
+k AS (SELECT *, list_filter(ls, lambda x: x <> '') AS shown, ltrim(ls[1], E' \\t\\r') AS first FROM n),
+h AS (SELECT *, length(regexp_extract(first, '^#*')) AS level, trim(regexp_replace(first, '^#*', ''), E' \\t\\r') AS title, list_bool_and(list_transform(shown, lambda x: ltrim(x, E' \\t\\r')[1:2] IN ('- ', '* '))) AS listed FROM k),
+r AS (SELECT *, level BETWEEN 1 AND 3 AND title <> '' AS headed, trim(array_to_string(CASE WHEN level BETWEEN 1 AND 3 AND title <> '' THEN ls[2:] ELSE ls END, chr(10)), E' \\t\\n\\r') AS rest FROM h),
+o AS (SELECT conv_id, turn, i, 0 AS part, 'list' AS kind, 0 AS level, array_to_string(list_transform(shown, lambda x: trim(ltrim(x, E' \\t\\r')[3:], E' \\t\\r')), chr(10)) AS body FROM r WHERE listed
+  UNION ALL SELECT conv_id, turn, i, 0, 'heading', level, title FROM r WHERE NOT listed AND headed
+  UNION ALL SELECT conv_id, turn, i, 1, 'paragraph', 0, rest FROM r WHERE NOT listed AND rest <> '')
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, part) - 1 AS INTEGER) AS block_no, kind, CAST(level AS INTEGER) AS level, body FROM o""")
 def typed_blocks(spark, folder):
-    first = F.trim(F.get(F.split("text", "\n", -1), F.lit(0)))
-    w = F.btrim(first, F.lit(" \t\n\r#"))
-    talk = load(spark, folder, "conversations").select("conv_id", "turn", w.alias("w")).filter(F.col("w") != "")
-    marked = talk.select("conv_id", "turn", F.concat(
-        F.repeat(F.lit("#"), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), "w", F.lit("\nunder it\n\n\n- one \n* two\n\n  \n")).alias("text"))
+    marked = load(spark, folder, "conversations").select("conv_id", "turn", F.concat(
+        F.repeat(F.lit("#"), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), "text", F.lit("\n\n\n- one \n* two\n\n  \n")).alias("text"))
     return X.block_types(marked, "conv_id", "turn")
 
 

@@ -320,11 +320,42 @@ def key_quotes(spark, folder):
     return MM.key_quotes(books(spark, folder), model=second_line)
 
 
-@query(f"""SELECT conv_id, turn, {FIRST_LINE.format('text')} AS output, false AS injection_detected FROM conversations WHERE {STRIP.format('text')} <> '' AND length(text) <= 20000""")
+# Every eleventh turn is blank and comes back refused.
+@query(f"""SELECT conv_id, turn, CASE WHEN blank THEN NULL ELSE {FIRST_LINE.format('text')} END AS output, CASE WHEN blank THEN NULL ELSE false END AS injection_detected,
+  CASE WHEN blank THEN 'No text was selected.' END AS reason FROM (SELECT *, {STRIP.format('text')} = '' OR conv_id % 11 = 3 AS blank FROM conversations)""")
 def passage_summaries(spark, folder):
-    passages = load(spark, folder, "conversations").select("conv_id", "turn", "text")
-    results, _ = MM.act(passages, "summarize")
-    return results.select("conv_id", "turn", "output", "injection_detected")
+    return acted(blanked_turns(spark, folder), "summarize")
+
+
+def blanked_turns(spark, folder):
+    return load(spark, folder, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 11 == 3, " \n").otherwise(F.col("text")).alias("text"))
+
+
+def acted(passages, mode, **more):
+    results, refused = MM.act(passages, mode, **more)
+    return results.select("conv_id", "turn", "output", "injection_detected", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("conv_id", "turn", F.lit(None).cast("string").alias("output"), F.lit(None).cast("boolean").alias("injection_detected"), "reason"))
+
+
+ACTIONS = {
+    "explain": "Explain the passage in plain language.", "rewrite": "Rewrite the passage more clearly without changing its meaning.", "shorten": "Shorten the passage without losing meaning.",
+    "summarize": "Summarise the passage in two or three sentences.", "translate": "Translate the passage into Latin. Output only the translation.",
+}
+
+
+@query("WITH a(mode, instruction) AS (VALUES " + ", ".join(f"('{m}', '{i}')" for m, i in ACTIONS.items()) + f"""),
+p AS (SELECT *, {STRIP.format('text')} = '' OR conv_id % 11 = 3 AS blank FROM conversations)
+SELECT conv_id, turn, mode, CASE WHEN NOT blank THEN instruction || ' ' || length(text) || ' ' || substr(sha256(text), 1, 16) END AS output, CASE WHEN blank THEN 'No text was selected.' END AS reason FROM p, a""")
+def passage_actions(spark, folder):
+    """All five actions on every turn; the model tells what it was asked and digests the whole passage."""
+    def telling(system, user):
+        return f"{user.split(chr(10), 1)[0]} {upper_model(system, user)[0]}", 1
+    done = None
+    for mode in ACTIONS:
+        more = {"language": "Latin"} if mode == "translate" else {}
+        one = acted(blanked_turns(spark, folder), mode, model=telling, **more).select("conv_id", "turn", F.lit(mode).alias("mode"), "output", "reason")
+        done = one if done is None else done.unionByName(one)
+    return done
 
 
 def upper_model(system: str, user: str) -> tuple[str, int]:
@@ -360,6 +391,19 @@ SELECT doc_id % 10 AS batch_id, count(*) AS total, count(*) AS succeeded, 0 AS f
 def cached_batches(spark, folder):
     from paperloom.operators import lifecycle as L
 
+    done = batched(spark, folder)
+    return L.batch_outcome(done.select((F.col("doc_id") % 10).alias("batch_id"), "source", F.lit(None).cast("string").alias("error")))
+
+
+@query(f"""
+WITH live AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0 AND TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 120 AS INTEGER)) + INTERVAL 24 HOUR >= TIMESTAMP '2024-01-04')
+SELECT doc_id, CASE WHEN h IS NULL THEN {FIRST_LINE.format('text')} ELSE 'stored' END AS result, CASE WHEN h IS NULL THEN 'processed' ELSE 'cache' END AS source
+FROM documents LEFT JOIN live ON h = sha256(text)""")
+def batch_results(spark, folder):
+    return batched(spark, folder).select("doc_id", "result", "source")
+
+
+def batched(spark, folder):
     docs = documents(spark, folder).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
     cache = docs.filter(F.col("doc_id") % 3 == 0).select(
         "content_hash", F.lit("stored").alias("result"),
@@ -367,8 +411,7 @@ def cached_batches(spark, folder):
 
     def run(misses):
         return MM.model_map(misses.withColumn("prompt", F.col("text"))).withColumn("result", F.col("reply"))
-    done = MM.process_batch(docs, cache, ["content_hash"], F.lit("2024-01-04").cast("timestamp"), run)
-    return L.batch_outcome(done.select((F.col("doc_id") % 10).alias("batch_id"), "source", F.lit(None).cast("string").alias("error")))
+    return MM.process_batch(docs, cache, ["content_hash"], F.lit("2024-01-04").cast("timestamp"), run)
 
 
 # ------------------------------------------------------------------ comparisons

@@ -67,6 +67,34 @@ def latest_versions(spark, folder):
     return V.latest(versions(spark, folder)).select("doc", "seq", "content_hash", "version")
 
 
+# Versions are created an hour apart; asked for are every third document's number, two beyond the last, and times around.
+DATED_SQL = VERSIONS_SQL + """,
+dated AS (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(seq AS INTEGER)) AS created_at FROM versions)"""
+
+
+def dated(spark, folder):
+    return versions(spark, folder).withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("seq").cast("int")))
+
+
+@query("WITH " + DATED_SQL + """,
+asked AS (SELECT DISTINCT source AS doc, doc_id % 7 * 3 AS version FROM documents)
+SELECT doc, version, seq, content_hash, CASE WHEN seq IS NULL THEN 'There is no version ' || version || ' of this document.' END AS reason FROM asked LEFT JOIN versions USING (doc, version)""")
+def given_versions(spark, folder):
+    asked = load(spark, folder, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") % 7 * 3).alias("version"))
+    found, refused = V.version_at(versions(spark, folder), asked)
+    return found.select("doc", "version", "seq", "content_hash", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("doc", "version", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("content_hash"), "reason"))
+
+
+@query("WITH " + DATED_SQL + """,
+asked AS (SELECT DISTINCT source AS doc, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id * 37 - 600 AS INTEGER)) AS moment FROM documents)
+SELECT doc, epoch_us(moment) AS at_us, (SELECT max(version) FROM dated d WHERE d.doc = a.doc AND d.created_at <= a.moment) AS version FROM asked a""")
+def versions_as_of(spark, folder):
+    asked = load(spark, folder, "documents").select(F.col("source").alias("doc"), (
+        F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37 - 600).cast("int"))).alias("at"))
+    return V.as_of(dated(spark, folder), asked).select("doc", F.unix_micros("at").alias("at_us"), "version")
+
+
 @query("WITH " + VERSIONS_SQL + " SELECT doc, version, version = max(version) OVER (PARTITION BY doc) AS current, content_hash[1:16] AS short_hash FROM versions")
 def version_history(spark, folder):
     return V.history(versions(spark, folder)).select("doc", "version", "current", "short_hash")
@@ -326,7 +354,18 @@ def library_page(spark, folder):
 
 @query("WITH " + MEMBERS_SQL + " SELECT workspace_id, count(*) AS total FROM items WHERE NOT archived GROUP BY workspace_id")
 def library_totals(spark, folder):
-    return items(spark, folder).filter(~F.col("archived")).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("total"))
+    return M.workspace_totals(items(spark, folder))
+
+
+@query("WITH " + MEMBERS_SQL + """, l AS (SELECT item_id, created_at FROM items WHERE workspace_id = 3)
+SELECT item_id, strftime(created_at, '%Y-%m-%d') AS day, (SELECT count(*) FROM l) AS total FROM l ORDER BY created_at DESC, item_id LIMIT 250 OFFSET 20""")
+def library_page_after(spark, folder):
+    """The page behind the twentieth item, found by that item's key."""
+    found = M.list_items(items(spark, folder), 3, include_archived=True).select("item_id", "created_at")
+    keys = [("created_at", True), ("item_id", False)]
+    seen = M.page_after(found, keys, 20).collect()
+    page = M.page_after(found, keys, 250, seen[-1].asDict() if len(seen) == 20 else None)
+    return M.with_total(page, found).select("item_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "total")
 
 
 @query("SELECT s_suppkey AS asset_id, s_name AS name FROM supplier WHERE s_nationkey = 4")

@@ -101,10 +101,16 @@ def page_edits(spark, folder):
 
 @query("WITH " + EDIT_SQL + """
 SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN regexp_replace(text, '(?i)' || find, replacement)
-  ELSE regexp_replace(text, '(?i)' || find, replacement, 'g') END AS text FROM edits""")
+  ELSE regexp_replace(text, '(?i)' || find, replacement, 'g') END AS text, CAST(NULL AS VARCHAR) AS problem FROM edits
+UNION ALL SELECT doc_id, page, text, 'replacement not found' FROM doc_pages WHERE (doc_id + page) % 5 = 0 AND text <> '' """ + """
+""")
 def replaced_text(spark, folder):
-    ok, _ = S.replace_text(page_edits(spark, folder))
-    return ok.select("doc_id", "page", "text")
+    """Every fifth page is also asked to replace what it does not hold: refused, with its text unchanged."""
+    edits = page_edits(spark, folder)
+    absent = doc_pages(spark, folder).filter(((F.col("doc_id") + F.col("page")) % 5 == 0) & (F.col("text") != "")).select(
+        "doc_id", "page", "text", F.lit("\x01absent\x01").alias("find"), F.lit("\x02new\x02").alias("replacement"), F.lit(0).alias("occurrence"))
+    ok, refused = S.replace_text(edits.select(*absent.columns).unionByName(absent))
+    return ok.withColumn("problem", F.lit(None).cast("string")).unionByName(refused).select("doc_id", "page", "text", "problem")
 
 
 # ------------------------------------------------------------------ sensitive values
@@ -211,6 +217,67 @@ def unmasked_check(spark, folder):
         rejected.select("doc_id", "page", F.lit(True).alias("still_there")))
 
 
+# One value of every kind of its own stands in each document; every third is refused by the review, every seventh
+# hit is not reviewed at all, and every ninth document has no stored version.
+ALL_KINDS = {
+    "email": ("a", "u{}@mail.example.org"), "phone": ("b", "(555) 010-{:04}"), "ssn": ("c", "219-09-{:04}"), "credit_card": ("d", "4111 1111 1111 1111"),
+    "ip_address": ("e", "10.20.30.{}"), "url": ("f", "https://x.example.org/{}"), "date_of_birth": ("g", "12/05/1987"), "iban": ("h", "DE89370400440532013000"),
+}
+
+
+def value_sql(kind: str) -> str:
+    form = ALL_KINDS[kind][1]
+    if "{:04}" in form:
+        return "'" + form.replace("{:04}", "' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '") + "'"
+    return "'" + form.replace("{}", "' || doc_id % 200 || '") + "'"
+
+
+def value_of(kind: str):
+    form = ALL_KINDS[kind][1]
+    if "{" not in form:
+        return F.lit(form)
+    number = F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0") if "{:04}" in form else (F.col("doc_id") % 200).cast("string")
+    return F.concat(F.lit(form.split("{")[0]), number, F.lit(form.split("}")[1]))
+
+
+FORM_SQL = "forms AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {n} AS n, '{kind}' || ' <' AS front, {value_sql(kind)} AS value FROM documents" for n, kind in enumerate(ALL_KINDS)) + """),
+placed AS (SELECT *, CAST(coalesce(sum(length(front) + length(value) + 2) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(front) AS BIGINT) AS start FROM forms),
+judged AS (SELECT *, n % 7 <> 3 AND (doc_id + n) % 3 <> 0 AS approved FROM placed)"""
+
+
+def forms(spark, folder):
+    """A page with one value of every kind."""
+    body = F.concat(*[c for kind in ALL_KINDS for c in (F.lit(f"{kind} <"), value_of(kind), F.lit(">\n"))])
+    return documents(spark, folder).select("doc_id", F.array(F.struct(F.lit(1).alias("page"), body.alias("text"))).alias("pages"))
+
+
+def redaction(spark, folder):
+    made = forms(spark, folder)
+    found = D.detect(made.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.page", "p.text"), "doc_id", "page")
+    number = F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), F.col("kind")) - 1
+    decisions = found.filter(number % 7 != 3).select("doc_id", "page", "start", "kind", ((F.col("doc_id") + number) % 3 != 0).alias("approved"))
+    stored = made.filter(F.col("doc_id") % 9 != 4).select("doc_id", (F.col("doc_id") % 4 + 1).alias("version"))
+    return D.redact_versions(made, stored, decisions)
+
+
+@query("WITH " + FORM_SQL + " SELECT doc_id, kind, value, CAST(start AS INTEGER) AS start, approved FROM judged")
+def reviewed_hits(spark, folder):
+    """All eight kinds, with the decision on every hit."""
+    return redaction(spark, folder)[2].select("doc_id", "kind", "value", F.col("start").cast("int").alias("start"), "approved")
+
+
+@query("WITH " + FORM_SQL + """,
+bodies AS (SELECT doc_id, string_agg(front || CASE WHEN approved THEN repeat(' ', length(value)) ELSE value END || '>' || chr(10), '' ORDER BY n) AS body, count_if(approved) AS hit_count FROM judged GROUP BY doc_id)
+SELECT doc_id, doc_id % 4 + 2 AS version, sha256(body) AS content_hash, CAST(strlen(body) AS BIGINT) AS size_bytes, hit_count, NULL AS reason FROM bodies WHERE hit_count > 0 AND doc_id % 9 <> 4
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'There is no stored version to follow.' FROM bodies WHERE hit_count > 0 AND doc_id % 9 = 4""")
+def redacted_versions(spark, folder):
+    appended, refused, _ = redaction(spark, folder)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("version", "long"), ("content_hash", "string"), ("size_bytes", "long"), ("hit_count", "long"))]
+    return appended.select("doc_id", "version", "content_hash", "size_bytes", "hit_count", F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select("doc_id", *nothing, "reason"))
+
+
 @query("WITH " + DOC_PAGES + """,
 hits AS (
   SELECT doc_id, page, text, regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') AS ip,

@@ -118,7 +118,7 @@ def doc_readability(spark, folder):
 top AS (SELECT doc_id, string_agg(word, ' ' ORDER BY rank) AS keywords FROM ranked WHERE rank <= 20 GROUP BY doc_id)
 SELECT complex.doc_id, words AS word_count, length(complex.body) AS character_count, n_pages AS page_count,
   coalesce(keywords, '') AS keywords, {SENTIMENT_COLUMNS}, {READ_COLUMNS}
-FROM complex JOIN scored USING (doc_id) LEFT JOIN top USING (doc_id) WHERE length(complex.body) > 0""")
+FROM complex JOIN scored USING (doc_id) LEFT JOIN top USING (doc_id)""")
 def doc_insights(spark, folder):
     return S.insights(books(spark, folder)).withColumn("keywords", F.array_join("keywords", " ")).select(
         "doc_id", "word_count", "character_count", "page_count", "keywords", "positive_words", "negative_words",

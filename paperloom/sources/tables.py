@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +29,59 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def scan_files(spark: SparkSession, path: str, max_bytes: int = fixed.UPLOAD_LIMIT_MB << 20) -> DataFrame:
-    """Raw files with size and content hash.
+RANGE_BYTES = 64 << 20
+
+
+def scan_files(spark: SparkSession, path: str, max_bytes: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Raw files with size, SHA-256 and digest by ranges: name, length, content_hash, range_hash, accepted.
 
-    Files over the ceiling are reported without being read: the `length` filter reaches
-    the source, and the second branch never asks for the content column.
+    A file of up to `range_bytes` comes from Spark's reader whole. A larger one is never held: its bytes
+    are read in pieces, once in order for the SHA-256 of the whole (one task a file), and range by
+    range in as many tasks for `range_hash`. That is the SHA-256 of the concatenated binary SHA-256
+    digests of the file's consecutive ranges; it can be checked, or made again after a change, in parallel.
+
+    `max_bytes` sets a ceiling: files above it are listed as not accepted, without being read. There is none by default.
+    Empty files are not listed: Spark's reader leaves them out.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("name")
-    taken = files.filter(F.col("length") <= max_bytes).select(
-        name, "length", F.sha2("content", 256).alias("content_hash"), F.lit(True).alias("accepted")
-    )
-    refused = files.filter(F.col("length") > max_bytes).select(
-        name, "length", F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("accepted")
-    )
-    return taken.unionByName(refused)
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    # The `length` filters reach the source, and only the first branch asks for the content.
+    small = files.filter(fits & (F.col("length") <= range_bytes)).select(
+        name, "length", F.sha2("content", 256).alias("content_hash"), F.sha2(F.unhex(F.sha2("content", 256)), 256).alias("range_hash"), F.lit(True).alias("accepted"))
+    large = files.filter(fits & (F.col("length") > range_bytes)).select("path", "length")
+    ranges = large.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))))
+    stops = F.least(F.col("start") + range_bytes, F.col("length"))
+    parts = ranges.select("path", "length", "start", stops.alias("stop")).unionByName(large.select("path", "length", F.lit(-1).cast("long").alias("start"), F.col("length").alias("stop")))
+    digests = parts.repartition("path", "start").mapInPandas(_digest_ranges, "path string, length long, start long, digest binary").groupBy("path", "length").agg(
+        F.max(F.when(F.col("start") < 0, F.lower(F.hex("digest")))).alias("content_hash"),
+        F.sort_array(F.collect_list(F.when(F.col("start") >= 0, F.struct("start", "digest")))).alias("_parts"))
+    joined = F.aggregate("_parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["digest"]))
+    read = digests.select(name, "length", "content_hash", F.sha2(joined, 256).alias("range_hash"), F.lit(True).alias("accepted"))
+    nothing = F.lit(None).cast("string")
+    refused = files.filter(~fits).select(name, "length", nothing.alias("content_hash"), nothing.alias("range_hash"), F.lit(False).alias("accepted"))
+    return small.unionByName(read).unionByName(refused)
+
+
+def _digest_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of the bytes [start, stop) of files (from 0 where start is negative), read in pieces of a megabyte."""
+    from pyarrow.fs import FileSystem
+
+    for frame in frames:
+        digests = []
+        for path, start, stop in zip(frame["path"], frame["start"], frame["stop"], strict=True):
+            system, place = FileSystem.from_uri(path)
+            total, at = hashlib.sha256(), max(start, 0)
+            with system.open_input_file(place) as data:
+                data.seek(at)
+                while at < stop:
+                    piece = data.read(min(1 << 20, stop - at))
+                    if not piece:
+                        raise OSError(f"{path} ended before byte {stop}")
+                    total.update(piece)
+                    at += len(piece)
+            digests.append(total.digest())
+        yield frame[["path", "length", "start"]].assign(digest=digests)
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
