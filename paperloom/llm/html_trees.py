@@ -1,7 +1,8 @@
 """Main text of web pages by boosted trees over DOM nodes.
 
 A page becomes a tree of elements (comments, scripts, styles and templates carry no text;
-void and unclosed elements end as browsers end them). Each element gets features: depth,
+void and unclosed elements end as browsers end them). Text and inline elements that lie loose in
+the body, or beside blocks in any other element, become blocks without a tag, run by run. Each block gets features: depth,
 share of the page's text, link density, tags per character, sentence marks, position,
 attribute tokens grouped by meaning, and how its siblings compare. Boosted trees give the
 log-odds that the element belongs to the article; a page's labels are then chosen together
@@ -12,9 +13,10 @@ The trees are trained on the driver from pages that a seeded writer lays out wit
 parts (several layouts, semantic and plain tags, many names for menus, adverts, notices and
 reader comments); `pages` and `seed` fix the sample. No row of the input is used.
 
-Null html counts as empty and gives empty text, as does a page without an accepted block.
-A page without any block element that holds text gives all its text.
-Truncated pages are read to their end. Rows are independent; repeated rows repeat.
+Null html counts as empty and gives empty text, as does a page without an accepted block; an empty
+table gives no rows. A page that is one run of bare text is judged like any other block. Truncated pages are
+read to their end, very long and very deep ones whole and without recursion. Rows are independent; repeated rows repeat, and nothing
+depends on their order. Of the input only `keep` columns come back, so other names cannot clash; `text` and `n_chars` may not be among them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import boosting
 
-PAGES, SEED = 400, 7
+PAGES, SEED = 600, 7
 # Fixed values of HTML: element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -40,6 +42,8 @@ SILENT = frozenset("script style template noscript head title svg math object if
 BLOCK = frozenset((
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption").split())
+RUN = "#run"  # a block made of loose text and inline elements
+BLOCKS = BLOCK | {RUN}
 ENDS_PARAGRAPH = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -60,7 +64,7 @@ GROUPS = {
 }
 GROUP_TESTS = [(name, re.compile(pattern, re.I).search) for name, pattern in GROUPS.items()]
 KINDS = {tag: i for i, names in enumerate(("div section span td", "p blockquote pre figure figcaption", "h1 h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd",
-                                           "table tbody tr", "article main", "nav", "header footer", "aside", "form fieldset dialog address"), 1) for tag in names.split()}
+                                           "table tbody tr", "article main", "nav", "header footer", "aside", "form fieldset dialog address", RUN), 1) for tag in names.split()}
 FEATURES = ["kind", "depth", "log_chars", "page_share", "parent_share", "link_density", "tags_per_100", "marks_per_100", "words_per_block", "children",
             "place", "before_share", "sibling_same_tag", "sibling_share", "above_good", "above_bad", *GROUPS]
 
@@ -140,6 +144,72 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
+def with_runs(nodes: list[Node]) -> tuple[list[Node], list[int]]:
+    """The tree with loose runs as blocks of their own, and for each of its nodes the number it had (-1 for runs).
+
+    Loose is what lies directly in the root, html or body, or in an element that also holds blocks: text, and
+    inline elements without blocks in them. Runs without anything to read stay as they are.
+    """
+    holds = [False] * len(nodes)  # a block below
+    reads = [False] * len(nodes)  # text to read, here or below
+    for number in range(len(nodes) - 1, 0, -1):
+        node = nodes[number]
+        if node.tag not in SILENT:
+            reads[number] = reads[number] or any(isinstance(p, str) and not p.isspace() and p for p in node.own)
+            holds[node.parent] = holds[node.parent] or holds[number] or node.tag in BLOCK
+            reads[node.parent] = reads[node.parent] or reads[number]
+    made, was = [Node("#root", nodes[0].words, -1, 0)], [0]
+    todo = [(0, 0, 0)]  # node as it was, node as it is, next piece
+    while todo:
+        old, new, at = todo.pop()
+        node = nodes[old]
+        mixed = node.tag in ("#root", "html", "body") or holds[old] and node.tag not in SILENT
+        pieces = node.own
+        while at < len(pieces):
+            stop = at
+            while mixed and stop < len(pieces) and (isinstance(pieces[stop], str) or nodes[pieces[stop]].tag not in BLOCK | SILENT and not holds[pieces[stop]]):
+                stop += 1
+            if stop > at and any(reads[q] if isinstance(q, int) else q and not q.isspace() for q in pieces[at:stop]):
+                number = len(made)
+                made.append(Node(RUN, "", new, made[new].depth + 1))
+                was.append(-1)
+                made[new].own.append(number)
+                made[new].children += 1
+                _lay_out(nodes, made, was, [(number, q) for q in pieces[at:stop]])
+                at = stop
+                continue
+            piece = pieces[at]
+            at += 1
+            if isinstance(piece, str):
+                made[new].own.append(piece)
+                continue
+            number = len(made)
+            made.append(Node(nodes[piece].tag, nodes[piece].words, new, made[new].depth + 1))
+            was.append(piece)
+            made[new].own.append(number)
+            made[new].children += 1
+            todo.append((old, new, at))
+            todo.append((piece, number, 0))
+            break
+    return made, was
+
+
+def _lay_out(nodes: list[Node], made: list[Node], was: list[int], pieces: list[tuple[int, object]]) -> None:
+    """Copy pieces with all below them under their new parents, in page order."""
+    todo = pieces[::-1]
+    while todo:
+        parent, piece = todo.pop()
+        if isinstance(piece, str):
+            made[parent].own.append(piece)
+            continue
+        number = len(made)
+        made.append(Node(nodes[piece].tag, nodes[piece].words, parent, made[parent].depth + 1))
+        was.append(piece)
+        made[parent].own.append(number)
+        made[parent].children += 1
+        todo += [(number, q) for q in reversed(nodes[piece].own)]
+
+
 def measure(nodes: list[Node]) -> None:
     """Totals of every subtree, children before parents."""
     for number in range(len(nodes) - 1, -1, -1):
@@ -147,7 +217,7 @@ def measure(nodes: list[Node]) -> None:
         node.end = max([number + 1, *(nodes[c].end for c in node.own if isinstance(c, int))]) if node.children else number + 1
         if node.tag in SILENT:
             continue
-        node.tags, node.blocks = 1, int(node.tag in BLOCK)
+        node.tags, node.blocks = 1, int(node.tag in BLOCKS)
         for piece in node.own:
             if isinstance(piece, int):
                 child = nodes[piece]
@@ -181,7 +251,7 @@ def features(nodes: list[Node]) -> tuple[list[int], np.ndarray]:
         good = up[0] or int(node.tag in ("article", "main")) or own[0]
         bad = up[1] or int(any(own[1:]) or node.tag in ("nav", "footer", "aside", "form", "dialog"))
         groups[number] = (good, bad)
-        if number and node.tag in BLOCK and node.chars and node.tag not in ("html", "body"):
+        if number and node.tag in BLOCKS and node.chars and node.tag not in ("html", "body"):
             parent = nodes[node.parent]
             done = running.get(node.parent, 0)
             chosen.append(number)
@@ -237,7 +307,7 @@ def blocks(nodes: list[Node], accepted: set[int], wanted: set[int]) -> list[str]
         node = nodes[number]
         if at == 0:
             inside = inside or number in wanted
-            if node.tag in BLOCK:
+            if node.tag in BLOCKS:
                 flush()
         pieces = node.own
         while at < len(pieces) and not isinstance(pieces[at], int):
@@ -252,9 +322,9 @@ def blocks(nodes: list[Node], accepted: set[int], wanted: set[int]) -> list[str]
                     current.append("\n")
                 else:
                     todo.append((child, 0, inside))
-            elif nodes[child].tag in BLOCK:
+            elif nodes[child].tag in BLOCKS:
                 flush()
-        elif node.tag in BLOCK or number == 0:
+        elif node.tag in BLOCKS or number == 0:
             flush()
     return found
 
@@ -263,7 +333,7 @@ def extract_many(pages: list[str | None], model: boosting.Model, together: int =
     """Article text of each page; elements of some pages at a time are scored in one go."""
     texts = []
     for at in range(0, len(pages), together):
-        trees = [parse(html or "") for html in pages[at:at + together]]
+        trees = [with_runs(parse(html or ""))[0] for html in pages[at:at + together]]
         for nodes in trees:
             measure(nodes)
         held = [features(nodes) for nodes in trees]
@@ -276,8 +346,6 @@ def extract_many(pages: list[str | None], model: boosting.Model, together: int =
 
 
 def _chosen_text(nodes: list[Node], chosen: list[int], score: np.ndarray) -> str:
-    if not chosen:  # text outside any block is all there is
-        return "\n\n".join(blocks(nodes, {n for n, node in enumerate(nodes) if node.tag not in SILENT}, {0}))
     accepted = decode(nodes, chosen, score)
     wanted = {n for n, s in zip(chosen, score, strict=True) if n in accepted and s > 0}
     return "\n\n".join(blocks(nodes, accepted, wanted))
@@ -301,8 +369,11 @@ def _label(draw: random.Random, names: str) -> str:
     return draw.choice([f' class="{name}"', f' class="{name} box"', f' id="{name}"', f' class="c-{name} row"', f' role="{name}" class="{name}"'])
 
 
+LOOSE = "\ue000"  # marks article text that has no element of its own, on training pages
+
+
 def written_page(draw: random.Random) -> str:
-    """A page whose article elements carry the mark data-y="1"."""
+    """A page whose article elements carry the mark data-y="1", and loose article text the mark LOOSE."""
     s = lambda low=1, high=3: _sentences(draw, low, high)
     link = lambda: f'<a href="/{draw.randint(1, 999)}">{_sentences(draw, 1, 1)[:draw.choice([6, 14, 40])]}</a>'
     listing = lambda n: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>"
@@ -339,8 +410,27 @@ def written_page(draw: random.Random) -> str:
     def mark(tag: str, inner: str, extra: str = "") -> str:
         return f'<{tag} data-y="1"{extra}>{inner}</{tag}>'
 
+    def loose() -> str:
+        gaps = draw.choice(["<br><br>", "<br>", " ", "<br><br>\n"])
+        said = gaps.join(s(1, draw.choice([1, 3, 8])) for _ in range(draw.choice([1, 2, 4])))
+        inline = draw.choice(["", "", f"<b>{s(1, 1)}</b> ", f"<i>{s(1, 1)}</i> ", f"<font size=2>{s(1, 2)}</font> ", f"{link()} ", f"<span>{s(1, 1)}</span>"])
+        return LOOSE + (inline + said if draw.random() < 0.5 else said + " " + inline)
+
+    def loose_frame() -> str:
+        return draw.choice([" | ".join(link() for _ in range(draw.randint(2, 6))), f"&copy; {draw.randint(1990, 2030)} {s(1, 1)}", f"{link()} &middot; {link()}", f"<small>&copy; {s(1, 1)}</small>"])
+
+    def bare_article() -> str:
+        """Heading and text straight in the body, between other blocks."""
+        parts = [mark(draw.choice(["h1", "h1", "h2"]), s(1, 1))] if draw.random() < 0.85 else []
+        for _ in range(draw.choice([1, 1, 2, 4])):
+            parts.append(loose())
+            parts += [mark("p", s(1, 4))] if draw.random() < 0.4 else [draw.choice([advert, side, notice])()] if draw.random() < 0.3 else [mark("h2", s(1, 1))] if draw.random() < 0.2 else []
+        return "".join(parts)
+
     def article() -> str:
         parts = [mark(draw.choice(["h1", "h1", "h2"]), s(1, 1))] if draw.random() < 0.9 else []
+        if draw.random() < 0.15:
+            parts += [draw.choice([loose, lambda: mark("p", s(1, 3))])() for _ in range(draw.randint(1, 5))]
         for _ in range(draw.choice([0, 1, 2, 4, 8, 14])):
             kind = draw.random()
             if kind < 0.72:
@@ -373,6 +463,17 @@ def written_page(draw: random.Random) -> str:
     if draw.random() < 0.3:
         top.insert(0, f"<header{_label(draw, 'header masthead site-header')}><h2>{s(1, 1)}</h2>{menu() if draw.random() < 0.5 else '<p>' + s(1, 1) + '</p>'}</header>")
     tail = [part() for part in (side, comments, advert, form, notice) if draw.random() < 0.3] + ([footer()] if draw.random() < 0.85 else [])
+    if draw.random() < 0.25:
+        top, tail = top + ([loose_frame()] if draw.random() < 0.4 else []), ([loose_frame()] if draw.random() < 0.4 else []) + tail
+        if tail and not tail[0].startswith("<") and top and draw.random() < 0.5:
+            tail.insert(0, "<hr>" + draw.choice([advert, side, comments])())
+        inner = bare_article()
+        # Frame text needs a block between it and the article, or it would be one run with it.
+        between = lambda part: part if part.startswith("<") and not part.startswith(("<a", "<small")) else f"{part}<div></div>"
+        body = "".join(map(between, top)) + inner + "<div></div>" + "".join(map(between, tail))
+        if draw.random() < 0.2:
+            body = loose()
+        return f"<!DOCTYPE html><html><head><title>{s(1, 1)}</title></head><body>{body}</body></html>"
     body = "".join(top) + article() + "".join(tail)
     if draw.random() < 0.3:
         body = f'<div data-y="1"{_label(draw, "wrapper page container site layout")}>{body}</div>'
@@ -388,10 +489,14 @@ def trained(pages: int = PAGES, seed: int = SEED) -> boosting.Model:
         nodes = parse(html)
         marked = [m.group(3) is not None and 'data-y="1"' in m.group(3) for m in TOKEN.finditer(html) if m.group(2) and not m.group(1)]
         # Elements and opening tags come in the same order; raw text holds no tags here.
+        nodes, was = with_runs(nodes)
+        loose = [node.tag == RUN and any(isinstance(q, str) and LOOSE in q for q in node.own) for node in nodes]
+        for node in nodes:
+            node.own = [q.replace(LOOSE, "") if isinstance(q, str) else q for q in node.own]
         measure(nodes)
         chosen, rows = features(nodes)
         xs.append(rows)
-        ys.append(np.array([float(marked[n - 1]) for n in chosen]))
+        ys.append(np.array([float(loose[n] if was[n] < 0 else marked[was[n] - 1]) for n in chosen]))
     x, y = np.vstack(xs), np.concatenate(ys)
     return boosting.fit(x, y, trees=60, depth=4, rate=0.25)
 
