@@ -1,15 +1,18 @@
 """Line deduplication with content-defined chunks.
 
-Lines are hashed; a rolling hash over each line hash and the one before it decides whether
-a chunk ends there, so an insertion moves only the chunks around it. A chunk of at least
-`least` lines that occurs again anywhere in the corpus stays at its first place (smallest
-id, then position) and is removed elsewhere. All occurrences of a chunk hash are compared
-byte by byte first (their smallest and greatest text must be the same string); where bytes
-differ under one hash, nothing is removed.
+Lines are hashed; a rolling hash over each line hash and the next one decides whether a
+chunk may begin there (15 lines of 16 may). A chunk runs from its boundary to the next one at
+least `LEAST_LINES` lines on, so chunks overlap and a passage is covered to its edges wherever it stands:
+an insertion moves only the chunks that touch it. A chunk that occurs again anywhere in the
+corpus stays at its first place (smallest id, then position); elsewhere its lines are removed.
+Hashes alone find repeats; then only chunks with a repeated hash are put together and compared byte by
+byte (their smallest and greatest text must be the same string); where bytes differ under one
+hash, nothing is removed.
 
 Null text stays null, empty text stays empty. Rows equal in id and text count as one
-document: both keep or lose the same chunks. A null id comes before all others. An empty
-table gives an empty table; other columns pass through. No Python runs on the data.
+document: both keep or lose the same lines. A null id comes before all others. An empty
+table gives an empty table; other columns pass through under any name. Very long texts are one row as any
+other, without recursion. No Python runs on the data.
 """
 
 from __future__ import annotations
@@ -17,69 +20,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import scale
 from paperloom.llm.common import stash
 
 LEAST_LINES = 2
-MARKER = "_lc_key"
+BELOW = "f"  # a boundary's rolling hash is below this
 
 
 def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents with a row key and the lines and chunk ends of each text.
+    """(row, doc, mark, lines, spans): the document's row, its id, a key of id and text, its lines and the chunks in them.
 
     Each step is a projection of its own, so that later ones read its result.
     """
-    marked = docs.withColumn(MARKER, F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-    lined = marked.withColumn("_lc_lines", F.split(F.col(text), "\n", -1))
-    hashed = lined.withColumn("_lc_hashes", F.transform("_lc_lines", lambda line: F.md5(line.cast("binary"))))
-    rolled = hashed.withColumn("_lc_rolled", F.transform("_lc_hashes", lambda h, i: F.md5(F.concat(
-        F.coalesce(F.get("_lc_hashes", i - 1), F.lit("")), h).cast("binary"))))
-    ended = rolled.withColumn("_lc_ends", F.filter(F.transform("_lc_rolled", lambda r, i: F.when(
-        (r < "8") | (i == F.size("_lc_rolled") - 1), i)), lambda m: m.isNotNull()))
-    return ended.withColumn("_lc_spans", F.transform("_lc_ends", lambda e, n: F.struct(
-        n.alias("no"), (F.coalesce(F.get("_lc_ends", n - 1), F.lit(-1)) + 1).alias("first"), e.alias("last")))).drop(
-        "_lc_hashes", "_lc_rolled", "_lc_ends")
-
-
-def lines_of(span: Column) -> Column:
-    return F.slice("_lc_lines", span["first"] + 1, span["last"] - span["first"] + 1)
-
-
-def chunks(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """One row per chunk long enough to be removed: place, hash and text."""
-    rows = chunked(docs.select(key, text), key, text).select(
-        F.col(key).alias("doc"), MARKER, "_lc_lines", F.explode(F.filter("_lc_spans", lambda s: s["last"] - s["first"] + 1 >= least)).alias("s"))
-    body = rows.select(F.struct("doc", MARKER, "s.no").alias("place"), F.array_join(lines_of(F.col("s")), "\n").alias("body"))
-    return body.select("place", F.md5(F.col("body").cast("binary")).alias("hash"), "body")
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_LINES) -> DataFrame:
-    """Hash and first place of every chunk found at two places or more, all with the same bytes."""
-    return chunks(docs, key, text, least).groupBy("hash").agg(
-        F.min("place").alias("first"), F.max("place").alias("_last"), F.min("body").alias("_low"), F.max("body").alias("_high"),
-    ).filter((F.col("first") != F.col("_last")) & (F.col("_low") == F.col("_high"))).select("hash", "first")
-
-
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_LINES, removed: str | None = None) -> DataFrame:
+    mark = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    lined = docs.select(F.struct("*").alias("row"), F.col(key).alias("doc"), F.unhex(mark).alias("mark"), F.split(F.col(text), "\n", -1).alias("lines"))
+    hashed = lined.withColumn("hashes", F.transform("lines", lambda line: F.md5(line.cast("binary"))))
+    begun = hashed.withColumn("begins", F.filter(F.transform("hashes", lambda h, i: F.when(
+        F.md5(F.concat(h, F.coalesce(F.get("hashes", i + 1), F.lit(""))).cast("binary")) < BELOW, i)), lambda i: i.isNotNull()))
+
+    def end(begin: Column, n: Column) -> Column:
+        """The next boundary far enough on: boundaries grow by one at least, so it is among the next LEAST_LINES."""
+        found = F.size("lines")
+        for ahead in range(LEAST_LINES, 0, -1):
+            at = F.get("begins", n + ahead)
+            found = F.when(at >= begin + LEAST_LINES, at).otherwise(found)
+        return found
+    spans = F.transform("begins", lambda b, n: F.struct(b.alias("first"), end(b, n).alias("stop")))
+    return begun.withColumn("spans", F.filter(spans, lambda s: s["stop"] - s["first"] >= LEAST_LINES)).drop("hashes", "begins")
+
+
+def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per chunk: place, hash and text."""
+    rows = chunked(docs.select(key, text), key, text).select("doc", "mark", "lines", F.explode("spans").alias("s"))
+    body = F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.stop") - F.col("s.first")), "\n")
+    made = rows.select(F.struct("doc", "mark", "s.first", "s.stop").alias("place"), body.alias("body"))
+    return made.select("place", F.unhex(F.md5(F.col("body").cast("binary"))).alias("hash"), "body")
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(hash, place, first): every place but the first of chunks found at two places or more, all with the same bytes."""
+    every = chunks(docs, key, text)
+    found = stash(every.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter(
+        F.col("first") != F.col("last")).select("hash", "first"), "line-hashes")
+    held = stash(scale.sieve(every, found, ["hash"]).join(found, "hash"), "line-repeats")
+    same = held.groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter(F.col("low") == F.col("high")).select("hash")
+    return held.filter(~F.col("place").eqNullSafe(F.col("first"))).join(same, "hash", "left_semi").select("hash", "place", "first")
+
+
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """`docs` without repeated chunks; `removed` names a column for the number of chunks taken out."""
-    columns = docs.columns
-    found = stash(repeats(docs, key, text, least), "line-repeats")
-    again = chunks(docs, key, text, least).select("place", "hash").join(found, "hash").filter(~F.col("place").eqNullSafe(F.col("first")))
-    gone = again.groupBy(F.col(f"place.{MARKER}").alias(MARKER)).agg(F.collect_set("place.no").alias("_lc_gone"))
-    rows = chunked(docs, key, text).drop("_lc_lines").join(gone, MARKER, "left")
-    rest = rows.withColumn("_lc_lines", F.split(F.col(text), "\n", -1))
-    kept = F.filter("_lc_spans", lambda s: ~F.array_contains("_lc_gone", s["no"]))
-    body = F.array_join(F.flatten(F.transform(kept, lines_of)), "\n")
-    result = rest.withColumn(text, F.when(F.col("_lc_gone").isNull(), F.col(text)).otherwise(body))
-    extra = [F.coalesce(F.size("_lc_gone"), F.lit(0)).alias(removed)] if removed else []
-    return result.select(*[F.col(f"`{c}`") for c in columns], *extra)
+    gone = repeats(docs, key, text).groupBy(F.col("place.mark").alias("mark")).agg(F.collect_set(F.struct("place.first", "place.stop")).alias("gone"))
+    # Lines covered by removed chunks, laid down once: a chunk's lines are numbers from first to stop.
+    gone = gone.select("mark", F.size("gone").alias("times"), F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["stop"] - 1)))).alias("out"))
+    rows = chunked(docs, key, text).select("row", "mark").join(gone, "mark", "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out")), lambda i: F.get("lines", i))
+    rest = rows.withColumn("lines", F.split(F.col(f"row.{text}"), "\n", -1)).withColumn("body", F.when(F.col("out").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(kept, "\n")))
+    columns = [F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return rest.select(*columns, *([F.coalesce("times", F.lit(0)).alias(removed)] if removed else []))
 
 
 def remaining(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
     """The documents without repeated chunks; those of which nothing is left go, `size` follows the text."""
-    rest = dedupe(docs, key, text, removed="_lc_removed").filter((F.col("_lc_removed") == 0) | (F.col(text) != ""))
+    times = "removed"
+    while times in docs.columns:
+        times += "_"
+    rest = dedupe(docs, key, text, removed=times).filter((F.col(times) == 0) | (F.col(text) != ""))
     if size in docs.columns:
-        rest = rest.withColumn(size, F.when(F.col("_lc_removed") == 0, F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
-    return rest.drop("_lc_removed")
+        rest = rest.withColumn(size, F.when(F.col(times) == 0, F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
+    return rest.drop(times)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,13 +100,14 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, md5(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(0) || coalesce(text, '')) AS k FROM documents),
 l AS (SELECT DISTINCT doc_id, k, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-r AS (SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) < '8' AS stop FROM l WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
-c AS (SELECT doc_id, k, i, line, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM r),
-b AS (SELECT doc_id, k, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, k, no),
-p AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, k, no) AS place FROM b WHERE n >= 2),
-e AS (SELECT b.*, coalesce(p.place, 1) > 1 AS gone FROM b LEFT JOIN p USING (doc_id, k, no)),
-t AS (SELECT doc_id, k, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id, k)
-SELECT d.doc_id, coalesce(t.n_removed, 0) AS n_removed,
-  length(CASE WHEN d.text IS NULL THEN NULL ELSE t.kept END) AS n_chars, md5(CASE WHEN d.text IS NULL THEN NULL ELSE t.kept END) AS text_md5
-FROM d LEFT JOIN t ON d.doc_id = t.doc_id AND d.k = t.k
+r AS (SELECT *, md5(md5(line) || coalesce(lead(md5(line)) OVER w, '')) < 'f' AS begins, count(*) OVER (PARTITION BY doc_id, k) AS n FROM l WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+s AS (SELECT doc_id, k, i, n, lead(i) OVER w AS one, lead(i, 2) OVER w AS two FROM r WHERE begins WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+c AS (SELECT doc_id, k, i, CASE WHEN one >= i + 2 THEN one ELSE coalesce(two, n) END AS stop FROM s),
+b AS (SELECT c.doc_id, c.k, c.i, c.stop, string_agg(line, chr(10) ORDER BY l.i) AS body FROM c JOIN l ON l.doc_id = c.doc_id AND l.k = c.k AND l.i >= c.i AND l.i < c.stop WHERE c.stop - c.i >= 2 GROUP BY ALL),
+g AS (SELECT doc_id, k, i, stop FROM b QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, k, i) > 1),
+o AS (SELECT DISTINCT doc_id, k, unnest(range(i, stop)) AS i FROM g),
+n AS (SELECT doc_id, k, count(*) AS n_removed FROM g GROUP BY doc_id, k),
+t AS (SELECT l.doc_id, l.k, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (o.i IS NULL), '') AS kept FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.k = l.k AND o.i = l.i GROUP BY l.doc_id, l.k)
+SELECT d.doc_id, coalesce(n.n_removed, 0) AS n_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE t.kept END) AS n_chars, md5(CASE WHEN d.text IS NULL THEN NULL ELSE t.kept END) AS text_md5
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id AND d.k = t.k LEFT JOIN n ON n.doc_id = d.doc_id AND n.k = d.k
 """

@@ -71,23 +71,34 @@ def components(rows, words, share=80):
 
 
 def line_chunks(rows, least=2):
-    """Text of every (id, text) without chunks that came before, ids ascending."""
+    """Text of every (id, text) without the lines of chunks that came before, ids ascending."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     seen, out = set(), {}
     for key, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], md5(f"{'-' if r[0] is None else r[0]}\0{r[1] or ''}"))):
         if text is None:
             out[key, text] = None
             continue
-        lines, kept, chunk, before = text.split("\n"), [], [], ""
-        for i, line in enumerate(lines):
-            chunk.append(line)
-            if md5(before + md5(line)) < "8" or i == len(lines) - 1:
-                body = "\n".join(chunk)
-                if len(chunk) < least or body not in seen:
-                    kept.append(body)
-                if len(chunk) >= least:
-                    seen.add(body)
-                chunk = []
-            before = md5(line)
-        out[key, text] = "\n".join(kept)
+        lines = text.split("\n")
+        begins = [i for i in range(len(lines)) if md5(md5(lines[i]) + (md5(lines[i + 1]) if i + 1 < len(lines) else "")) < "f"]
+        gone = set()
+        for b in begins:
+            stop = next((e for e in begins if e >= b + least), len(lines))
+            if stop - b >= least:
+                body = "\n".join(lines[b:stop])
+                if body in seen:
+                    gone.update(range(b, stop))
+                seen.add(body)
+        out[key, text] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
     return out
+
+
+def lines_in_repeated_runs(texts):
+    """Lines that lie in two lines in a row found before, in order of the texts."""
+    seen, found = set(), 0
+    for text in texts:
+        lines = (text or "").split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        marked = {j for i, p in enumerate(pairs) if p in seen for j in (i, i + 1)}
+        seen.update(pairs)
+        found += len(marked)
+    return found

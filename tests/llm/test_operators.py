@@ -148,6 +148,21 @@ def test_line_chunks(docs, nothing):
     assert all(len(r.text) == r.n_chars for r in left) and {r.doc_id for r in left} == {k[0] for k, v in brute.line_chunks(rows).items() if v or not k[1]}
 
 
+def test_few_repeated_runs_are_left(spark):
+    data = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    before = brute.lines_in_repeated_runs([r.text for r in data.orderBy("doc_id").collect()])
+    after = brute.lines_in_repeated_runs([r.text for r in line_chunks.dedupe(data).orderBy("doc_id").collect()])
+    assert before > 500 and after < 0.05 * before, (before, after)
+
+
+def test_clashing_names_pass_through(spark):
+    rows = [(i, "one\ntwo\nthree", f"r{i}", "m", 3, [1], "b") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string, mark string, removed int, lines array<int>, body string")
+    got = line_chunks.remaining(table)
+    assert got.columns == table.columns and sorted(r.row for r in got.collect()) == ["r0"] and {r.body for r in got.collect()} == {"b"}
+    assert line_chunks.dedupe(table).filter("row = 'r0' and mark = 'm' and removed = 3").count() == 1
+
+
 def test_language(spark, docs, nothing):
     data = spark.read.parquet(f"{DATA}/documents.parquet")
     got = code_language.report(data).join(data.select("doc_id", "lang"), "doc_id").collect()
