@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 
 @F.pandas_udf(StringType())
@@ -15,11 +15,6 @@ def unescape_entities(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf(BooleanType())
-def is_title_or_upper(values: pd.Series) -> pd.Series:
-    return values.map(lambda line: line.isupper() or line.istitle(), na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def compatibility_form(values: pd.Series) -> pd.Series:
     return values.map(lambda name: unicodedata.normalize("NFKD", name), na_action="ignore")

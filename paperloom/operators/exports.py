@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions import text as T
-from paperloom.functions.python_side import is_title_or_upper
 
 
 def text_body(pages: Column) -> Column:
@@ -25,14 +24,19 @@ def export_text(books: DataFrame, key: str = "doc_id") -> DataFrame:
     return books.select(key, text_body(F.col("pages")).alias("body"))
 
 
-def is_heading(line: str) -> Column:
-    """A short line without closing punctuation, all in capitals or in title case."""
-    text = F.col(line)
-    plain = text.rlike(r"\A[\x00-\x7F]*\z")
-    cased = text.rlike("[A-Za-z]")
-    upper = cased & ~text.rlike("[a-z]")
-    title = cased & ~text.rlike("(?:^|[^A-Za-z])[a-z]") & ~text.rlike("[A-Za-z][A-Z]")
-    return (T.word_count(text) <= 9) & ~text.rlike(r"[.,;:]\z") & F.when(plain, upper | title).otherwise(is_title_or_upper(text))
+def is_heading(line: Column) -> Column:
+    """A short line without closing punctuation, all in capitals or in title case.
+
+    Title case: a small letter never begins a word, a capital never follows another letter with case.
+    """
+    cased = line.rlike(r"[\p{Lu}\p{Ll}]")
+    upper = ~line.rlike(r"\p{Ll}")
+    title = ~line.rlike(r"(?:^|[^\p{Lu}\p{Ll}])\p{Ll}") & ~line.rlike(r"[\p{Lu}\p{Ll}]\p{Lu}")
+    return (F.size(T.word_list(line)) <= 9) & ~line.rlike(r"[.,;:]\z") & cased & (upper | title)
+
+
+def marked_line(line: Column) -> Column:
+    return F.when(is_heading(line), F.concat(F.lit("## "), line)).otherwise(line)
 
 
 def page_lines(books: DataFrame, *keep: str) -> DataFrame:
@@ -44,22 +48,14 @@ def page_lines(books: DataFrame, *keep: str) -> DataFrame:
 
 def markdown_lines(books: DataFrame, *keep: str) -> DataFrame:
     """Lines as Markdown: headings are inferred, everything else is kept."""
-    return page_lines(books, *keep).withColumn("heading", is_heading("line")).withColumn(
-        "markdown", F.when(F.col("heading"), F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")))
+    return page_lines(books, *keep).withColumn("heading", is_heading(F.col("line"))).withColumn("markdown", marked_line(F.col("line")))
 
 
 def export_markdown(books: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One body per document, headings judged without leaving the row (ASCII rules for case)."""
-    def mark(line: Column) -> Column:
-        words = F.size(T.word_list(line))
-        cased = line.rlike(r"(?U)\p{Alpha}")
-        upper = cased & (F.upper(line) == line) & ~line.rlike(r"\p{Ll}")
-        title = cased & ~line.rlike(r"(?:^|\P{L})\p{Ll}") & ~line.rlike(r"\p{L}\p{Lu}")
-        return F.when((words <= 9) & ~line.rlike(r"[.,;:]\z") & (upper | title), F.concat(F.lit("## "), line)).otherwise(line)
-
+    """One body per document, headings judged by the same rule without leaving the row."""
     def page(p: Column) -> Column:
         lines = F.filter(F.transform(T.line_list(p["text"]), T.strip), lambda x: x != "")
-        body = F.transform(lines, lambda x: F.concat(mark(x), F.lit("\n")))
+        body = F.transform(lines, lambda x: F.concat(marked_line(x), F.lit("\n")))
         return F.concat(F.array(F.concat(F.lit("\n<!-- page "), p["page"].cast("string"), F.lit(" -->\n"))), body)
     return books.select(key, T.strip(F.array_join(F.flatten(F.transform("pages", page)), "\n")).alias("body"))
 

@@ -339,10 +339,13 @@ def markdown_lines(spark, folder):
     """Every third line loses its stop, so that some can be headings."""
     lines = X.page_lines(books(spark, folder), "doc_id").withColumn("line", F.when(
         (F.col("doc_id") + F.col("line_no")) % 3 == 0, F.rtrim(F.col("line"), F.lit("."))).otherwise(F.col("line")))
-    return lines.filter(F.col("line") != "").select("doc_id", "page", "line_no", F.when(X.is_heading("line"), F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")).alias("markdown"))
+    return lines.filter(F.col("line") != "").select("doc_id", "page", "line_no", X.marked_line(F.col("line")).alias("markdown"))
 
 
-@query()
+@query("WITH " + LINES_SQL + f""",
+parts AS (SELECT doc_id, page, -1 AS line_no, chr(10) || '<!-- page ' || page || ' -->' || chr(10) AS part FROM doc_pages
+  UNION ALL SELECT doc_id, page, line_no, CASE WHEN {HEADING} THEN '## ' || line ELSE line END || chr(10) FROM shown)
+SELECT doc_id, {STRIP.format("string_agg(part, chr(10) ORDER BY page, line_no)")} AS body FROM parts GROUP BY doc_id""")
 def exported_markdown(spark, folder):
     return X.export(books(spark, folder), "md").select("doc_id", "body")
 
@@ -438,9 +441,3 @@ def typed_blocks(spark, folder):
     return X.block_types(marked, "conv_id", "turn")
 
 
-@query()
-def summary_reports(spark, folder):
-    from paperloom.operators import model_map as MM
-
-    sections, merged = MM.summarise(books(spark, folder), budget=3000)
-    return X.export_summary(sections, merged, "detailed", "2024-01-01T00:00:00+00:00")

@@ -275,21 +275,45 @@ def summaries(spark, folder):
     return merged.select("doc_id", "section_count", "page_count", "combined", "note")
 
 
+BAR = "-" * 60
+
+
+@query(SUMMARY_SQL + f""",
+totals AS (SELECT doc_id, count(*) AS page_count FROM doc_pages GROUP BY doc_id),
+merged AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) = 1 THEN min(summary) ELSE 'Section 1 (' || arg_min(label, idx) || '): ' || arg_min(summary, idx) END AS combined,
+  string_agg(chr(10) || 'Section ' || idx || ' (' || label || ')' || chr(10) || summary, chr(10) ORDER BY idx) AS parts FROM sections GROUP BY doc_id)
+SELECT doc_id, 'PDF SUMMARY REPORT' || chr(10) || '{"=" * 60}' || chr(10) || 'Document      : ' || doc_id || chr(10) || 'Summary type  : detailed' || chr(10) || 'Pages         : ' || page_count
+  || chr(10) || 'Sections      : ' || n || chr(10) || 'Model         : ' || chr(10) || 'Generated     : 2024-01-01T00:00:00+00:00' || chr(10) || chr(10) || 'SUMMARY' || chr(10) || '{BAR}' || chr(10) || combined
+  || chr(10) || chr(10) || 'SECTION SUMMARIES' || chr(10) || '{BAR}' || chr(10) || parts AS body
+FROM merged JOIN totals USING (doc_id)""")
+def summary_reports(spark, folder):
+    from paperloom.operators import exports as X
+
+    sections, merged = MM.summarise(books(spark, folder), budget=3000)
+    return X.export_summary(sections, merged, "detailed", "2024-01-01T00:00:00+00:00")
+
+
 def json_model(system: str, user: str) -> tuple[str, int]:
-    """A deterministic reply with an object in it, fenced for some texts and broken for others."""
-    line, tokens = MM.first_line(system, user.replace("[p.1]", ""))
-    word = "".join(c for c in line if c.isascii() and c.isalpha())[:12]
-    body = '{"document_type": "%s", "topics": ["a", null, "%d"], "key_points": [{"point": "x", "page": 1}, "odd"]}' % (word, len(user) % 7)
-    if len(word) % 3 == 0:
+    """A deterministic reply with an object in it: digest and length of the text it got; fenced for some, broken for others."""
+    told, tokens = upper_model(system, user)
+    size, digest = told.split()
+    body = '{"document_type": "%s", "topics": ["a", null, "%s"], "key_points": [{"point": "x", "page": 1}, "odd"]}' % (digest, size)
+    if int(size) % 3 == 0:
         return "Here:\n```json\n" + body + "\n```", tokens
-    return (body[:-2], tokens) if len(word) % 5 == 4 else ("So: " + body + " done", tokens)
+    return (body[:-2], tokens) if int(size) % 5 == 4 else ("So: " + body + " done", tokens)
 
 
-@query()
+@query("WITH " + DOC_PAGES + f""",
+shown AS (SELECT doc_id, page, '[p.' || page || ']' || chr(10) || {STRIP.format('text')} AS block FROM doc_pages WHERE {STRIP.format('text')} <> ''),
+bodies AS (SELECT doc_id, count(*) AS pages_used, string_agg(block, chr(10) || chr(10) ORDER BY page) AS body FROM shown GROUP BY doc_id),
+totals AS (SELECT doc_id, count(*) AS page_count FROM doc_pages GROUP BY doc_id),
+judged AS (SELECT *, body IS NULL OR length(body) % 3 <> 0 AND length(body) % 5 = 4 AS parse_error FROM totals LEFT JOIN bodies USING (doc_id))
+SELECT doc_id, CAST(coalesce(pages_used, 0) AS INTEGER) AS pages_used, CAST(page_count AS INTEGER) AS page_count, parse_error, CASE WHEN parse_error THEN '' ELSE substr(sha256(body), 1, 16) END AS document_type,
+  CASE WHEN parse_error THEN '' ELSE 'a,' || length(body) END AS topics, CASE WHEN parse_error THEN 0 ELSE 1 END AS key_points, CASE WHEN body IS NULL THEN 'The document holds no text to analyse.' END AS reason FROM judged""")
 def analysed_documents(spark, folder):
     done = MM.analyse(books(spark, folder), model=json_model)
     return done.select("doc_id", "pages_used", "page_count", "parse_error", "document_type", F.array_join("topics", ",").alias("topics"),
-                       F.size("key_points").alias("key_points"))
+                       F.size("key_points").alias("key_points"), "reason")
 
 
 REPLIES_SQL = """
