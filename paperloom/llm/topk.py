@@ -32,6 +32,7 @@ BLOCK = 2048
 BATCH = 2048
 FIRST = 4  # blocks of the first pass
 SLICE = 8  # blocks of a task of the second pass
+SUMMARIES = 1024  # block summaries that meet a query batch in one place
 EXACT = 2 ** 53
 
 
@@ -152,7 +153,11 @@ def search(table: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
         "kth", F.lit(None).cast("binary")), "topk-queries")
     # A block's summary is one row of two numbers per term; every batch meets every summary, not every row.
     summaries = index.select("block", "dim", "high", "low")
-    facing = batches.select("batch", "dim", "rows").join(summaries, "dim")
+    # All vectors may have one length, so summaries are dealt into shares of SUMMARIES; a batch goes once to each share.
+    shares = max(1, -(-summaries.count() // SUMMARIES))
+    dealt = summaries.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int"))
+    each = batches.select("batch", "dim", "rows", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    facing = each.join(dealt, ["dim", "share"]).select("batch", "dim", "rows", "block", "high", "low")
 
     def limits(frames):
         for frame in frames:
