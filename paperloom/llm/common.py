@@ -81,6 +81,36 @@ def word_encoder(vocabulary: str | None = None, pattern: str | None = None):
     return encode
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str | None) -> dict[str, int]:
+    """Strings that a tokeniser's JSON file adds to its vocabulary, with their ids: they are found in any text before it is split."""
+    import json
+
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    for token in added:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"the added token {token['content']!r} takes in more than itself, which is not supported")
+    return {token["content"]: token["id"] for token in added}
+
+
+def tokenizer_encoder(tokenizer: str | None = None, vocabulary: str | None = None, pattern: str | None = None):
+    """Text to ids as a tokeniser's JSON file gives them at its defaults: its added tokens parted off, the rest by ranks."""
+    encode, added = word_encoder(vocabulary, pattern), added_tokens(tokenizer)
+    if not added:
+        return encode
+    parts = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split
+    ids = {token: array("I", [number]).tobytes() for token, number in added.items()}
+
+    def encode_all(text: str) -> bytes:
+        found = parts(text)
+        return encode(text) if len(found) == 1 else b"".join(ids[p] if n % 2 else encode(p) if p else b"" for n, p in enumerate(found))
+
+    return encode_all
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node points to one smaller node that points nowhere itself."""
     several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -1,7 +1,7 @@
 """Best-fit packing from a configuration linear program.
 
-Every document becomes ids, then one closing id; only a document longer than a sequence is
-cut, into full-length pieces from its end, so that just its first piece may be shorter.
+Every document becomes ids, as the tokeniser's JSON file gives them (tokens it adds are found in the
+text), then one closing id; only a document longer than a sequence is cut, into full-length pieces from its end, so that just its first piece may be shorter.
 What a packer needs to know of the pieces is how many there are of each length, at most
 `capacity` numbers. On that histogram the driver solves the configuration program: weights
 on lengths (multiplicative weights) price the best filling of one sequence by a knapsack
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import stash, word_encoder
+from paperloom.llm.common import stash, tokenizer_encoder
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -41,13 +41,13 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, [*edges[1:], total], strict=True)]
 
 
-def pieces_of(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pieces_of(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """One row per piece, numbered within its task and length by `slot`."""
     closing = np.array([CLOSING_ID], "<u4").tobytes()
     out = "piece int, start long, length long, ids_crc32 long, part long, slot long"
 
     def run(batches):
-        encode, part, seen = word_encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, seen = tokenizer_encoder(tokenizer, vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows, piece, start, length, crc, slot = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1).to_pylist()):
@@ -186,9 +186,9 @@ def place(pieces: DataFrame, table: dict[int, list[tuple[int, int, int, int]]])
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, tokenizer: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Pieces of every document with the sequence and offset they are packed at."""
-    pieces = stash(pieces_of(docs, text, key, capacity, vocabulary), "pieces")
+    pieces = stash(pieces_of(docs, text, key, capacity, vocabulary, tokenizer), "pieces")
     counts = stash(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     # At most `capacity` rows, whatever the input.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
