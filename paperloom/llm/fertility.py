@@ -16,6 +16,7 @@ Null text has no words. Rows are independent; repeated rows repeat. A script wit
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -33,9 +34,24 @@ WIDTH = 2.5  # half-width of a band in quartile ranges
 FLOORS = {"chars_per_token": 0.12, "byte_share": 0.02, "entropy": 0.05}  # a spread counts as at least this
 #: Sides on which a measure is bad, and so has a limit.
 SIDES = {"chars_per_token": (True, True), "byte_share": (False, True), "entropy": (True, False)}
-#: Scripts told apart, by the first code points of their letters.
-SCRIPTS = ((0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Indic"),
-           (0x0E00, "Thai"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x3040, "Kana"), (0x3400, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"))
+#: Fixed values of Unicode: first and last code points of the blocks that hold a script's letters.
+SCRIPTS = {
+    "Latin": [(0x41, 0x24F), (0x250, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)], "Hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)], "Indic": [(0x900, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)], "Lao": [(0xE80, 0xEFF)], "Tibetan": [(0xF00, 0xFFF)], "Myanmar": [(0x1000, 0x109F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)], "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "Ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)], "Khmer": [(0x1780, 0x17FF)], "Mongolian": [(0x1800, 0x18AF)],
+    "Kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)], "Han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+}
+_STARTS = sorted((first, last, name) for name, blocks in SCRIPTS.items() for first, last in blocks)
+_FIRSTS = [first for first, _, _ in _STARTS]
+
+
+def script_of_letter(char: str) -> str:
+    at = bisect_right(_FIRSTS, ord(char)) - 1
+    return _STARTS[at][2] if at >= 0 and ord(char) <= _STARTS[at][1] else "Other"
 
 
 def script_of(text: str) -> str:
@@ -45,12 +61,7 @@ def script_of(text: str) -> str:
     seen: Counter = Counter()
     for char, n in Counter(text).items():
         if char.isalpha():
-            name = "Latin"
-            for start, script in SCRIPTS:
-                if ord(char) < start:
-                    break
-                name = script
-            seen[name] += n
+            seen[script_of_letter(char)] += n
     return max(sorted(seen), key=seen.__getitem__) if seen else "None"
 
 
