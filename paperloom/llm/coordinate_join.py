@@ -11,9 +11,9 @@ counted over the bins; a pair stays if its share of equal bins is no further bel
 similarity than chance explains (`SPREADS` standard deviations), and is confirmed on the
 full sets.
 
-Groups never expand into all pairs. In the first round each posting list names one centre,
-the member whose pairs are most frequent (an original rather than one of its copies), and
-members are held against their best centres only; linked sets merge into components. What is
+Groups never expand into all pairs. In the first rounds each posting list names one centre,
+the member whose pairs are most frequent (an original rather than one of its copies; another one
+each round), and members are held against their best centres only; linked sets merge into components. What is
 left, couples within a posting list that are still in different components, is counted
 completely inside the lists, in blocks of bounded size: over the bins, then over 16 bits of every
 shingle. A unit puts out the couples that join its components, not those between components
@@ -41,7 +41,7 @@ from paperloom.llm.common import MULTIPLIER, components, mixed, stash
 
 COORDINATES = 16
 MATCHES = 6  # a pair at the threshold of 0.8 has fewer with a chance of 1 in 30,000
-ROUNDS = 1
+ROUNDS = 2
 BLOOM_BITS = 1 << 26
 BINS = 1024
 SPREADS = 4.0
@@ -113,6 +113,21 @@ def binned(prints: np.ndarray) -> bytes:
     return (lanes[:, 0] | lanes[:, 1] << 2 | lanes[:, 2] << 4 | lanes[:, 3] << 6).tobytes()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """A set's fingerprints as steps from one to the next: a byte each, 255 standing for a longer one kept behind them."""
+    steps = np.diff(fingerprints(values), prepend=np.uint16(0))
+    short = np.minimum(steps, 255).astype(np.uint8)
+    return len(steps).to_bytes(4, "little") + short.tobytes() + steps[short == 255].astype("<u2").tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    number = int.from_bytes(data[:4], "little")
+    short = np.frombuffer(data, np.uint8, number, 4)
+    steps = short.astype(np.int64)
+    steps[short == 255] = np.frombuffer(data, "<u2", offset=4 + number)
+    return np.cumsum(steps).astype("<u2")
+
+
 def counted(prints: np.ndarray) -> np.ndarray:
     """Fingerprints made different from one another by how often each came before."""
     again = np.arange(len(prints)) - np.searchsorted(prints, prints)
@@ -174,21 +189,19 @@ def lengthened(data: bytes) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (minima), bins and fingerprints."""
+    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (minima) and bins."""
     def run(batches):
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            prints = [fingerprints(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([minima(s, coordinates).tobytes() if len(s) else None for s in sets], pa.binary()),
-                pa.array([binned(f) if f is not None else None for f in prints], pa.binary()),
-                pa.array([f.tobytes() if f is not None else None for f in prints], pa.binary()),
-            ], ["doc_id", "n_shingles", "digest", "signature", "bins", "prints"])
+                pa.array([binned(fingerprints(s)) if len(s) else None for s in sets], pa.binary()),
+            ], ["doc_id", "n_shingles", "digest", "signature", "bins"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary, prints binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary")
 
 
 def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -246,10 +259,10 @@ def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         "a", "b", "bins_a", "bins_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(run, "a long, b long, hits double")
 
 
-def within_lists(lists: DataFrame, sets: DataFrame, rows: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
+def within_lists(lists: DataFrame, sets: DataFrame, texts, share: int, block: int = BLOCK) -> DataFrame:
     """Couples (a, b) of the same posting list that join all components with similar members there.
 
-    lists: posting, node, label. Members with up to `block` shingles a member on average are one unit of work; of a
+    lists: posting, node, label; `texts(wanted, make)` makes the wanted sets again from their texts. Members with up to `block` shingles a member on average are one unit of work; of a
     longer list, every two blocks are. A unit counts what every two members of different components
     have in common, first over bins, then over the fingerprints of the whole sets. Once a couple as good as
     sure joins two components, further couples between them are not put out.
@@ -258,9 +271,8 @@ def within_lists(lists: DataFrame, sets: DataFrame, rows: DataFrame, share: int,
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     lists = stash(lists, "open-lists")
     sizes = lists.groupBy("posting").agg(F.sum(F.greatest(F.col("size"), F.lit(512))).alias("total"))
-    wanted = sets.select("node", "digest", "holder").join(lists.select("node").distinct(), "node")
-    told = sifted(rows.filter("digest is not null").select(F.xxhash64("doc_id").alias("node"), "digest", "n_shingles", "prints"), wanted.select(F.col("holder").alias("node")))
-    held = told.withColumnRenamed("node", "holder").join(wanted, ["digest", "holder"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("prints").alias("prints"))
+    wanted = stash(sets.select("node", "n_shingles", "digest", "holder").join(lists.select("node").distinct(), "node"), "open-sets")
+    held = texts(wanted, squeezed).join(wanted, ["digest", "holder"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("values").alias("prints"))
     placed = lists.select("posting", "node", "label").join(sizes, "posting").join(held, "node").withColumn("own", own)
     unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "posting", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "prints")
@@ -270,7 +282,7 @@ def within_lists(lists: DataFrame, sets: DataFrame, rows: DataFrame, share: int,
         labels, number, size, nodes = (np.array(rows[c]) for c in ("label", "own", "n_shingles", "node"))
         if (labels == labels[0]).all():
             return []
-        prints = [np.frombuffer(p, "<u2") for p in rows["prints"]]
+        prints = [unsqueezed(p) for p in rows["prints"]]
         bins = unpacked([binned(p) for p in prints])
         whole = lru_cache(maxsize=None)(lambda at: counted(prints[at]))
         split = rows["i"][0] != rows["j"][0]
@@ -396,8 +408,8 @@ def sifted(sets: DataFrame, nodes: DataFrame, bits: int = BLOOM_BITS) -> DataFra
     return sets.withColumn("_at", F.pmod(F.xxhash64("node"), F.lit(bits))).mapInArrow(run, sets.schema)
 
 
-def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
-    """(digest, holder, values) of the wanted sets, made again from the texts that hold them.
+def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame, make=shortened, bits: int = BLOOM_BITS) -> DataFrame:
+    """(digest, holder, values) of the wanted sets, made again from the texts that hold them; `make` says what of them.
 
     `holder` is the hash of the id of one row that has the set. A filter of fixed size (`bits`),
     built in the JVM from the holders, goes to all tasks: a text it does not let through is not
@@ -418,13 +430,18 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
                     digest = set_key(found)
                     if (digest, holder) not in done:
                         done.add((digest, holder))
-                        made.append((digest, holder, shortened(found)))
+                        made.append((digest, holder, make(found)))
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))], ["digest", "holder", "values"])
 
     texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("holder"), F.col(text).alias("text"))
     return texts.mapInArrow(run, "digest binary, holder long, values binary")
 
 
+def released(df: DataFrame) -> None:
+    """Let the executors drop shuffle files of finished jobs: Spark does so once the driver has collected what refers to them."""
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: int = 80, coordinates: int = COORDINATES,
          matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
@@ -434,6 +451,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # Numbers stand for the sets from here on; written once, so they stay as they are.
     sets = stash(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
+    released(docs)
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
     used = None
@@ -449,8 +467,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             # The best centre of each member is enough here; the last turn misses nothing.
             near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
         else:
-            near = within_lists(open_, sets, rows, share)
+            near = within_lists(open_, sets, lambda wanted, make: full_sets(docs, key, text, words, wanted, make), share)
         near = stash(near, "near")
+        released(docs)
         if near.isEmpty():
             continue
         if turn < rounds:
@@ -459,6 +478,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         full = stash(full_sets(docs, key, text, words, wanted.join(sets.select("node", "holder"), "node")), "full-sets")
         found = stash(confirmed(near, full, sets, share), "links")
+        released(docs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn < rounds:
@@ -475,13 +495,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component: the smallest id; of rows equal in id and text, one."""
+    """One document of each component: the smallest id; of rows equal in id and text, one. Columns of any name pass through."""
     mark = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
-    named = docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("_place"), F.col(text).alias("_text"))
-    chosen = link(named, "_place", "_text", **options).filter("kept").select(F.col("doc_id.mark").alias("_cj_mark")).distinct()
-    kept = docs.withColumn("_cj_mark", mark).join(chosen, "_cj_mark", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_cj_mark").orderBy("_cj_mark"))
-    return kept.withColumn("_cj_nth", nth).filter("_cj_nth = 1").drop("_cj_mark", "_cj_nth")
+    named = docs.select(F.struct(F.col(key).alias("id"), mark.alias("mark")).alias("place"), F.col(text).alias("body"))
+    chosen = link(named, "place", "body", **options).filter("kept").select(F.col("doc_id.mark").alias("mark")).distinct()
+    kept = docs.select(mark.alias("mark"), F.struct("*").alias("row")).join(chosen, "mark", "left_semi")
+    # Rows equal in id and text are one as far as the operator can tell: any of them stays, the pick is partial before the shuffle.
+    return kept.groupBy("mark").agg(F.first("row").alias("row")).select("row.*")
 
 
 #: The operator on `documents` with two-word shingles: all pairs that share a shingle, then reachability.
