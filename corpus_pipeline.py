@@ -1,7 +1,10 @@
 """A training corpus from `documents`: language, repeated lines, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads as its docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, with any further ones; none has a name of its own to clash with them.
+
+Every stage works on whole texts of any length, row by row or by hashes of them, gives an empty
+table for an empty one, and treats rows that repeat an id as rows of their own unless it says otherwise.
 """
 
 from __future__ import annotations
@@ -17,27 +20,45 @@ from paperloom.sources.tables import load
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; texts without letters or without a likely language go."""
+    """Documents in a language; texts without letters or without a likely language go.
+
+    Null, empty and letterless texts are rejected. `lang` may be null: only non-null ones are learnt from, and without any
+    every document is rejected. Ties go to the first language by name. Repeated rows fare alike.
+    """
     return code_language.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go, and documents of which nothing is left."""
+    """Repeated multi-line chunks go, and documents of which nothing is left.
+
+    A chunk stays at its smallest id (null first), then place. Null and empty texts stay as they are. Rows equal in id and
+    text lose the same lines. `n_chars` follows the text where lines went.
+    """
     return line_chunks.remaining(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8.
+
+    It is the one with the smallest id; texts without words are linked with nothing and stay. Of rows equal in id and text
+    one stays; null ids come first.
+    """
     return coordinate_join.survivors(docs, words=5, share=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are masked; every document stays."""
+    """Live-looking secrets are masked; every document stays.
+
+    Null texts stay null. Null sources count as one owner. Overlapping spans are masked from the first on; `n_chars` follows the text.
+    """
     return secret_scan.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
+    """Pieces of all documents with their sequence and offset.
+
+    Null and empty texts give one piece with the closing id. Pieces of equal length are interchangeable and numbered by task.
+    """
     return packing.pack(docs)
 
 
