@@ -16,7 +16,7 @@ from paperloom.session import build_session  # noqa: E402
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("catalogue", "local[8]", **{
+    spark = build_session("catalogue", os.environ.get("CATALOGUE_MASTER", "local[8]"), **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
