@@ -31,6 +31,16 @@ def _cut(items: Column, starts: Column, make: Callable[[Column], Column]) -> Col
         F.slice(items, s + 1, F.coalesce(F.get(starts, i + 1), F.size(items)) - s), make))
 
 
+def split_sentences(text: Column) -> Column:
+    """The sentences of a text in order, white space squeezed: it ends one after a full stop, an exclamation or a question mark."""
+    return F.filter(F.split(T.squeeze(text), r"(?<=[.!?])\s+", -1), lambda s: F.trim(s) != "")
+
+
+def sentence_rows(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """keep..., sentence_no, sentence; a text without sentences has no rows."""
+    return docs.select(*keep, F.posexplode(split_sentences(F.col(text))).alias("sentence_no", "sentence"))
+
+
 def chunk_pages(books: DataFrame, *keep: str, budget: int = fixed.CHUNK_CHARS) -> DataFrame:
     """Pages grouped under a character budget: keep..., idx, text, first_page, last_page.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, scale
 from paperloom.functions import text as T
+from paperloom.session import settle
 
 
 def to_books(docs: DataFrame, lines_per_page: int = 10, text: str = "text") -> DataFrame:
@@ -233,19 +234,22 @@ def insert_blank(books: DataFrame, edits: DataFrame, key: str = "doc_id"):
     return _edit(books, edits, reason, result, key)
 
 
-def merge_books(requests: DataFrame, books: DataFrame, key: str = "doc_id") -> DataFrame:
-    """requests(request_id, ord, key): every page of the merged documents with its new number.
+def merge_books(requests: DataFrame, books: DataFrame, key: str = "doc_id"):
+    """requests(request_id, ord, key): every page of the merged documents with its new number: (merged, refused).
 
-    Positions come from a running sum of page counts, so no merged document is ever
+    A request that names an unknown document is refused as a whole, with the number of such documents. Positions come from a running sum of page counts, so no merged document is ever
     gathered in one place, however many documents one request names.
     """
     # Numbers first: only page counts go through the running sum, text is joined once at the end.
-    counted = requests.join(books.select(key, F.size("pages").alias("_n")), key)
+    named = settle(scale.null_safe_join(requests, books.select(key, F.size("pages").alias("_n")), [key], "left"))
+    unknown = named.filter(F.col("_n").isNull()).groupBy("request_id").agg(F.count(F.lit(1)).alias("unknown"))
+    refused = unknown.select("request_id", "unknown", F.concat(F.col("unknown").cast("string"), F.lit(" of the documents to merge do not exist.")).alias("reason"))
+    counted = named.join(unknown.select("request_id"), "request_id", "left_anti")
     placed = scale.running_before(counted, ["request_id"], "ord", F.col("_n"), "_before").join(books.select(key, "pages"), key)
     return placed.select("request_id", "ord", key, "_before", F.explode("pages").alias("_p")).select(
         "request_id", (F.col("_before") + F.col("_p.page")).alias("page"), key,
         F.col("_p.page").alias("source_page"), F.col("_p.text").alias("text"),
-    )
+    ), refused
 
 
 def split_ranges(books: DataFrame, ranges: DataFrame, key: str = "doc_id"):

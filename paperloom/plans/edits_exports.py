@@ -83,11 +83,10 @@ src AS (SELECT a.doc_id, a.n, b.doc_id AS source, b.n AS m FROM sized_docs a JOI
 good AS (SELECT * FROM src WHERE doc_id % 4 <> 3),
 placed AS (
   SELECT g.doc_id, p.page AS a, 0 AS b, p.text FROM good g JOIN doc_pages p ON p.doc_id = g.doc_id
-  UNION ALL SELECT g.doc_id, g.n // 2, 1, p.text FROM good g JOIN doc_pages p ON p.doc_id = g.source AND p.page IN (1, g.m) AND NOT (p.page = 1 AND g.m = 1)
+  UNION ALL SELECT g.doc_id, g.n // 2, CASE WHEN p.page = g.m THEN 1 ELSE 2 END, p.text FROM good g JOIN doc_pages p ON p.doc_id = g.source AND p.page IN (1, g.m) AND NOT (p.page = 1 AND g.m = 1)
   UNION ALL SELECT g.doc_id, g.n // 2, k, p.text FROM good g JOIN doc_pages p ON p.doc_id = g.source AND g.m = 1, (VALUES (1), (2)) t(k)
-),
-ordered AS (SELECT doc_id, a, b, text, CASE WHEN b = 0 THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, a, b > 0) END AS x FROM placed)
-SELECT doc_id, count(*) AS pages, sum(length(text)) AS characters, NULL AS reason FROM ordered GROUP BY doc_id
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS INTEGER) AS page, text, NULL AS reason FROM placed
 UNION ALL SELECT doc_id, NULL, NULL, 'Cannot insert after page ' || n + 1 || '; the document has ' || n || ' page(s). Use 0 to insert at the beginning.' FROM sized_docs WHERE doc_id % 4 = 3
 UNION ALL SELECT doc_id, NULL, NULL, 'The source document was not found.' FROM sized_docs WHERE doc_id % 4 <> 3 AND doc_id + 7 NOT IN (SELECT doc_id FROM sized_docs)""")
 def inserted_pages(spark, folder):
@@ -96,8 +95,7 @@ def inserted_pages(spark, folder):
     made = edits(spark, folder, after=F.when(F.col("doc_id") % 4 == 3, n + 1).otherwise(F.floor(n / 2).cast("int")), source=F.col("doc_id") + 7)
     made = made.join(other, "doc_id", "left").withColumn("selection", F.array(F.col("m"), F.lit(1))).drop("m")
     ok, refused = P.insert_pages(books(spark, folder), made)
-    done = ok.select("doc_id", F.size("pages").alias("pages"), T.sum_of(F.transform("pages", lambda p: F.length(p["text"]))).alias("characters"), F.lit(None).cast("string").alias("reason"))
-    return done.unionByName(refused.select("doc_id", F.lit(None).cast("int").alias("pages"), F.lit(None).cast("long").alias("characters"), "reason"))
+    return flat(ok, refused)
 
 
 @query("WITH " + COUNTED + """,
@@ -123,11 +121,16 @@ def blank_pages(spark, folder):
 
 
 @query("WITH " + DOC_PAGES + """
-SELECT doc_id // 3 AS request_id, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC, page) AS page, doc_id, page AS source_page, text FROM doc_pages""")
+SELECT doc_id // 3 AS request_id, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC, page) AS page, doc_id, page AS source_page, text, NULL AS reason FROM doc_pages WHERE doc_id // 3 % 10 <> 4
+UNION ALL SELECT DISTINCT doc_id // 3, NULL, NULL, NULL, NULL, '1 of the documents to merge do not exist.' FROM documents WHERE doc_id // 3 % 10 = 4""")
 def merged_documents(spark, folder):
-    """Three neighbours each, last one first."""
-    requests = documents(spark, folder).select(F.floor(F.col("doc_id") / 3).alias("request_id"), (2 - F.col("doc_id") % 3).alias("ord"), "doc_id")
-    return P.merge_books(requests, books(spark, folder))
+    """Three neighbours each, last one first; every tenth request names a document that is not there."""
+    request = F.floor(F.col("doc_id") / 3)
+    known = documents(spark, folder).select(request.alias("request_id"), (2 - F.col("doc_id") % 3).alias("ord"), "doc_id")
+    absent = known.filter(F.col("request_id") % 10 == 4).select("request_id", F.lit(3).cast("long").alias("ord"), (-1 - F.col("request_id")).alias("doc_id")).distinct()
+    merged, refused = P.merge_books(known.unionByName(absent), books(spark, folder))
+    nothing = [F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in ("page", "doc_id", "source_page", "text")]
+    return merged.withColumn("reason", F.lit(None).cast("string")).unionByName(refused.select("request_id", *nothing, "reason"))
 
 
 @query("WITH " + COUNTED + """
@@ -264,6 +267,17 @@ def scanned_files(spark, folder):
     return IO.scan_files(spark, f"{folder}/*.parquet")
 
 
+@query("""
+SELECT p_partkey, p_name || chr(31) || p_brand || chr(31) || '"' || p_type || '", ' || p_size AS cells FROM part""")
+def csv_rows(spark, folder):
+    """Parts written as CSV, cells with commas and quotes among them, and read back as rows of cells."""
+    path = scratch_path(spark, "csv")
+    part = load(spark, folder, "part").select(F.col("p_partkey").cast("string"), "p_name", "p_brand", F.concat(F.lit('"'), "p_type", F.lit('", '), F.col("p_size").cast("string")).alias("kind"))
+    part.write.option("escape", '"').option("quoteAll", True).csv(path)
+    rows = IO.read_csv_rows(spark, path)
+    return rows.select(F.get("cells", F.lit(0)).cast("long").alias("p_partkey"), F.array_join(F.slice("cells", 2, 3), "\x1f").alias("cells"))
+
+
 HEADS = ["255044462d312e37", "6a756e6b0a255044462d", "89504e470d0a1a0a", "ffd8ff", "474946383961", "424d", "49492a00", "7b5c727466", "d0cf11e0a1b11ae1",
          "4d5a", "7f454c46", "2321", "504b0304", "52494646000000005745425056", "00ff00", "20203c21444f43545950452068746d6c3e", ""]
 EXTENSIONS = ["pdf", "exe", "csv", "MD", "htm", "txt"]

@@ -462,10 +462,10 @@ def link_schemes(spark, folder):
 
 
 @query("WITH " + LINKED_SQL + """
-SELECT position, position = 1 AS removed, count(*) AS links FROM urls GROUP BY ALL""")
+SELECT page_id, position, url, position = 1 AS removed FROM urls""")
 def link_removal(spark, folder):
     found = R.doc_urls(linked(spark, folder), "page_id").withColumn("page", F.lit(1))
-    return R.remove_links(found, page=1, index=1).groupBy("position", "removed").agg(F.count(F.lit(1)).alias("links"))
+    return R.remove_links(found, page=1, index=1).select("page_id", "position", "url", "removed")
 
 
 NAMES_SQL = """
