@@ -19,7 +19,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing left to run reads, and let the executors drop shuffle files of finished jobs.
+
+    Spark drops those once the driver's collector has found that nothing refers to them.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(table.stashed_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.java.lang.System.gc()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import MULTIPLIER, components, mixed, stash
+from paperloom.llm.common import MULTIPLIER, components, discard, mixed, stash
 
 COORDINATES = 16
 MATCHES = 6  # a pair at the threshold of 0.8 has fewer with a chance of 1 in 30,000
@@ -241,8 +241,7 @@ def open_lists(labelled: DataFrame, share: int) -> DataFrame:
 
 
 def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) with `hits`, their equal bins, of those that may be similar enough."""
-    pairs = stash(pairs, "pairs")
+    """Pairs (a, b) with `hits`, their equal bins, of those that may be similar enough. `pairs` is read twice."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sifted(sets.select("node", "n_shingles", "bins"), nodes)
     one = sets.select(F.col("node").alias("a"), F.col("bins").alias("bins_a"), F.col("n_shingles").alias("size_a"))
@@ -262,16 +261,15 @@ def collided(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 def within_lists(lists: DataFrame, sets: DataFrame, texts, share: int, block: int = BLOCK) -> DataFrame:
     """Couples (a, b) of the same posting list that join all components with similar members there.
 
-    lists: posting, node, label; `texts(wanted, make)` makes the wanted sets again from their texts. Members with up to `block` shingles a member on average are one unit of work; of a
+    lists (read several times): posting, node, label; `texts(wanted, make)` makes the wanted sets again from their texts. Members with up to `block` shingles a member on average are one unit of work; of a
     longer list, every two blocks are. A unit counts what every two members of different components
     have in common, first over bins, then over the fingerprints of the whole sets. Once a couple as good as
     sure joins two components, further couples between them are not put out.
     """
     blocks = F.ceil(F.col("total") / (block * 512)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    lists = stash(lists, "open-lists")
     sizes = lists.groupBy("posting").agg(F.sum(F.greatest(F.col("size"), F.lit(512))).alias("total"))
-    wanted = stash(sets.select("node", "n_shingles", "digest", "holder").join(lists.select("node").distinct(), "node"), "open-sets")
+    wanted = sets.select("node", "n_shingles", "digest", "holder").join(lists.select("node").distinct(), "node")
     held = texts(wanted, squeezed).join(wanted, ["digest", "holder"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("values").alias("prints"))
     placed = lists.select("posting", "node", "label").join(sizes, "posting").join(held, "node").withColumn("own", own)
     unit = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
@@ -437,11 +435,6 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     return texts.mapInArrow(run, "digest binary, holder long, values binary")
 
 
-def released(df: DataFrame) -> None:
-    """Let the executors drop shuffle files of finished jobs: Spark does so once the driver has collected what refers to them."""
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
-
-
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: int = 80, coordinates: int = COORDINATES,
          matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
@@ -451,7 +444,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # Numbers stand for the sets from here on; written once, so they stay as they are.
     sets = stash(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     posted = stash(postings(sets, coordinates, matches), "postings")
-    released(docs)
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
     used = None
@@ -462,28 +454,32 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             fresh = open_ if used is None else open_.join(used, "node", "left_anti")
             centres = fresh.groupBy("posting").agg(F.max(F.struct("weight", "node", "label", "size")).alias("c")).select(
                 "posting", F.col("c.node").alias("a"), F.col("c.label").alias("label_a"), F.col("c.size").alias("size_a"))
-            pairs = open_.join(centres, "posting").filter((F.col("label") != F.col("label_a")) & fits).select("a", F.col("node").alias("b")).distinct()
-            near = collided(pairs, sets, share)
+            tried = stash(open_.join(centres, "posting").filter((F.col("label") != F.col("label_a")) & fits).select("a", F.col("node").alias("b")).distinct(), "pairs")
+            near = collided(tried, sets, share)
             # The best centre of each member is enough here; the last turn misses nothing.
             near = near.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
         else:
-            near = within_lists(open_, sets, lambda wanted, make: full_sets(docs, key, text, words, wanted, make), share)
+            tried = stash(open_, "open-lists")
+            near = within_lists(tried, sets, lambda wanted, make: full_sets(docs, key, text, words, wanted, make), share)
         near = stash(near, "near")
-        released(docs)
+        discard(tried)
         if near.isEmpty():
             continue
         if turn < rounds:
-            tried = near.select(F.col("a").alias("node"))
-            used = stash((tried if used is None else tried.unionByName(used)).distinct(), "centres")
+            own = near.select(F.col("a").alias("node"))
+            used = stash((own if used is None else own.unionByName(used)).distinct(), "centres")
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
         full = stash(full_sets(docs, key, text, words, wanted.join(sets.select("node", "holder"), "node")), "full-sets")
         found = stash(confirmed(near, full, sets, share), "links")
-        released(docs)
+        discard(full, near)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn < rounds:
+            before = labelled
             labelled = stash(posted.join(labels, "node", "left").select(
                 "posting", "node", "size", "weight", F.coalesce("label", "node").alias("label")), "labelled")
+            if hasattr(before, "stashed_at"):
+                discard(before)
     # Sets, not rows, find their component's name: the smallest id of any row of any of its sets.
     least = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     labelled = sets.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label")).join(least, "digest")
