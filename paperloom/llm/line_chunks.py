@@ -51,10 +51,11 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per chunk: place, hash and text."""
-    rows = chunked(docs.select(key, text), key, text).select("doc", "mark", "lines", F.explode("spans").alias("s"))
-    body = F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.stop") - F.col("s.first")), "\n")
-    made = rows.select(F.struct("doc", "mark", "s.first", "s.stop").alias("place"), body.alias("body"))
-    return made.select("place", F.unhex(F.md5(F.col("body").cast("binary"))).alias("hash"), "body")
+    # Chunks are put together inside the row, so that no row of a chunk carries all lines of its document.
+    held = F.transform("spans", lambda s: F.struct(
+        s["first"].alias("first"), s["stop"].alias("stop"), F.array_join(F.slice("lines", s["first"] + 1, s["stop"] - s["first"]), "\n").alias("body")))
+    rows = chunked(docs.select(key, text), key, text).select("doc", "mark", held.alias("held")).select("doc", "mark", F.explode("held").alias("s"))
+    return rows.select(F.struct("doc", "mark", "s.first", "s.stop").alias("place"), F.unhex(F.md5(F.col("s.body").cast("binary"))).alias("hash"), F.col("s.body").alias("body"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
