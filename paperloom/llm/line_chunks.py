@@ -51,10 +51,13 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per chunk: place, hash and text."""
-    # Chunks are put together inside the row, so that no row of a chunk carries all lines of its document.
-    held = F.transform("spans", lambda s: F.struct(
-        s["first"].alias("first"), s["stop"].alias("stop"), F.array_join(F.slice("lines", s["first"] + 1, s["stop"] - s["first"]), "\n").alias("body")))
-    rows = chunked(docs.select(key, text), key, text).select("doc", "mark", held.alias("held")).select("doc", "mark", F.explode("held").alias("s"))
+    # Chunks are put together inside the row, so that no row of a chunk carries all lines of its document. Lines are
+    # fetched by number: a slice copies the whole array first.
+    held = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["stop"].alias("stop"), F.array_join(
+        F.transform(F.sequence(s["first"], s["stop"] - 1), lambda i: F.get("lines", i)), "\n").alias("body")))
+    # An outer explode: before a plain one Spark filters by the array's size, and pushes that down to the table, where
+    # every hash of a document is made again for each of its lines.
+    rows = chunked(docs.select(key, text), key, text).select("doc", "mark", held.alias("held")).select("doc", "mark", F.explode_outer("held").alias("s")).filter("s IS NOT NULL")
     return rows.select(F.struct("doc", "mark", "s.first", "s.stop").alias("place"), F.unhex(F.md5(F.col("s.body").cast("binary"))).alias("hash"), F.col("s.body").alias("body"))
 
 

@@ -204,6 +204,14 @@ def test_clashing_names_pass_through(spark):
     assert line_chunks.dedupe(table).filter("row = 'r0' and mark = 'm' and removed = 3").count() == 1
 
 
+def test_chunks_are_made_once(spark, tmp_path):
+    """Spark's filter on an exploded array made every hash of a document again for each of its lines."""
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/docs")
+    table = line_chunks.chunks(spark.read.parquet(f"{tmp_path}/docs"), "doc_id", "text").select("hash", "place")
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("slice(") == 0
+
+
 def test_language(spark, docs, nothing):
     data = spark.read.parquet(f"{DATA}/documents.parquet")
     got = code_language.report(data).join(data.select("doc_id", "lang"), "doc_id").collect()
