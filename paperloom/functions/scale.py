@@ -123,11 +123,11 @@ def sieve(rows: DataFrame, wanted: DataFrame, columns: list[str], bits: int = 1
     return rows.filter(F.call_function("shiftright", mine, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
-def deal(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows evenly by a unique key before work that costs far more than moving them.
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows evenly by keys that hold little each before work that costs far more than moving them.
 
     An explicit partition count keeps adaptive execution from folding small inputs into one task.
     """
     session = df.sparkSession
     slices = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return df.repartition(slices, key)
+    return df.repartition(slices, *keys)

@@ -135,3 +135,12 @@ def test_empty_comparison(spark):
     nothing = spark.createDataFrame([], f"pair_id int, old_pages {PAGES}, new_pages {PAGES}")
     assert D.compare(nothing).count() == 0
     assert D.diff_summary(D.compare(nothing)).count() == 0 and D.compare(nothing).filter(F.size("changes") > 0).count() == 0
+
+
+def test_no_group_of_a_comparison_is_a_frame_of_its_own(spark):
+    """Most pairs have a couple or two open: a frame for each of them, all in one small partition, took most of the time."""
+    rows = [(n, [(1, f"first page of {n}"), (2, "same")], [(1, f"first page of {n} again"), (2, "same")]) for n in range(50)]
+    found = D.compare(spark.createDataFrame(rows, f"pair_id int, old_pages {PAGES}, new_pages {PAGES}"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "RepartitionByExpression [pair_id" in plan
+    assert found.filter("status = 'changed'").count() == found.filter("status = 'unchanged'").count() == 50
