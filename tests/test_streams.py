@@ -83,3 +83,10 @@ def test_stalls_do_not_depend_on_batches(spark):
         got = run(spark, rows, files, lambda s: ST.stall_watch(
             s.withColumns({"attempts": F.lit(1), "max_attempts": F.lit(3)}), "key", 900))
         assert got == ["Row(key=1, attempts=1, next_state='queued')"]
+
+
+def test_keys_with_few_events_are_no_frames(spark):
+    folder = written(spark, events(1, 20, 3, 5), 1)
+    stream = ST.read_stream(spark, folder, "events", spark.read.parquet(f"{folder}/events.parquet").schema)
+    plan = ST.lifecycle(stream, "key")._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" in plan and "pandas" not in plan.lower()
