@@ -211,16 +211,22 @@ def parse_glossary(replies: DataFrame, key: str = "doc_id") -> DataFrame:
     def fold(c: Column) -> Column:
         return F.lower(T.squeeze(c))
 
-    def match(line: Column) -> Column:
-        wanted = fold(F.regexp_extract(line, r"(?s)^([^=]*)=", 1))
-        exact = F.filter("terms", lambda t: fold(t) == wanted)
-        starts = F.filter("terms", lambda t: (wanted != "") & fold(t).startswith(wanted))
-        term = F.when(F.size(exact) > 0, F.element_at(exact, -1)).when(F.size(starts) == 1, F.get(starts, F.lit(0)))
+    # Whatever is used again is evaluated once: terms per reply, the wanted name per line, pairs per reply.
+    def match(line: Column, terms: Column) -> Column:
+        def pick(wanted: Column) -> Column:
+            exact = F.filter(terms, lambda t: t["folded"] == wanted)
+            starts = F.filter(terms, lambda t: (wanted != "") & t["folded"].startswith(wanted))
+            return F.when(F.size(exact) > 0, F.element_at(exact, -1)["term"]).when(F.size(starts) == 1, F.get(starts, F.lit(0))["term"])
+        term = T.let(fold(F.regexp_extract(line, r"(?s)^([^=]*)=", 1)), pick)
         return F.struct(term.alias("key"), T.strip(F.regexp_extract(line, r"(?s)=(.*)\z", 1)).alias("value"))
 
+    def latest(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+
     lines = F.filter(T.line_list(F.col("reply")), lambda x: F.contains(x, F.lit("=")))
-    pairs = F.filter(F.transform(lines, match), lambda p: p["key"].isNotNull() & (p["value"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    known = F.transform("terms", lambda t: F.struct(t.alias("term"), fold(t).alias("folded")))
+    pairs = F.filter(T.let(known, lambda terms: F.transform(lines, lambda line: match(line, terms))), lambda p: p["key"].isNotNull() & (p["value"] != ""))
+    last = T.let(pairs, latest)
     return replies.withColumn("glossary", F.map_from_entries(last)).drop("reply")
 
 

@@ -408,3 +408,11 @@ def test_page_couples_are_chosen_best_first(spark):
     rows = D.compare(paired).orderBy("position").collect()
     assert [(r.old_page, r.new_page, r.status) for r in rows] == [(1, 2, "changed"), (2, None, "removed"), (None, 1, "added"), (3, 3, "unchanged")]
     assert {(r.status, r.page) for r in D.changed_pages(D.compare(paired)).collect()} == {("changed", 2), ("removed", 2), ("added", 1)}
+
+
+def test_glossary_terms_are_folded_once(spark):
+    rows = [(1, "Red  Fox = a\nred fox= b\nBlu = c\nred = d\n= e\nblue =", ["Red Fox", "red fox", "Blue"]), (2, "x = y", []), (3, "x = y", None)]
+    made = MM.parse_glossary(spark.createDataFrame(rows, "doc_id long, reply string, terms array<string>"))
+    got = {r.doc_id: r.glossary for r in made.collect()}
+    assert got[1] == {"red fox": "b", "Blue": "c"} and got[2] == {} and not got[3]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
