@@ -159,13 +159,17 @@ def verify_quotes(candidates: DataFrame, books: DataFrame, key: str = "doc_id",
     """candidates(key, lines array): quotes found word for word, with the first page that holds them.
 
     Lines and pages meet in one row per document (both keys are unique), so nothing is exploded
-    before the check. Short lines and lines found nowhere are dropped; the first `limit` stay if it is given.
+    before the check. A line is looked for as it stands, so marks that belong to the text stay; one found nowhere
+    is looked for again without marks around it. Short lines and lines found nowhere are dropped; the first `limit` stay if it is given.
     """
     flat = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), F.lower(T.squeeze(p["text"])).alias("text")))
     joined = candidates.join(books.select(key, "pages"), key).withColumn("_flat", flat)
-    shown = F.filter(F.transform("lines", quote_candidate), lambda c: F.length(c) >= fixed.QUOTE_MIN_CHARS)
-    placed = F.transform(shown, lambda c: F.struct(c.alias("quote"), F.get(F.filter(
-        "_flat", lambda p: F.contains(p["text"], F.lower(T.squeeze(c)))), F.lit(0))["page"].alias("page")))
+
+    def place(quote: Column) -> Column:
+        return F.struct(quote.alias("quote"), F.when(F.length(quote) >= fixed.QUOTE_MIN_CHARS, T.let(F.lower(T.squeeze(quote)), lambda wanted: F.get(
+            F.filter("_flat", lambda p: F.contains(p["text"], wanted)), F.lit(0))["page"])).alias("page"))
+
+    placed = F.transform("lines", lambda line: T.let(place(T.strip(line)), lambda q: F.when(q["page"].isNotNull(), q).otherwise(place(quote_candidate(line)))))
     found = F.filter(placed, lambda q: q["page"].isNotNull())
     found = F.slice(found, 1, limit) if limit else found
     return joined.select(key, F.posexplode(found).alias("position", "_q")).select(key, "position", "_q.quote", "_q.page")

@@ -257,6 +257,14 @@ def test_citations_and_quotes(spark):
     assert [(r.position, r.page) for r in Q.verify_quotes(lines, books).orderBy("position").collect()] == [(0, 2)]
 
 
+def test_quotes_keep_marks_of_the_text(spark):
+    books = frame(spark, [(1, [(1, 'The build failed with token = "a1b2c3d4e5"'), (2, "- another line that is long enough")])],
+                  "doc_id int, pages array<struct<page:int,text:string>>")
+    lines = frame(spark, [(1, ['The build failed with token = "a1b2c3d4e5"', "“another line that is long enough”"])], "doc_id int, lines array<string>")
+    got = [(r.quote, r.page) for r in Q.verify_quotes(lines, books).orderBy("position").collect()]
+    assert got == [('The build failed with token = "a1b2c3d4e5"', 1), ("another line that is long enough", 2)]
+
+
 def test_model_json(spark):
     replies = ['{"topics": ["a", null, 3], "key_points": [{"point": "x", "page": 1}, "odd"]}', "```json\n{\"purpose\": \"p\"}\n```", "[1]", "none", 'so {"audience": 5} end']
     df = frame(spark, list(enumerate(replies)), "id int, reply string")
