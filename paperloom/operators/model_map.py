@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -42,13 +42,15 @@ def first_line(system: str, user: str) -> tuple[str, int]:
 
 def model_map(rows: DataFrame, model: Model = first_line, prompt: str = "prompt", system: str = SYSTEM_RULE, retries: int = 0,
               slices: int | None = None) -> DataFrame:
-    """Add reply, tokens and failed to every row; a failing call becomes a row with its message.
+    """Add reply, tokens and failed to every row in place of its prompt; a failing call becomes a row with its message.
 
     `slices` sets how many tasks call the model at once; by default the rows stay where they are.
     """
     rows = rows.repartition(slices) if slices else rows
-    schema = ST.StructType(rows.schema.fields + [
+    kept = [f for f in rows.schema.fields if f.name != prompt]
+    schema = ST.StructType(kept + [
         ST.StructField("reply", ST.StringType()), ST.StructField("tokens", ST.LongType()), ST.StructField("failed", ST.BooleanType())])
+    names = schema.names
 
     def one(text: str) -> tuple[str, int, bool]:
         for attempt in range(retries + 1):
@@ -60,12 +62,15 @@ def model_map(rows: DataFrame, model: Model = first_line, prompt: str = "prompt"
                     return str(exc), 0, True
         raise AssertionError("unreachable")
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [one(text) for text in frame[prompt]]
-            yield frame.assign(reply=[a[0] for a in answers], tokens=[a[1] for a in answers], failed=[a[2] for a in answers])
+    # One prompt at a time is a Python string; the other columns pass as they are.
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            answers = [one(text.as_py()) for text in part.column(prompt)]
+            yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [
+                pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.int64()),
+                pa.array([a[2] for a in answers], pa.bool_())], names)
 
-    return rows.mapInPandas(batches, schema)
+    return rows.mapInArrow(batches, schema)
 
 
 def parse_json(reply: Column) -> Column:
@@ -114,7 +119,7 @@ def ask(questions: DataFrame, pages: DataFrame, doc: str, model: Model = first_l
         F.lit("Answer only from the content below and cite each claim as [p.N].\n\nQuestion: "), T.strip(F.coalesce("question", F.lit(""))),
         F.lit("\n\n"), R.fence(F.col("context")))
     # Written once: the model is paid for each call.
-    replied = settle(model_map(held.filter(readable).withColumn("prompt", prompt), model).drop("prompt", "context"))
+    replied = settle(model_map(held.filter(readable).withColumn("prompt", prompt), model).drop("context"))
     checked = Q.scrub_citations(replied.withColumn("answer", F.when(~F.col("failed"), F.col("reply"))))
     answered = checked.withColumn("note", F.when(F.col("failed"), F.col("reply")).otherwise(Q.citation_note(F.col("dropped"), F.col("kept")))).drop("reply")
     none = F.array().cast("array<int>")
@@ -135,7 +140,7 @@ def summarise(books: DataFrame, key: str = "doc_id", mode: str = "detailed", mod
     parts = C.chunk_pages(books, key, budget=budget)
     prompted = parts.withColumn("prompt", F.concat(F.lit(f"Write a {mode} summary.\n\n"), R.fence(F.col("text"))))
     # Written once: the model is paid for each call, and every reader must see the same replies.
-    sections = settle(model_map(prompted.drop("text"), model).drop("prompt").withColumnRenamed("reply", "summary"))
+    sections = settle(model_map(prompted.drop("text"), model).withColumnRenamed("reply", "summary"))
     label = F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string"), F.lit(" ("), T.page_label(F.col("first_page"), F.col("last_page")), F.lit("): "), F.col("summary"))
     good = ~F.col("failed") & (F.col("summary") != "")
     gathered = sections.groupBy(key).agg(
@@ -171,7 +176,7 @@ def analyse(books: DataFrame, key: str = "doc_id", model: Model = first_line, ma
     prompted = shown.select(
         key, F.size("_c.pages").alias("pages_used"), F.size("pages").alias("page_count"),
         F.concat(F.lit("Analyse this document and return only a JSON object.\n\n"), R.fence(F.col("_c.text"))).alias("prompt"))
-    replied = model_map(prompted, model).drop("prompt").withColumn("reason", F.when(F.col("failed"), F.col("reply")))
+    replied = model_map(prompted, model).withColumn("reason", F.when(F.col("failed"), F.col("reply")))
     return coerce_analysis(replied.unionByName(silent).withColumn("json_text", parse_json(F.col("reply"))))
 
 
@@ -198,7 +203,7 @@ def act(passages: DataFrame, mode: str, model: Model = first_line, language: str
         F.length(text) > (max_chars or WHOLE), "The selection is too large; select a smaller passage.")
     judged = passages.withColumn("reason", reason)
     accepted = judged.filter(F.col("reason").isNull()).drop("reason").withColumn("injection_detected", R.any_injection(F.col(text)))
-    replied = model_map(accepted.withColumn("prompt", F.concat(F.lit(instruction + "\n\n"), R.fence(F.col(text)))), model).drop("prompt")
+    replied = model_map(accepted.withColumn("prompt", F.concat(F.lit(instruction + "\n\n"), R.fence(F.col(text)))), model)
     return replied.withColumnRenamed("reply", "output"), judged.filter(F.col("reason").isNotNull())
 
 
@@ -284,6 +289,7 @@ def ocr_map(files: DataFrame, recognise: Callable[[bytes], str] | None = None, c
         return files.withColumn("recognised", F.lit(None).cast("string")).withColumn(
             "reason", F.lit("No recognition engine is installed; pass a function that reads bytes."))
     fields = [f for f in files.schema.fields] + [ST.StructField("recognised", ST.StringType()), ST.StructField("reason", ST.StringType())]
+    names = [f.name for f in fields]
 
     def read(data: bytes) -> tuple[str | None, str | None]:
         try:
@@ -291,9 +297,10 @@ def ocr_map(files: DataFrame, recognise: Callable[[bytes], str] | None = None, c
         except Exception as exc:  # noqa: BLE001
             return None, str(exc)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [read(bytes(data)) for data in frame[content]]
-            yield frame.assign(recognised=[r[0] for r in results], reason=[r[1] for r in results])
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            results = [read(data.as_py()) for data in part.column(content)]
+            yield pa.RecordBatch.from_arrays(part.columns + [
+                pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.string())], names)
 
-    return files.mapInPandas(batches, ST.StructType(fields))
+    return files.mapInArrow(batches, ST.StructType(fields))

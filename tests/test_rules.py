@@ -282,6 +282,14 @@ def test_model_failures_become_rows(spark):
     assert rows == {1: ("ok", False), 2: ("no answer", True)}
 
 
+def test_prompts_do_not_come_back(spark):
+    rows = frame(spark, [(1, None, "p1"), (2, 7, None)], "id int, n long, prompt string")
+    made = MM.model_map(rows, lambda system, user: (user + "!", 3))
+    assert made.columns == ["id", "n", "reply", "tokens", "failed"]
+    got = {r.id: (r.n, r.reply, r.tokens, r.failed) for r in made.collect()}
+    assert got[1] == (None, "p1!", 3, False) and got[2][0] == 7 and got[2][3]
+
+
 def test_html_entities(spark):
     source = "<p>A &amp; B&nbsp;C</p><script>x()</script><ul><li class='a'>one<br/>two</li></ul>"
     got = frame(spark, [(source,)], "h string").select(IO.html_to_text(F.col("h")).alias("t")).collect()[0].t
