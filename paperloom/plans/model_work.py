@@ -447,7 +447,7 @@ def batched(spark, folder):
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("doc_id") % 120).cast("int"))).alias("created_at"))
 
     def run(misses):
-        return MM.model_map(misses.withColumn("prompt", F.col("text"))).withColumn("result", F.col("reply"))
+        return MM.model_map(misses.select("content_hash", F.col("text").alias("prompt"))).withColumn("result", F.col("reply"))
     return MM.process_batch(docs, cache, ["content_hash"], F.lit("2024-01-04").cast("timestamp"), run)
 
 
