@@ -80,18 +80,14 @@ def let_sql(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def exclusive_prefix_sql(values: str) -> str:
-    """For each element, the sum of the elements before it.
+def running_sum_sql(values: str) -> str:
+    """For each element of an array of longs, the sum up to and with it.
 
-    Works in blocks of about sqrt(n) so that a long document costs n*sqrt(n)
-    additions instead of n*n.
+    Each pass adds the value 1, 2, 4... places before, so a long document costs n*log(n) additions.
     """
-    total = "aggregate({}, 0L, (acc_, x_) -> acc_ + x_)"
-    block_sums = "transform(sequence(0, int(floor(size(arr_) / b_))), k_ -> " + total.format("slice(arr_, k_ * b_ + 1, b_)") + ")"
-    before = total.format("concat(slice(sums_, 1, int(floor(i_ / b_))), slice(arr_, i_ - i_ % b_ + 1, i_ % b_))")
-    return let_sql(values, "arr_", let_sql(
-        "int(ceil(sqrt(size(arr_) + 1)))", "b_",
-        let_sql(block_sums, "sums_", f"transform(arr_, (v_, i_) -> {before})")))
+    steps = ", ".join(str(1 << k) for k in range(31))
+    return let_sql(values, "arr_", f"aggregate(filter(array({steps}), d_ -> d_ < size(arr_)), arr_, "
+                   "(sums_, d_) -> transform(sums_, (v_, i_) -> v_ + coalesce(get(sums_, i_ - d_), 0L)))")
 
 
 def find_all_sql(text: str, pattern: str) -> str:
@@ -103,9 +99,9 @@ def find_all_sql(text: str, pattern: str) -> str:
     """
     regex = literal(pattern)
     steps = "transform(hits_, (h_, n_) -> get(gap_, n_) + length(h_))"
-    placed = "transform(hits_, (h_, n_) -> named_struct('start', int(get(before_, n_) + get(gap_, n_)), 'value', h_))"
+    placed = "transform(hits_, (h_, n_) -> named_struct('start', int(get(upto_, n_) - length(h_)), 'value', h_))"
     found = let_sql(f"transform(split({text}, {regex}, -1), g_ -> bigint(length(g_)))", "gap_",
-                    let_sql(exclusive_prefix_sql(steps), "before_", placed))
+                    let_sql(running_sum_sql(steps), "upto_", placed))
     none = "cast(array() as array<struct<start:int,value:string>>)"
     return let_sql(f"regexp_extract_all({text}, {regex}, 0)", "hits_", f"if(size(hits_) = 0, {none}, {found})")
 
