@@ -134,7 +134,19 @@ def line_rects(words: Column) -> Column:
     return F.aggregate(words, empty, add)
 
 
-def words_in_span(hits: DataFrame, words_table: DataFrame, keys: list[str]) -> DataFrame:
-    """Words that overlap a hit on the same page."""
-    w = words_table.select(*keys, F.col("start").alias("word_start"), F.col("end").alias("word_end"), "word")
-    return hits.join(w, keys).filter((F.col("word_start") < F.col("end")) & (F.col("word_end") > F.col("start")))
+def words_in_span(hits: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Words (word_start, word_end, word) that overlap a hit (start, end) on the same page.
+
+    A hit meets its page, not the page's words: only the text from the word the hit begins in to the word it ends in
+    is cut into words.
+    """
+    low = F.greatest(F.least("start", "end"), F.lit(0))
+    high = F.greatest("start", "end", F.lit(0))
+    head = F.substr("text", F.lit(1), low)
+    near = hits.join(pages.select(*keys, "text"), keys).withColumn("_from", F.length(head) - F.length(F.regexp_extract(head, T.WORD + r"\z", 0)))
+    rest = F.regexp_extract(F.substr("text", high + 1), r"\A" + T.WORD, 0)
+    window = F.concat(F.substr("text", F.col("_from") + 1, high - F.col("_from")), rest)
+    found = near.withColumn("text", window).withColumn("_w", F.explode(T.find_all("text", T.WORD)))
+    first = F.col("_from") + F.col("_w.start")
+    placed = found.withColumns({"word_start": first, "word_end": first + F.length("_w.value"), "word": F.col("_w.value")})
+    return placed.drop("text", "_from", "_w").filter((F.col("word_start") < F.col("end")) & (F.col("word_end") > F.col("start")))

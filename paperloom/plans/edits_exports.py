@@ -256,7 +256,7 @@ SELECT doc_id, page, CAST(s AS INTEGER) AS start, word FROM w WHERE s < 30 AND s
 def words_under_spans(spark, folder):
     pages = P.to_pages(books(spark, folder), "doc_id")
     spans = pages.select("doc_id", "page", F.lit(20).alias("start"), F.lit(30).alias("end"))
-    found = S.words_in_span(spans, S.words(pages, "doc_id", "page"), ["doc_id", "page"])
+    found = S.words_in_span(spans, pages, ["doc_id", "page"])
     return found.select("doc_id", "page", F.col("word_start").alias("start"), "word")
 
 

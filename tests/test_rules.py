@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import html
+import itertools
 import os
 import random
 import re
@@ -265,6 +266,24 @@ def test_quotes_keep_marks_of_the_text(spark):
     assert got == [('The build failed with token = "a1b2c3d4e5"', 1), ("another line that is long enough", 2)]
 
 
+def test_running_sums(spark):
+    values = [(i * 7919) % 101 for i in range(3000)]
+    rows = frame(spark, [(n, values[:n]) for n in (0, 1, 2, 3, 1025, 3000)], "n int, v array<bigint>")
+    got = {r.n: r.s for r in rows.selectExpr("n", T.running_sum_sql("v") + " AS s").collect()}
+    assert all(got[n] == list(itertools.accumulate(values[:n])) for n in got) and len(got) == 6
+
+
+def test_words_under_spans_anywhere(spark):
+    texts = ["".join(RNG.choice("ab é😀\n\u2003") for _ in range(RNG.randint(0, 60))) for _ in range(40)]
+    pages = frame(spark, list(enumerate(texts)), "page int, text string")
+    spans = [(p, RNG.randint(-3, 65), RNG.randint(-3, 65)) for p in range(40) for _ in range(8)] + [(0, 5, 5), (99, 0, 9)]
+    got = S.words_in_span(frame(spark, spans, "page int, start int, end int"), pages, ["page"])
+    assert got.columns == ["page", "start", "end", "word_start", "word_end", "word"]
+    want = Counter((p, a, b, m.start(), m.end(), m.group()) for p, a, b in spans if p < 40
+                   for m in re.finditer(r"\S+", texts[p]) if m.start() < b and m.end() > a)
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
 def test_model_json(spark):
     replies = ['{"topics": ["a", null, 3], "key_points": [{"point": "x", "page": 1}, "odd"]}', "```json\n{\"purpose\": \"p\"}\n```", "[1]", "none", 'so {"audience": 5} end']
     df = frame(spark, list(enumerate(replies)), "id int, reply string")
