@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions import fixed
+from paperloom.functions import fixed, scale
 from paperloom.functions import text as T
 from paperloom.operators import lifecycle as L
 from paperloom.operators import tenancy as M
@@ -548,8 +548,9 @@ submitted AS (SELECT request_id, CASE WHEN field_id % 9 = 0 THEN recipient + 1 E
 
 
 def signer_fields(spark, folder):
-    orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    lines = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    # Dealt by order: a task that sorts, joins and groups its share in memory must not get a larger one because few cores are there.
+    orders = scale.deal(load(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    lines = scale.deal(load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
     grouped = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
         F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("recipient"),
         (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("field_id")).agg(F.min("l_quantity").alias("q"))

@@ -284,6 +284,13 @@ def test_words_under_spans_anywhere(spark):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def test_signer_fields_are_dealt_by_order(spark):
+    from paperloom.plans.records import signer_fields
+
+    for frame_ in signer_fields(spark, DATA):
+        assert frame_._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
 def test_model_json(spark):
     replies = ['{"topics": ["a", null, 3], "key_points": [{"point": "x", "page": 1}, "odd"]}', "```json\n{\"purpose\": \"p\"}\n```", "[1]", "none", 'so {"audience": 5} end']
     df = frame(spark, list(enumerate(replies)), "id int, reply string")
