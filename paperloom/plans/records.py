@@ -547,10 +547,10 @@ fields AS (
 submitted AS (SELECT request_id, CASE WHEN field_id % 9 = 0 THEN recipient + 1 ELSE recipient END AS recipient, field_id FROM fields)"""
 
 
-def signer_fields(spark, folder):
+def signer_fields(spark, folder, deal=lambda rows, key: rows):
     # Dealt by order: a task that sorts, joins and groups its share in memory must not get a larger one because few cores are there.
-    orders = scale.deal(load(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-    lines = scale.deal(load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
+    orders = deal(load(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    lines = deal(load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
     grouped = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
         F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("recipient"),
         (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("field_id")).agg(F.min("l_quantity").alias("q"))
@@ -561,7 +561,7 @@ def signer_fields(spark, folder):
 
 @query("WITH " + FIELDS_SQL + " SELECT request_id, recipient, field_id FROM submitted EXCEPT SELECT request_id, recipient, field_id FROM fields")
 def foreign_fields(spark, folder):
-    fields, submitted = signer_fields(spark, folder)
+    fields, submitted = signer_fields(spark, folder, scale.deal)
     return L.foreign_fields(submitted, fields).distinct()
 
 

@@ -287,7 +287,7 @@ def test_words_under_spans_anywhere(spark):
 def test_signer_fields_are_dealt_by_order(spark):
     from paperloom.plans.records import signer_fields
 
-    for frame_ in signer_fields(spark, DATA):
+    for frame_ in signer_fields(spark, DATA, scale.deal):
         assert frame_._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
 
 
