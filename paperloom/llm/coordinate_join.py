@@ -6,7 +6,8 @@ bins of one further hash. Equal sets are collapsed first and numbered. A set is
 coordinate-value pairs; two sets are candidates if they share at least `matches` of them,
 so they must share one of the `coordinates - matches + 1` pairs that are rarest in the
 corpus (prefix filter): only those are posted, pairs that occur once are skipped, and
-frequent pairs are skipped whenever rarer ones suffice. Collisions of candidates are then
+frequent pairs are skipped whenever rarer ones suffice. A set stays in a list (of up to `BLOCK` sets) if
+one of fitting size there shares `MET` of the pairs with it, fewer than a couple of candidates does. Collisions of candidates are then
 counted over the bins; a pair stays if its share of equal bins is no further below the
 similarity than chance explains (`SPREADS` standard deviations), and is confirmed on the
 full sets.
@@ -41,6 +42,7 @@ from paperloom.llm.common import MULTIPLIER, components, discard, mixed, stash
 
 COORDINATES = 16
 MATCHES = 6  # a pair at the threshold of 0.8 has fewer with a chance of 1 in 30,000
+MET = 4  # equal coordinates of two members that keep each other in a list; a pair at the threshold has fewer with a chance of 1 in 4 million
 ROUNDS = 2
 BLOOM_BITS = 1 << 26
 BINS = 1024
@@ -204,10 +206,12 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, coordinates: in
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, signature binary, bins binary")
 
 
-def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
+def postings(sets: DataFrame, coordinates: int, matches: int, share: int, block: int = BLOCK) -> DataFrame:
     """(posting, node, size, weight): each set under its rarest coordinate-value pairs that occur more than once.
 
-    `weight` is how often the set's pairs occur in all, so the most central of a group weighs most.
+    `weight` is how often the set's pairs occur in all, so the most central of a group weighs most. In a list
+    of at most `block` sets those stay that another one meets there (`met`); longer lists stay as they are,
+    their groups merge before anything is counted in them.
     """
     def spread(batches):
         place = (np.arange(coordinates, dtype=np.int64) << 32)
@@ -222,9 +226,80 @@ def postings(sets: DataFrame, coordinates: int, matches: int) -> DataFrame:
         F.first("size").alias("size"), F.sum("n").alias("weight"), F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("found"))
     # Pairs that occur once are the rarest of all; they take the first places of the prefix and meet nobody.
     room = F.size("found") - F.lit(matches - 1)
-    prefix = shared.filter(room > 0).select("node", "size", "weight", F.transform(
-        F.slice("found", 1, F.greatest(room, F.lit(1))), lambda f: f["posting"]).alias("posted"))
-    return prefix.select("node", "size", "weight", F.explode("posted").alias("posting"))
+    prefix = shared.filter(room > 0).select("node", "size", "weight", F.slice("found", 1, F.greatest(room, F.lit(1))).alias("posted"))
+    lists = stash(prefix.select("node", "size", "weight", F.explode("posted").alias("f")).select("f.posting", "f.n", "node", "size", "weight"), "lists")
+    short, long = (lists.filter(f"n {side} {block}").drop("n") for side in ("<=", ">"))
+    kept = stash(met(short, sets, coordinates, min(MET, matches), share).unionByName(long), "postings")
+    discard(lists)
+    return kept
+
+
+def shared_values(sets: DataFrame, coordinates: int) -> DataFrame:
+    """(node, short): 16 bits of every coordinate's value."""
+    def run(batches):
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, 2 * coordinates)[:, ::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in values], pa.binary())], ["node", "short"])
+
+    return sets.select("node", "signature").mapInArrow(run, "node long, short binary")
+
+
+def units(batches, keys: tuple) -> Iterator[dict]:
+    """Rows come unit after unit: the columns of each; a unit is held until the next one begins."""
+    held: dict = {}
+    now = None
+    for batch in batches:
+        columns = batch.to_pydict()
+        places = list(zip(*(columns[k] for k in keys), strict=True))
+        at = 0
+        while at < len(places):
+            stop = at
+            while stop < len(places) and places[stop] == places[at]:
+                stop += 1
+            if places[at] != now:
+                if held:
+                    yield held
+                now, held = places[at], {c: [] for c in columns}
+            for c in columns:
+                held[c] += columns[c][at:stop]
+            at = stop
+    if held:
+        yield held
+
+
+def met(lists: DataFrame, sets: DataFrame, coordinates: int, least: int, share: int) -> DataFrame:
+    """Memberships beside which, in the same list, stands one of fitting size with `least` equal coordinates or more.
+
+    lists: posting, node, size, weight. A list is held whole. Sets that have one coordinate in common by chance, of which
+    there are ever more in a growing corpus, leave the list here, where no more than 16 bits a coordinate move.
+    """
+    placed = lists.join(shared_values(sets, coordinates), "node").select(*lists.columns, "short")
+    dealt = placed.repartition("posting").sortWithinPartitions("posting")
+    types = pa.schema([(c, pa.int32() if c == "size" else pa.int64()) for c in lists.columns])
+
+    def beside(rows: dict) -> list:
+        size, values = np.array(rows["size"]), np.frombuffer(b"".join(rows["short"]), "<u2").reshape(-1, coordinates)
+        good = []
+        for at in range(0, len(size), 64):
+            part = size[at:at + 64, None]
+            near = (values[at:at + 64, None] == values).sum(axis=-1) >= least
+            near &= 100 * np.minimum(part, size) >= share * np.maximum(part, size)
+            # Every member meets itself.
+            good += (np.flatnonzero(near.sum(axis=1) > 1) + at).tolist()
+        return good
+
+    def run(batches):
+        found: dict = {c: [] for c in types.names}
+        for rows in units(batches, ("posting",)):
+            good = beside(rows) if len(rows["node"]) > 1 else []
+            for c in found:
+                found[c] += [rows[c][k] for k in good]
+            if len(found["node"]) > 10000:
+                yield pa.RecordBatch.from_pydict(found, types)
+                found = {c: [] for c in types.names}
+        yield pa.RecordBatch.from_pydict(found, types)
+
+    return dealt.mapInArrow(run, lists.schema)
 
 
 def open_lists(labelled: DataFrame, share: int) -> DataFrame:
@@ -311,29 +386,8 @@ def within_lists(lists: DataFrame, sets: DataFrame, texts, share: int, block: in
         return found
 
     def run(batches):
-        """Rows come list after list; a unit is held until the next one begins."""
-        held: dict = {}
-        now, found = None, []
-        for batch in batches:
-            columns = batch.to_pydict()
-            keys = list(zip(columns["posting"], columns["i"], columns["j"], strict=True))
-            at = 0
-            while at < len(keys):
-                stop = at
-                while stop < len(keys) and keys[stop] == keys[at]:
-                    stop += 1
-                if keys[at] != now:
-                    if held:
-                        found += couples(held)
-                    now, held = keys[at], {c: [] for c in columns}
-                for c in columns:
-                    held[c] += columns[c][at:stop]
-                at = stop
-            if found:
-                yield from put_out(found)
-                found = []
-        if held:
-            yield from put_out(couples(held))
+        for rows in units(batches, ("posting", "i", "j")):
+            yield from put_out(couples(rows))
 
     def put_out(found):
         if found:
@@ -443,7 +497,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         F.min(F.xxhash64("doc_id")).alias("holder"))
     # Numbers stand for the sets from here on; written once, so they stay as they are.
     sets = stash(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    posted = stash(postings(sets, coordinates, matches), "postings")
+    posted = postings(sets, coordinates, matches, share)
     links, labels = None, sets.select("node", F.col("node").alias("label")).limit(0)
     labelled = posted.withColumn("label", F.col("node"))
     used = None

@@ -512,3 +512,18 @@ def test_registered_query(spark, name):
     assert df.count() > 0
     if sql:
         assert harness.compare(df, harness.connect(DATA), sql) is None
+
+
+def test_sets_that_meet_by_one_coordinate_leave_the_list(spark):
+    """Sets with one coordinate value in common take no place in a list; similar ones and those of a long list stay."""
+    def row(node, values):
+        return node, 100, np.array(values, "<u4").tobytes()
+
+    # Two lines of a plane meet once at most; every value occurs in 17 sets.
+    chance = [row(17 * a + b, [(a * k + b) % 17 for k in range(16)]) for a in range(17) for b in range(17)]
+    alike = [row(1000 + i, list(range(50, 60)) + [10 ** 6 + 100 * i + k for k in range(6)]) for i in range(3)]
+    sets = spark.createDataFrame(chance + alike, "node long, n_shingles long, signature binary")
+    short = coordinate_join.postings(sets, 16, 6, 80).collect()
+    assert {r.node for r in short} == {1000, 1001, 1002} and len(short) == 15
+    long = coordinate_join.postings(sets, 16, 6, 80, block=16).collect()
+    assert {r.node for r in long} == {*range(289), 1000, 1001, 1002}
