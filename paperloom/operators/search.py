@@ -119,17 +119,16 @@ def line_rects(words: Column) -> Column:
     empty = F.array().cast("array<struct<x:double,y:double,width:double,height:double>>")
 
     def add(lines: Column, word: Column) -> Column:
-        near = F.filter(F.transform(lines, lambda r, i: F.when(
-            F.abs(r["y"] - word["y"]) < word["height"] * 0.6, i)), lambda i: i.isNotNull())
-        at = F.get(near, F.lit(0))
+        # The place of the first such line, from 1, is found once a word; 0 stands for none.
+        near = F.array_position(F.transform(lines, lambda r: F.abs(r["y"] - word["y"]) < word["height"] * 0.6), True)
 
         def grow(r: Column) -> Column:
             x = F.least(r["x"], word["x"])
             right = F.greatest(r["x"] + r["width"], word["x"] + word["width"])
             return F.struct(x.alias("x"), r["y"].alias("y"), (right - x).alias("width"),
                             F.greatest(r["height"], word["height"]).alias("height"))
-        merged = F.transform(lines, lambda r, i: F.when(i == at, grow(r)).otherwise(r))
-        return F.when(at.isNull(), F.concat(lines, F.array(word))).otherwise(merged)
+        return T.let(near, lambda at: F.when(at == 0, F.concat(lines, F.array(word))).otherwise(
+            F.transform(lines, lambda r, i: F.when(i + 1 == at, grow(r)).otherwise(r))))
 
     return F.aggregate(words, empty, add)
 

@@ -242,7 +242,8 @@ def line_rectangles(spark, folder):
     """Runs of 24 words stand for hits: eight words to a line, lines 20 apart, words of one line shifted by a hair."""
     words = F.transform(T.word_list(F.col("text")), lambda w, i: F.struct(
         ((i % 8) * 40.0).alias("x"), (F.floor(i / 8) * 20.0 + (i % 2) * 0.5).cast("double").alias("y"), (F.length(w) * 5.0).alias("width"), F.lit(10.0).alias("height")))
-    boxes = P.to_pages(books(spark, folder), "doc_id").select("doc_id", "page", words.alias("w")).filter(F.size("w") > 0)
+    # Asked of the text: asked of the words, the page would be cut into words twice.
+    boxes = P.to_pages(books(spark, folder), "doc_id").filter(~T.is_blank(F.col("text"))).select("doc_id", "page", words.alias("w"))
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 24).cast("int")), lambda k: F.slice("w", k * 24 + 1, 24))
     hits = boxes.select("doc_id", "page", F.posexplode(runs).alias("hit", "run"))
     lined = hits.select("doc_id", "page", "hit", F.posexplode(S.line_rects(F.col("run"))).alias("line_no", "r"))

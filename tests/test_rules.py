@@ -458,3 +458,13 @@ def test_glossary_terms_are_folded_once(spark):
     got = {r.doc_id: r.glossary for r in made.collect()}
     assert got[1] == {"red fox": "b", "Blue": "c"} and got[2] == {} and not got[3]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_lines_look_a_word_up_once(spark):
+    """A word joins the first line near enough; its place is found once, not again for every line."""
+    merged = S.line_rects(F.col("w"))
+    assert str(merged).count("abs(") == 1
+    boxes = [(0.0, 0.0, 5.0, 10.0), (0.0, 20.0, 5.0, 10.0), (9.0, 21.0, 5.0, 12.0), (7.0, 5.9, 4.0, 10.0), (0.0, 10.0, 1.0, 30.0), (3.0, 40.0, 2.0, 10.0)]
+    table = spark.createDataFrame([(boxes,), ([],), (None,)], "w array<struct<x:double,y:double,width:double,height:double>>")
+    got = [r.l and [tuple(x) for x in r.l] for r in table.select(merged.alias("l")).collect()]
+    assert got == [[(0.0, 0.0, 11.0, 30.0), (0.0, 20.0, 14.0, 12.0), (3.0, 40.0, 2.0, 10.0)], [], None]
